@@ -56,34 +56,48 @@ def parse_amount(text: Column, marks: tuple[str, str] = STATEMENT_FORMAT) -> Col
     currency sign and blanks. The digits go to an exact decimal.
     """
     thousands, decimal = marks
-    trimmed = F.trim(text)
-    bracketed = trimmed.startswith("(") & trimmed.endswith(")")
-    inner = F.when(bracketed, F.trim(F.regexp_replace(trimmed, r"^\(|\)$", ""))).otherwise(trimmed)
-    leading, trailing = inner.rlike("^[-−]"), inner.endswith("-")
-    body = (
-        F.when(leading, F.regexp_replace(inner, "^[-−]", ""))
-        .when(trailing, F.regexp_replace(inner, "-$", ""))
-        .otherwise(inner)
-    )
-    body = F.regexp_replace(F.trim(body), r"^\+", "")
-    body = F.regexp_replace(F.regexp_replace(F.trim(body), r"^\$", ""), r"\s", "")
-    negative = bracketed != (leading | trailing)
-    parts = F.split(F.replace(body, F.lit(thousands), F.lit("")), f"[{decimal}]", -1)
-    whole, fraction = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    error = (
-        F.when(trimmed.isNull() | (trimmed == ""), "EMPTY")
-        .when(F.size(parts) > 2, "MANY_DECIMAL_MARKS")
-        .when(~whole.rlike(r"^\d+$") | ~fraction.rlike(r"^\d*$"), "NON_NUMERIC")
-        .when(F.length(fraction) > 2, "MANY_DECIMALS")
-    )
-    # digits beyond the exact range are caught by try_cast instead of wrapping
-    digits = F.concat(whole, F.rpad(fraction, 2, "0"))
-    cents = F.when(error.isNull(), digits.try_cast(WIDE))
-    error = F.coalesce(
-        error, F.when(cents.isNull() | (cents > F.lit(SAFE_CENTS).cast(WIDE)), "TOO_LARGE")
-    )
-    signed = F.when(error.isNull(), F.when(negative, -cents).otherwise(cents).cast("bigint"))
-    return F.struct(signed.alias("cents"), error.alias("error"))
+
+    def unwrapped(trimmed: Column) -> Column:
+        bracketed = trimmed.startswith("(") & trimmed.endswith(")")
+        inner = F.when(bracketed, F.trim(F.regexp_replace(trimmed, r"^\(|\)$", ""))).otherwise(trimmed)
+        return F.struct(inner.alias("text"), bracketed.alias("bracketed"))
+
+    def unsigned(part: Column) -> Column:
+        minus = part["text"].rlike("^[-−]|-$")
+        # one minus goes: the leading one, else the trailing one
+        body = F.regexp_replace(part["text"], r"^[-−]\s*\+?|^(?=[^-−].*-$)\+?|^\+", "")
+        body = F.when(part["text"].rlike("^[^-−].*-$"), F.regexp_replace(body, "-$", "")).otherwise(body)
+        plain = F.regexp_replace(F.regexp_replace(body, r"^\s*\$", ""), r"\s", "")
+        parts = F.split(F.replace(plain, F.lit(thousands), F.lit("")), f"[{decimal}]", -1)
+        return F.struct(parts.alias("parts"), (part["bracketed"] != minus).alias("negative"))
+
+    def checked(part: Column) -> Column:
+        whole, fraction = F.get(part["parts"], F.lit(0)), F.coalesce(F.get(part["parts"], F.lit(1)), F.lit(""))
+        error = (
+            F.when(F.size(part["parts"]) > 2, "MANY_DECIMAL_MARKS")
+            .when(~whole.rlike(r"^\d+$") | ~fraction.rlike(r"^\d*$"), "NON_NUMERIC")
+            .when(F.length(fraction) > 2, "MANY_DECIMALS")
+        )
+        digits = F.concat(whole, F.rpad(fraction, 2, "0"))
+        return F.struct(error.alias("error"), digits.alias("digits"), part["negative"].alias("negative"))
+
+    def valued(part: Column) -> Column:
+        # try_cast turns digits beyond the widest decimal into null instead of failing the job
+        cents = F.when(part["error"].isNull(), part["digits"].try_cast(WIDE))
+        fits = F.coalesce(cents <= F.lit(SAFE_CENTS).cast(WIDE), F.lit(False))
+        error = F.coalesce(part["error"], F.when(~fits, "TOO_LARGE"))
+        signed = F.when(part["negative"], -cents).otherwise(cents)
+        return F.struct(F.when(error.isNull(), signed).cast("bigint").alias("cents"), error.alias("error"))
+
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    parsed = let(let(let(let(trimmed, unwrapped), unsigned), checked), valued)
+    empty = F.struct(F.lit(None).cast("bigint").alias("cents"), F.lit("EMPTY").alias("error"))
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", empty).otherwise(parsed)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for steps that use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def format_money(cents: Column) -> Column:
@@ -110,3 +124,18 @@ def money_text(cents: Column) -> Column:
 def is_safe(cents: Column) -> Column:
     """Whether an amount is inside the range the wire format can carry exactly."""
     return F.abs(cents) <= SAFE_CENTS
+
+
+def humanise(text: Column) -> Column:
+    """Replace every ``COP <cents>`` in a text by the formatted amount.
+
+    The text is cut before each amount; the leading amount of each piece is replaced.
+    """
+    pieces = F.split(text, r"(?=COP\s-?\d)")
+
+    def piece(p: Column) -> Column:
+        cents = F.regexp_extract(p, r"^COP\s(-?\d+)", 1)
+        rest = F.regexp_replace(p, r"^COP\s-?\d+", "")
+        return F.when(cents != "", F.concat(format_money(cents.try_cast("bigint")), rest)).otherwise(p)
+
+    return F.array_join(F.transform(pieces, piece), "")

@@ -52,6 +52,10 @@ def cell(column: str) -> Column:
     return F.get(inside, F.lit(0))["text"]
 
 
+def _starts_with(label: str):
+    return lambda c: F.startswith(F.upper(c["text"]), F.lit(label))
+
+
 def headers(all_rows: DataFrame) -> DataFrame:
     """Period, account number and the four control figures of each document.
 
@@ -68,7 +72,7 @@ def headers(all_rows: DataFrame) -> DataFrame:
     )
     aggregates = []
     for name, label in LABELS.items():
-        starts = F.transform("cells", lambda c, lab=label: F.startswith(F.upper(c["text"]), F.lit(lab)))
+        starts = F.transform("cells", _starts_with(label))
         at = F.array_position(starts, True)
         beside = F.when(at > 0, F.get("cells", at.cast("int"))["text"])
         below = F.get(F.filter("next_cells", lambda c: c["text"].rlike(AMOUNT_SHAPE)), F.lit(0))["text"]
@@ -155,15 +159,24 @@ def verdicts(all_rows: DataFrame, header_rows: DataFrame, chained: DataFrame, to
     off_totals = (F.abs(F.col("sum_credits") - F.col("credits_cents")) > tolerance) | (
         F.abs(F.col("sum_debits") - F.col("debits_cents")) > tolerance
     )
-    none = F.lit(None)
+
+    def fails(code, locator=None, expected=None, observed=None) -> Column:
+        return F.struct(
+            (F.lit(code) if isinstance(code, str) else code).alias("code"),
+            (locator if locator is not None else F.lit(None)).cast("string").alias("locator"),
+            (expected if expected is not None else F.lit(None)).cast("bigint").alias("expected_cents"),
+            (observed if observed is not None else F.lit(None)).cast("bigint").alias("observed_cents"),
+        )
+
+    bad, broke = F.col("bad_amount"), F.col("break")
     reason = (
-        F.when(F.col("missing").isNotNull(), F.struct(F.concat(F.lit("NO_"), "missing").alias("code"), none.cast("string").alias("locator"), none.cast("bigint").alias("expected_cents"), none.cast("bigint").alias("observed_cents")))
-        .when(F.col("entries").isNull(), F.struct(F.lit("NO_ROWS"), none.cast("string"), none.cast("bigint"), none.cast("bigint")))
-        .when(F.col("bad_amount").isNotNull(), F.struct(F.col("bad_amount.amount_error"), F.col("bad_amount.locator"), none.cast("bigint"), none.cast("bigint")))
-        .when(F.col("break").isNotNull(), F.struct(F.lit("CHAIN_BREAKS"), F.col("break.locator"), F.col("break.expected_cents"), F.col("break.balance_cents")))
-        .when(off_close, F.struct(F.lit("CHAIN_DOES_NOT_CLOSE"), none.cast("string"), F.col("closing_cents"), F.col("last_balance")))
-        .when(off_totals, F.struct(F.lit("TOTALS_DISAGREE"), none.cast("string"), F.col("credits_cents"), F.col("sum_credits")))
-    )
+        F.when(F.col("missing").isNotNull(), fails(F.concat(F.lit("NO_"), "missing")))
+        .when(F.col("entries").isNull(), fails("NO_ROWS"))
+        .when(bad.isNotNull(), fails(bad["amount_error"], bad["locator"]))
+        .when(broke.isNotNull(), fails("CHAIN_BREAKS", broke["locator"], broke["expected_cents"], broke["balance_cents"]))
+        .when(off_close, fails("CHAIN_DOES_NOT_CLOSE", None, F.col("closing_cents"), F.col("last_balance")))
+        .when(off_totals, fails("TOTALS_DISAGREE", None, F.col("credits_cents"), F.col("sum_credits")))
+    )
     return docs.withColumn("__r", reason).select(
         "raw_id", "account_number", "from_date", "to_date", F.coalesce("entries", F.lit(0)).alias("entries"),
         F.col("__r").isNull().alias("accepted"), F.col("__r.code").alias("rejected_because"), F.col("__r.locator").alias("locator"),
