@@ -1,5 +1,5 @@
 """Every question that SQL can state, by query name."""
 
-from oracle import ingest
+from oracle import flow, ingest
 
-ORACLE = {**ingest.ORACLE}
+ORACLE = {**flow.ORACLE, **ingest.ORACLE}

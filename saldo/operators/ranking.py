@@ -21,16 +21,17 @@ def ranked(
     out: str = "rank",
     running: tuple[str, str] | None = None,
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based rank of each row within ``keys``; ``order`` must leave no ties.
 
     ``running=(column, out)`` also adds the running sum of a column up to the row. Group sizes are
-    measured first. When a group is too large for one task, rows are range-partitioned on (keys,
+    measured first, or given as ``sizes`` with a ``count`` column. When a group is too large for one task, rows are range-partitioned on (keys,
     order), each slice is ranked on its own, and the sizes of earlier slices of the same group are
     added. At most one group continues across each slice boundary, so the offsets never number more
     than the partitions.
     """
-    sizes = df.groupBy(*keys).count()
+    sizes = df.groupBy(*keys).count() if sizes is None else sizes
     if sizes.filter(F.col("count") > hot_rows).isEmpty():
         window = Window.partitionBy(*keys).orderBy(*order)
         result = df.withColumn(out, F.row_number().over(window).cast("bigint"))
@@ -77,31 +78,33 @@ def allocate(
     Each row gets the floor of its proportion; the units left go to the largest remainders, ties in
     ``order``. The sign of the total is kept. A group whose weights are all zero gets null shares.
     """
-    weights = df.groupBy(*keys).agg(
+    rows = materialise(df, "allocate")
+    group = rows.groupBy(*keys).agg(
         F.sum(F.col(weight).cast(WIDE)).alias("__weights"),
         F.min(weight).alias("__lowest"),
+        F.count(F.lit(1)).alias("count"),
     )
-    weights = weights.withColumn(
-        "__weights",
-        F.when(F.col("__lowest") < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(
-            F.col("__weights")
-        ),
-    ).drop("__lowest")
-    result = df.join(weights, list(keys))
+    group = materialise(group, "allocate-groups")
+    if not group.filter("__lowest < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     divisor = F.when(F.col("__weights") > 0, F.col("__weights"))
-    for total, share in totals.items():
-        product = F.abs(F.col(total)).cast(WIDE) * F.col(weight).cast("decimal(19,0)")
-        result = result.withColumn("__product", product.cast(WIDE))
-        result = result.withColumn("__rest", (F.col("__product") % divisor).cast(WIDE)).withColumn(
-            "__units", ((F.col("__product") - F.col("__rest")) / divisor).cast("bigint")
+    parts = rows.join(group.select(*keys, "__weights"), list(keys))
+    for n, total in enumerate(totals):
+        product = (F.abs(F.col(total)).cast(WIDE) * F.col(weight).cast("decimal(19,0)")).cast(WIDE)
+        parts = parts.withColumn("__product", product)
+        parts = parts.withColumn(f"__rest{n}", (F.col("__product") % divisor).cast(WIDE)).withColumn(
+            f"__units{n}", ((F.col("__product") - F.col(f"__rest{n}")) / divisor).cast("bigint")
         )
-        left = result.groupBy(*keys).agg(
-            (F.abs(F.first(total)) - F.sum("__units")).alias("__left")
-        )
-        result = result.join(left, list(keys))
-        result = ranked(result, keys, [F.col("__rest").desc(), *order], "__rank", hot_rows=hot_rows)
-        units = F.col("__units") + F.when(F.col("__rank") <= F.col("__left"), 1).otherwise(0)
-        result = result.withColumn(
-            share, F.when(F.col(total) < 0, -units).otherwise(units).cast("bigint")
-        ).drop("__product", "__rest", "__units", "__left", "__rank")
+    parts = parts.drop("__product")
+    # the floors fall short of the total by the remainders, summed and divided once
+    left = parts.groupBy(*keys).agg(
+        *[(F.max(F.abs(F.col(t))) - F.sum(f"__units{n}")).alias(f"__left{n}") for n, t in enumerate(totals)]
+    )
+    result = parts.join(left, list(keys))
+    for n, (total, share) in enumerate(totals.items()):
+        by = [F.col(f"__rest{n}").desc(), *order]
+        result = ranked(result, keys, by, "__rank", hot_rows=hot_rows, sizes=group)
+        units = F.col(f"__units{n}") + F.when(F.col("__rank") <= F.col(f"__left{n}"), 1).otherwise(0)
+        result = result.withColumn(share, F.when(F.col(total) < 0, -units).otherwise(units).cast("bigint"))
+        result = result.drop(f"__rest{n}", f"__units{n}", f"__left{n}", "__rank")
     return result.drop("__weights")

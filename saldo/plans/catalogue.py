@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saldo.plans import catalogue_ingest
+from saldo.plans import catalogue_erp, catalogue_flow, catalogue_ingest
 from saldo.plans.fixtures import Workspace
 
-QUERIES = {**catalogue_ingest.QUERIES}
+QUERIES = {**catalogue_flow.QUERIES, **catalogue_erp.QUERIES, **catalogue_ingest.QUERIES}
 
 
 def portable(df: DataFrame) -> DataFrame:

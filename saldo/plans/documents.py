@@ -153,11 +153,13 @@ class Documents:
 
     @cached_property
     def statement_headers(self) -> DataFrame:
-        return statement.headers(self.statement_rows)
+        return materialise(statement.headers(self.statement_rows), "statement-headers")
 
     @cached_property
     def statement_entries(self) -> DataFrame:
-        return statement.entries(self.statement_rows, self.statement_headers)
+        return materialise(
+            statement.entries(self.statement_rows, self.statement_headers), "statement-entries"
+        )
 
     @cached_property
     def statement_chain(self) -> DataFrame:

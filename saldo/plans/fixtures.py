@@ -44,6 +44,12 @@ CHART = Chart(
         "TRANSFER_IN": ("111001", "Banco"),
     },
     journals=tuple(Journal(f"gw:{n}", 48 + n, f"Gateway {n}", "1110001", "1010001") for n in range(10))
+    + tuple(Journal(f"ord:{n}", 60 + n, f"Orders {n}", "1110001", "1010001") for n in range(1, 6)),
+)
+#: The bank's own journals next to the channels' journals its transfers come from.
+BANK_CHART = Chart(
+    accounts=CHART.accounts,
+    journals=tuple(Journal(key, 40 + n, f"Channel {key}", f"111000{n}") for n, key in enumerate(RULES.channel_keys))
     + tuple(Journal(f"bank:{n}", 70 + n, f"Bank {n}", "111001", "111002") for n in range(10)),
 )
 
@@ -185,13 +191,17 @@ class Workspace:
 
     # ---- journals
 
-    @cached_property
-    def journal_table(self) -> DataFrame:
-        rows = [(j.key, j.id, j.name, j.main_account, j.key) for j in CHART.journals if j.key.startswith("gw:")]
+    def _journals(self, chart: Chart) -> DataFrame:
+        """The journals of a chart; here a journal's key is the account it books."""
+        rows = [(j.key, j.id, j.name, j.main_account, j.key) for j in chart.journals]
         return self.spark.createDataFrame(
             rows, "journal_key string, journal_id int, journal_name string, main_account string, account_id string"
         )
 
+    @cached_property
+    def journal_table(self) -> DataFrame:
+        return self._journals(CHART)
+
     @cached_property
     def _booked(self) -> DataFrame:
         """Entries by event id mod 10; the comments say how each class is booked."""
@@ -245,6 +255,94 @@ class Workspace:
         """Without settlement results."""
         return Books(self.movements, self.heads, self.lines, self.journal_table, self.flow.calendar, CHART, RULES)
 
+    # ---- journals of the orders: sales of several movements each
+
+    @cached_property
+    def _order_sums(self) -> DataFrame:
+        """Per order: what its movements add up to, and the parts an entry may show."""
+
+        def part(kind: str) -> Column:
+            return F.sum(F.when(F.col("type") == kind, F.col("amount_cents"))).alias(kind)
+
+        grouped = self.order_movements.groupBy("account_id", "external_id", "value_date").agg(
+            F.sum("amount_cents").alias("net"), *[part(k) for k in ("CHARGE", "FEE", "TAX", "WITHHOLDING")]
+        )
+        return grouped.withColumn("k", F.substring("external_id", 5, 20).cast("bigint") % 3)
+
+    @cached_property
+    def order_heads(self) -> DataFrame:
+        """Order number mod 3: 0 booked at gross, 1 booked in full, 2 only in a total on even days."""
+        own = self._order_sums.filter("k <> 2").select(
+            F.concat(F.lit("s-"), "external_id").alias("entry_id"), "account_id", F.lit(None).cast("string").alias("ref"),
+            F.concat(F.lit("Venta ("), "external_id", F.lit(") ")).alias("name"), F.col("value_date").alias("date"),
+        )
+        day = self._order_totals.select(
+            "entry_id", "account_id", F.lit(" ").alias("ref"), F.lit("Ventas del dia").alias("name"), F.col("value_date").alias("date")
+        )
+        number = F.substring("account_id", 5, 5).cast("int")
+        return own.unionByName(day).select(
+            "entry_id", F.col("account_id").alias("journal_key"), (number + 60).alias("journal_id"), "name", "ref", "date",
+            F.lit("posted").alias("state"),
+        )
+
+    @cached_property
+    def _order_totals(self) -> DataFrame:
+        return (
+            self._order_sums.filter("k = 2")
+            .groupBy("account_id", "value_date")
+            .agg(F.sum("net").alias("net"))
+            .filter("day(value_date) % 2 = 0")
+            .withColumn("entry_id", F.concat_ws("-", F.lit("t"), "account_id", "value_date"))
+        )
+
+    @cached_property
+    def order_lines(self) -> DataFrame:
+        def line(code: str, amount: Column) -> Column:
+            return F.struct(F.lit(code).alias("account_code"), amount.cast("bigint").alias("amount_cents"))
+
+        charge, fee, tax, kept = (F.col(c) for c in ("CHARGE", "FEE", "TAX", "WITHHOLDING"))
+        gross = F.array(line("1110001", charge), line("420500", -charge))
+        full = F.array(
+            line("1110001", charge + fee + tax + kept), line("530505", -fee), line("240810", -tax), line("236500", -kept),
+            line("420500", -charge),
+        )
+        own = self._order_sums.filter("k <> 2").select(
+            F.concat(F.lit("s-"), "external_id").alias("entry_id"), F.explode(F.when(F.col("k") == 0, gross).otherwise(full)).alias("l")
+        )
+        day = self._order_totals.select(
+            "entry_id", F.explode(F.array(line("1110001", F.col("net")), line("420500", -F.col("net")))).alias("l")
+        )
+        return own.unionByName(day).select("entry_id", "l.account_code", "l.amount_cents")
+
+    @cached_property
+    def order_books(self) -> Books:
+        return Books(
+            self.order_movements, self.order_heads, self.order_lines, self.journal_table, self.order_flow.calendar, CHART, ORDER_RULES
+        )
+
+    # ---- journals of the bank: transfers from the channels
+
+    @cached_property
+    def bank_heads(self) -> DataFrame:
+        """Half of the credits are booked, as an entry of the same day and amount."""
+        return self.bank.filter("amount_cents % 2 = 0").select(
+            F.concat(F.lit("b"), F.substring("id", 5, 32)).alias("entry_id"), F.col("account_id").alias("journal_key"),
+            (F.substring("account_id", 6, 5).cast("int") + 70).alias("journal_id"), F.lit("BNK").alias("name"),
+            F.lit(None).cast("string").alias("ref"), F.col("value_date").alias("date"), F.lit("posted").alias("state"),
+        )
+
+    @cached_property
+    def bank_lines(self) -> DataFrame:
+        return self.bank.filter("amount_cents % 2 = 0").select(
+            F.concat(F.lit("b"), F.substring("id", 5, 32)).alias("entry_id"), F.lit("111001").alias("account_code"), "amount_cents"
+        )
+
+    @cached_property
+    def bank_books(self) -> Books:
+        return Books(
+            self.bank, self.bank_heads, self.bank_lines, self._journals(BANK_CHART), self.flow.calendar, BANK_CHART, RULES
+        )
+
 
 def _channel(number: Column) -> Column:
     return F.when(number % 3 == 0, "alpha").when(number % 3 == 1, "beta").otherwise("gamma")
