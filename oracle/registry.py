@@ -1,5 +1,5 @@
 """Every question that SQL can state, by query name."""
 
-from oracle import flow, ingest
+from oracle import erp, flow, ingest
 
-ORACLE = {**flow.ORACLE, **ingest.ORACLE}
+ORACLE = {**flow.ORACLE, **erp.ORACLE, **ingest.ORACLE}

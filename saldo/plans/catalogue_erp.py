@@ -73,7 +73,7 @@ def erp_p2_exact_bank(w: Workspace) -> DataFrame:
 
 
 def erp_p3_aggregate(w: Workspace) -> DataFrame:
-    return w.order_books.matched.filter("pass in (1, 2, 3)").select("journal_key", "group_key", "entry_id", "level")
+    return w.order_books.matched.select("journal_key", "group_key", "entry_id", "level")
 
 
 def erp_p4_nearest(w: Workspace) -> DataFrame:
@@ -100,7 +100,7 @@ def erp_assess_plain(w: Workspace) -> DataFrame:
 
 
 def erp_assess_orders(w: Workspace) -> DataFrame:
-    return _lines(w.order_books).filter("level <> 'APPROXIMATE'")
+    return _lines(w.order_books)
 
 
 def erp_assess_bank(w: Workspace) -> DataFrame:
@@ -142,9 +142,7 @@ def erp_correction(w: Workspace) -> DataFrame:
 
 
 def erp_correction_orders(w: Workspace) -> DataFrame:
-    """Only what the first three passes leave; the nearest entry of a day has no plain SQL here."""
-    kept = w.order_books.report.filter("level <> 'APPROXIMATE'").select("journal_key", "group_key")
-    return _corrections(w.order_books).join(kept, ["journal_key", "group_key"], "left_semi")
+    return _corrections(w.order_books)
 
 
 def erp_correction_bank(w: Workspace) -> DataFrame:
