@@ -11,6 +11,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from saldo.session import small_table
+
 # The closed vocabulary of evidence codes with the dimension each belongs to.
 EVIDENCE_DIMENSIONS = {
     "AMOUNT_EXACT": "AMOUNT",
@@ -291,7 +293,7 @@ def channel_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
                 channel.policy is not None, channel.rates is not None,
             )
         )
-    return spark.createDataFrame(rows, CHANNEL_SCHEMA)
+    return small_table(spark, rows, CHANNEL_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -339,7 +341,8 @@ class Chart:
 
 
 def journal_table(spark: SparkSession, chart: Chart) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(j.key, j.id, j.name, j.main_account, j.suspense_account) for j in chart.journals],
         "journal_key string, journal_id int, journal_name string, main_account string, "
         "suspense_account string",
@@ -347,7 +350,8 @@ def journal_table(spark: SparkSession, chart: Chart) -> DataFrame:
 
 
 def account_table(spark: SparkSession, chart: Chart) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(t, code, name) for t, (code, name) in chart.accounts.items()],
         "concept string, account_code string, account_name string",
     )

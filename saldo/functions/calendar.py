@@ -8,6 +8,7 @@ on the span of years only.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ def calendar_table(
     """Columns ``d, is_business, ord, ahead``; ``ahead[n-1]`` is the n-th business day after d."""
     if horizon < 1:
         raise ValueError("a business-day count starts at 1")
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("d")
+    span = (date.fromisoformat(last) - date.fromisoformat(first)).days + 1
+    days = spark.range(0, span, 1, 1).select(
+        F.date_add(F.to_date(F.lit(first)), F.col("id").cast("int")).alias("d")
     )
     closed = [F.to_date(F.lit(h)) for h in sorted(set(holidays))]
     weekday = F.weekday("d") < 5
@@ -36,39 +38,38 @@ def calendar_table(
     numbered = days.withColumn("is_business", is_business).withColumn(
         "ord", F.sum(F.col("is_business").cast("int")).over(Window.orderBy("d"))
     )
-    business = numbered.filter("is_business").select(F.col("ord").alias("b_ord"), F.col("d").alias("b_day"))
-    following = (
-        business.select(
-            F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("n"), "b_ord", "b_day"
-        )
-        .select((F.col("b_ord") - F.col("n")).alias("ord"), "n", "b_day")
-        .groupBy("ord")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "b_day"))).alias("pairs"))
-        .select("ord", F.transform("pairs", lambda p: p["b_day"]).alias("ahead"))
-    )
-    return numbered.join(following, "ord", "left").select("d", "is_business", "ord", "ahead")
+    # the next business days of a day are those its count of business days points at
+    ahead = [
+        numbered.filter("is_business").select((F.col("ord") - n).alias("ord"), F.col("d").alias(f"n{n}"))
+        for n in range(1, horizon + 1)
+    ]
+    following = ahead[0]
+    for column in ahead[1:]:
+        following = following.join(column, "ord", "left")
+    listed = F.array_compact(F.array(*[F.col(f"n{n}") for n in range(1, horizon + 1)]))
+    return numbered.join(following, "ord", "left").select("d", "is_business", "ord", listed.alias("ahead"))
 
 
 def with_business_day_after(
-    df: DataFrame, calendar: DataFrame, date: str, n: Column, out: str
+    df: DataFrame, calendar: DataFrame, day: str, n: Column, out: str
 ) -> DataFrame:
-    """Add ``out``: the n-th business day strictly after ``date``."""
+    """Add ``out``: the n-th business day strictly after ``day``."""
     ahead = calendar.select(F.col("d").alias("__d"), F.col("ahead").alias("__ahead"))
     checked = F.when(n < 1, F.raise_error(F.lit("a business-day count starts at 1"))).otherwise(n)
     return (
-        df.join(ahead, df[date] == F.col("__d"), "left")
+        df.join(ahead, df[day] == F.col("__d"), "left")
         .withColumn(out, F.get("__ahead", checked - 1))
         .drop("__d", "__ahead")
     )
 
 
-def with_window(df: DataFrame, calendar: DataFrame, date: str) -> DataFrame:
+def with_window(df: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
     """Add ``window_start`` and ``window_end``, both inclusive, from ``window_from``/``window_to``."""
     ahead = calendar.select(
         F.col("d").alias("__d"), F.col("ahead").alias("__ahead"), F.col("ord").alias("batch_ord")
     )
     return (
-        df.join(ahead, df[date] == F.col("__d"), "left")
+        df.join(ahead, df[day] == F.col("__d"), "left")
         .withColumn("window_start", F.get("__ahead", F.col("window_from") - 1))
         .withColumn("window_end", F.get("__ahead", F.col("window_to") - 1))
         .drop("__d", "__ahead")

@@ -106,16 +106,19 @@ def match(grouped: DataFrame, listed: DataFrame, calendar: DataFrame, shift_days
     )
     found = []
     for number, find in enumerate((by_reference, by_amount, by_day_total, by_nearest, by_shift), 1):
+        if number > 1 and (pending.isEmpty() or free.isEmpty()):
+            break  # nothing left to pair
         if number == 5:
             hits = find(pending, free, calendar, shift_days)
         else:
             hits = find(pending, free)
         hits = materialise(hits.withColumn("pass", F.lit(number)).select(*MATCH_COLUMNS), f"pass{number}")
         found.append(hits)
+        if number == 5:
+            break
         pending = pending.join(hits, ["journal_key", "group_key"], "left_anti")
         free = free.join(hits, ["journal_key", "entry_id"], "left_anti")
-        if number < 5:
-            pending, free = materialise(pending, "groups"), materialise(free, "entries")
+        pending, free = materialise(pending, "groups"), materialise(free, "entries")
     result = found[0]
     for hits in found[1:]:
         result = result.unionByName(hits)

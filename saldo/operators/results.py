@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.config import RuleSet
+from saldo.config import EVIDENCE_DIMENSIONS, RuleSet
 from saldo.functions import calendar as cal
 from saldo.functions import ids, parties, scoring
 from saldo.functions.money import money_text, percent
 from saldo.operators import deductions
+from saldo.session import small_table
 
 # The names results give to the three ways of settling.
 RULE_NAMES = {1: ("SCHEDULED_SETTLEMENT", 2), 2: ("SPLIT_SETTLEMENT", 1), 3: ("MERGED_SETTLEMENT", 1)}
@@ -280,8 +281,6 @@ def run_report(run: DataFrame, flow_summary: DataFrame, results: DataFrame, uncl
 
 def rubric(spark, rules: RuleSet) -> DataFrame:
     """Every code of the vocabulary with its weight, gate and the codes it excludes."""
-    from saldo.config import EVIDENCE_DIMENSIONS
-
     rows = []
     for ordinal, (code, dimension) in enumerate(EVIDENCE_DIMENSIONS.items()):
         group = next((m for m in rules.exclusive.values() if code in m), ())
@@ -289,7 +288,8 @@ def rubric(spark, rules: RuleSet) -> DataFrame:
             (ordinal, code, dimension, rules.weights.get(code), code in rules.disqualifying,
              [c for c in group if c != code], rules.attainable)
         )
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "ordinal int, code string, dimension string, weight int, disqualifying boolean, "
         "exclusive_with array<string>, attainable int",

@@ -55,10 +55,13 @@ def search(
         F.max("reach").alias("block_reach"), F.min("pos").alias("block_pos")
     )
 
-    spark = pairs.sparkSession
-    solution_schema = "batch_id string, positions array<int>"
-    solutions = spark.createDataFrame([], solution_schema)
-    spent = spark.createDataFrame([], "batch_id string, rows bigint")
+    # per batch: rows grown so far, and its first few solutions in order
+    state = materialise(
+        credits.groupBy("batch_id").agg(F.lit(0).cast("bigint").alias("rows")).withColumn(
+            "solutions", F.array().cast("array<array<int>>")
+        ),
+        "subset-state",
+    )
     # an open row: the credits chosen, what is missing, and the block to read next
     open_rows = credits.groupBy("batch_id").agg(
         F.first("target_cents").alias("missing"), F.first("slack_cents").alias("slack_cents")
@@ -72,6 +75,7 @@ def search(
     )
     open_rows = materialise(open_rows, "subset-open")
 
+    most = rules.subset_max_solutions
     while not open_rows.isEmpty():
         turn = Window.partitionBy("batch_id").orderBy("place")
         queue = open_rows.withColumn("__turn", F.row_number().over(turn))
@@ -91,7 +95,16 @@ def search(
             .withColumn("solved", F.abs("missing") <= F.col("slack_cents"))
         )
         grown = materialise(grown, "subset-grown")
-        fresh = grown.filter("solved").select("batch_id", F.col("chosen").alias("positions"))
+        # a round grows at most block * block rows per batch
+        news = grown.groupBy("batch_id").agg(
+            F.count(F.lit(1)).alias("new_rows"), F.collect_list(F.when(F.col("solved"), F.col("chosen"))).alias("fresh")
+        )
+        state = state.join(news, "batch_id", "left").select(
+            "batch_id",
+            (F.col("rows") + F.coalesce("new_rows", F.lit(0))).alias("rows"),
+            F.slice(F.array_sort(F.concat("solutions", F.coalesce("fresh", F.array().cast("array<array<int>>")))), 1, most).alias("solutions"),
+        )
+        state = materialise(state, "subset-state")
         children = grown.filter(
             ~F.col("solved")
             & (F.size("chosen") < rules.subset_max_size)
@@ -108,46 +121,23 @@ def search(
                 "slack_cents", "block",
             )
         )
-
-        best = Window.partitionBy("batch_id").orderBy("positions")
-        solutions = materialise(
-            solutions.unionByName(fresh)
-            .withColumn("__n", F.row_number().over(best))
-            .filter(F.col("__n") <= rules.subset_max_solutions)
-            .drop("__n"),
-            "subset-solutions",
-        )
-        spent = materialise(
-            spent.unionByName(grown.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")))
-            .groupBy("batch_id")
-            .agg(F.sum("rows").alias("rows")),
-            "subset-spent",
-        )
-        full = (
-            solutions.groupBy("batch_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("positions").alias("last"))
-            .filter(F.col("n") >= rules.subset_max_solutions)
-        )
+        # open rows behind the last wanted solution, or of a batch out of budget, are done
+        last = F.get("solutions", F.lit(most - 1))
         open_rows = (
             later.unionByName(children)
             .unionByName(onwards)
-            .join(full, "batch_id", "left")
+            .join(state.filter(F.col("rows") <= rules.subset_max_rows).select("batch_id", last.alias("last")), "batch_id")
             .filter(F.col("last").isNull() | (F.col("place") < F.col("last")))
-            .drop("n", "last")
-            .join(spent.filter(F.col("rows") > rules.subset_max_rows), "batch_id", "left_anti")
+            .drop("last")
         )
         open_rows = materialise(open_rows, "subset-open")
 
-    numbered = solutions.withColumn(
-        "solution", F.row_number().over(Window.partitionBy("batch_id").orderBy("positions"))
-    )
+    solutions = state.select("batch_id", F.posexplode("solutions").alias("solution", "positions"))
     named = (
-        numbered.select("batch_id", "solution", "positions", F.explode("positions").alias("pos"))
+        solutions.select("batch_id", (F.col("solution") + 1).alias("solution"), "positions", F.explode("positions").alias("pos"))
         .join(credits.select("batch_id", "pos", "deposit_id"), ["batch_id", "pos"])
         .groupBy("batch_id", "solution", "positions")
         .agg(F.array_sort(F.collect_list("deposit_id")).alias("deposits"))
     )
-    exhausted = spent.filter(F.col("rows") > rules.subset_max_rows).join(
-        solutions, "batch_id", "left_anti"
-    )
+    exhausted = state.filter((F.col("rows") > rules.subset_max_rows) & (F.size("solutions") == 0)).select("batch_id", "rows")
     return named, exhausted

@@ -14,7 +14,7 @@ from saldo.functions.money import percent
 from saldo.operators import assignment, batches, candidates, deductions, lineage, ranking, results
 from saldo.plans.fixtures import ORDER_RULES, RULES, Workspace
 from saldo.plans.flow import Flow
-from saldo.session import shared_dir
+from saldo.session import shared_dir, small_table
 from saldo.sources import store
 
 def text(column: str) -> Column:
@@ -454,8 +454,8 @@ def snk_report(w: Workspace) -> DataFrame:
     totals = results.totals(w.flow.results, "account_id").withColumn("scope", F.lit("all"))
     for run in ("run_20240201000000", "run_20240301000000"):
         store.save_report(totals, path, run, "flow")
-    runs = w.spark.createDataFrame(
-        [("run_20240201000000", "2024-02-01"), ("run_20240301000000", "2024-03-01")], "run_id string, started_at string"
+    runs = small_table(
+        w.spark, [("run_20240201000000", "2024-02-01"), ("run_20240301000000", "2024-03-01")], "run_id string, started_at string"
     )
     return store.latest_report(w.spark, path, "flow", "all", runs).select(
         "run_id", "account_id", "batches", "gross_cents", "observed_cents"

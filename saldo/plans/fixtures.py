@@ -19,7 +19,7 @@ from saldo.functions import ids
 from saldo.operators import batches
 from saldo.plans.books import Books
 from saldo.plans.flow import Flow
-from saldo.session import configure, materialise
+from saldo.session import configure, materialise, small_table
 
 HOLIDAYS = ["2024-01-01", "2024-01-08", "2024-01-22"]
 ZONE = "America/Bogota"
@@ -75,6 +75,9 @@ def _movements(rows: DataFrame, source: str) -> DataFrame:
     )
 
 
+SCOPE_COLUMNS = "account_id string, channel string, bank_account_id string"
+
+
 class Workspace:
     """Everything derived from one directory of tables; stages are built once per workspace."""
 
@@ -120,21 +123,19 @@ class Workspace:
     @cached_property
     def scopes(self) -> DataFrame:
         """Which channel a gateway account is on and which bank account it is paid into."""
-        number = F.col("id")
-        return self.spark.range(10).select(
-            F.concat(F.lit("gw:"), number).alias("account_id"), _channel(number).alias("channel"),
-            F.concat(F.lit("bank:"), number).alias("bank_account_id"),
-        )
-
-    @cached_property
-    def bank(self) -> DataFrame:
-        """Credits cut from the batches by their ordinal: see the numbers in the when branches."""
-        probe = Flow(self.movements, self.movements, self.scopes, RULES, HOLIDAYS)
-        return materialise(_cut_credits(probe.batches, probe.calendar, silent=True), "bank")
+        rows = [(f"gw:{n}", RULES.channel_keys[n % 3], f"bank:{n}") for n in range(10)]
+        return small_table(self.spark, rows, SCOPE_COLUMNS)
 
     @cached_property
     def flow(self) -> Flow:
-        return Flow(self.movements, self.bank, self.scopes, RULES, HOLIDAYS)
+        """The run over the purchases; its credits are cut from its own batches."""
+        flow = Flow(self.movements, None, self.scopes, RULES, HOLIDAYS)
+        flow.bank = materialise(_cut_credits(flow.batches, flow.calendar, silent=True), "bank")
+        return flow
+
+    @property
+    def bank(self) -> DataFrame:
+        return self.flow.bank
 
     # ---- orders: a channel that states its deductions
 
@@ -174,28 +175,24 @@ class Workspace:
 
     @cached_property
     def order_scopes(self) -> DataFrame:
-        number = F.col("id") + 1
-        return self.spark.range(5).select(
-            F.concat(F.lit("ord:"), number).alias("account_id"), F.lit("delta").alias("channel"),
-            F.concat(F.lit("bank:ord:"), number).alias("bank_account_id"),
-        )
-
-    @cached_property
-    def order_bank(self) -> DataFrame:
-        probe = Flow(self.order_movements, self.order_movements, self.order_scopes, ORDER_RULES, [])
-        return materialise(_cut_credits(probe.batches, probe.calendar, silent=False), "order-bank")
+        # the second channel has an account without movements
+        rows = [(f"ord:{n}", "delta", f"bank:ord:{n}") for n in range(1, 6)] + [("ord:9", "omega", "bank:ord:9")]
+        return small_table(self.spark, rows, SCOPE_COLUMNS)
 
     @cached_property
     def order_flow(self) -> Flow:
-        return Flow(self.order_movements, self.order_bank, self.order_scopes, ORDER_RULES, [])
+        """The run over the orders; its credits are cut from its own batches."""
+        flow = Flow(self.order_movements, None, self.order_scopes, ORDER_RULES, [])
+        flow.bank = materialise(_cut_credits(flow.batches, flow.calendar, silent=False), "order-bank")
+        return flow
 
     # ---- journals
 
     def _journals(self, chart: Chart) -> DataFrame:
         """The journals of a chart; here a journal's key is the account it books."""
         rows = [(j.key, j.id, j.name, j.main_account, j.key) for j in chart.journals]
-        return self.spark.createDataFrame(
-            rows, "journal_key string, journal_id int, journal_name string, main_account string, account_id string"
+        return small_table(
+            self.spark, rows, "journal_key string, journal_id int, journal_name string, main_account string, account_id string"
         )
 
     @cached_property

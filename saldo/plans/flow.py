@@ -17,11 +17,12 @@ class Flow:
     """The stages of one run over any number of accounts, each built when first asked for.
 
     ``scopes`` is (account_id, channel, bank_account_id). Stages that are read several times, or
-    that the next stage loops over, are written to the shared folder.
+    that the next stage loops over, are written to the shared folder. ``bank`` may be set later, as
+    the batches do not need it.
     """
 
     def __init__(
-        self, movements: DataFrame, bank: DataFrame, scopes: DataFrame, rules: RuleSet, holidays: list[str],
+        self, movements: DataFrame, bank: DataFrame | None, scopes: DataFrame, rules: RuleSet, holidays: list[str],
         run: str | None = None,
     ):
         self.spark = movements.sparkSession

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: UTC keeps instants comparable, ANSI makes overflow and bad casts loud, AQE re-plans on measured sizes.
 SETTINGS = {
@@ -56,3 +58,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/saldo/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of configuration rows whose size the optimizer knows.
+
+    Rows sent as a local collection have no statistics, so joins with them would shuffle the large
+    side by a handful of keys. As literals of the plan they are small by measure and are broadcast.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+
+    def cell(value, field):
+        literal = F.array() if value == [] else F.lit(value)
+        return literal.cast(field.dataType).alias(field.name)
+
+    if not rows:
+        return spark.range(0).select(*[cell(None, f) for f in fields])
+    structs = [F.struct(*[cell(v, f) for v, f in zip(row, fields, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
