@@ -125,11 +125,31 @@ def match(grouped: DataFrame, listed: DataFrame, calendar: DataFrame, shift_days
     return result
 
 
-def _zip(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:
-    """Pair the n-th of one side with the n-th of the other inside each key."""
-    a = ranked(materialise(left, "left"), keys, left_order, "nth")
-    b = ranked(materialise(right, "right"), keys, right_order, "nth")
-    return a.join(b, [*keys, "nth"])
+def _zip(
+    left: DataFrame, right: DataFrame, keys: list[str], left_order: tuple[str, str], right_order: tuple[str, str]
+) -> DataFrame:
+    """Pair the n-th of one side with the n-th of the other inside each key.
+
+    Sides are ordered by their (day, name) columns; the pairs have ``group_key`` and ``entry_id``.
+    """
+    # a key found on one side only pairs nothing and needs no rank
+    g = left.join(right, keys, "left_semi")
+    e = right.join(left, keys, "left_semi")
+    nth = _numbered(
+        g.select(*keys, F.lit("g").alias("side"), F.col(left_order[0]).alias("day"), F.col(left_order[1]).alias("name")),
+        e.select(*keys, F.lit("e").alias("side"), F.col(right_order[0]).alias("day"), F.col(right_order[1]).alias("name")),
+        keys,
+    )
+    return _side(nth, "g", "group_key").join(_side(nth, "e", "entry_id"), [*keys, "nth"])
+
+
+def _numbered(g: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+    both = materialise(g.unionByName(e), "sides")
+    return ranked(both, [*keys, "side"], [F.col("day"), F.col("name")], "nth")
+
+
+def _side(numbered: DataFrame, side: str, name: str) -> DataFrame:
+    return numbered.filter(F.col("side") == side).withColumnRenamed("name", name).drop("side", "day")
 
 
 def _no_pairs(pending: DataFrame, free: DataFrame) -> DataFrame:
@@ -141,27 +161,18 @@ def _no_pairs(pending: DataFrame, free: DataFrame) -> DataFrame:
 
 def by_reference(pending: DataFrame, free: DataFrame) -> DataFrame:
     """Pass 1: the first free entry carrying the group's key as its reference."""
-    left = pending.withColumn("reference", F.upper("group_key")).select("journal_key", "reference", "group_key", "date")
-    right = free.filter("reference is not null").select(
-        "journal_key", "reference", "entry_id", F.col("date").alias("entry_date")
-    )
-    # sides without a counterpart need no rank
-    left = left.join(right, ["journal_key", "reference"], "left_semi")
-    right = right.join(left, ["journal_key", "reference"], "left_semi")
-    pairs = _zip(
-        left, right, ["journal_key", "reference"],
-        [F.col("date"), F.col("group_key")], [F.col("entry_date"), F.col("entry_id")],
-    )
+    left = pending.withColumn("reference", F.upper("group_key"))
+    right = free.filter("reference is not null")
+    pairs = _zip(left, right, ["journal_key", "reference"], ("date", "group_key"), ("date", "entry_id"))
     return pairs.withColumn("level", F.lit("REF"))
 
 
 def by_amount(pending: DataFrame, free: DataFrame) -> DataFrame:
     """Pass 2: same day, same amount, one to one."""
-    keys = ["journal_key", "date", "cents"]
-    left = pending.select("journal_key", "date", F.col("ledger_cents").alias("cents"), "group_key")
-    right = free.filter("entry_cents is not null").select("journal_key", "date", F.col("entry_cents").alias("cents"), "entry_id")
-    left, right = left.join(right, keys, "left_semi"), right.join(left, keys, "left_semi")
-    return _zip(left, right, keys, [F.col("group_key")], [F.col("entry_id")]).withColumn("level", F.lit("EXACT"))
+    left = pending.withColumn("cents", F.col("ledger_cents")).withColumn("day", F.col("date"))
+    right = free.filter("entry_cents is not null").withColumn("cents", F.col("entry_cents")).withColumn("day", F.col("date"))
+    pairs = _zip(left, right, ["journal_key", "date", "cents"], ("day", "group_key"), ("day", "entry_id"))
+    return pairs.withColumn("level", F.lit("EXACT"))
 
 
 def by_day_total(pending: DataFrame, free: DataFrame) -> DataFrame:
@@ -180,64 +191,70 @@ def by_nearest(pending: DataFrame, free: DataFrame) -> DataFrame:
 
     Equal amounts on a side are one class, worked off in order; a class only ever competes with
     its neighbours on the amount line, so no list of all pairs is made. In each round every class
-    looks left and right for its best partner. Two classes that prefer each other above all, with
-    no tie, are paired off as far as both reach; in a tie only the first pair of all tied ones is
-    taken. Classes that ran out leave, and the rest looks again.
+    looks left and right for its best partner. Two classes that prefer each other are paired off as
+    far as both reach; where one of them has a tie, only their first pair is taken, since the other
+    class of the tie may come next. Classes that ran out leave, and the rest looks again, until
+    nobody finds a partner.
     """
     day = ["journal_key", "date"]
-    entry_days, group_days = free.filter("entry_cents is not null"), pending.filter("ledger_cents <> 0")
-    left = group_days.join(entry_days.select(*day).distinct(), day, "left_semi")
-    right = entry_days.join(group_days.select(*day).distinct(), day, "left_semi")
-    g = left.select(*day, F.col("ledger_cents").alias("cents"), F.col("group_key").alias("name"))
-    e = right.select(*day, F.col("entry_cents").alias("cents"), F.col("entry_id").alias("name"))
-    g = materialise(ranked(materialise(g, "near-g"), [*day, "cents"], [F.col("name")], "nth"), "near-g")
-    e = materialise(ranked(materialise(e, "near-e"), [*day, "cents"], [F.col("name")], "nth"), "near-e")
-
-    def classes(side: DataFrame) -> DataFrame:
-        return side.groupBy(*day, "cents").agg(
-            F.count(F.lit(1)).alias("size"), F.lit(0).cast("bigint").alias("used"), F.min("name").alias("head")
-        )
-
-    gc, ec = materialise(classes(g), "near-gc"), materialise(classes(e), "near-ec")
-    taken = None
+    g = pending.filter("ledger_cents <> 0").withColumn("cents", F.col("ledger_cents")).withColumnRenamed("group_key", "name")
+    e = free.filter("entry_cents is not null").withColumn("cents", F.col("entry_cents")).withColumnRenamed("entry_id", "name")
+    g, e = g.join(e, day, "left_semi"), e.join(g, day, "left_semi")
+    key = [*day, "cents"]
+    columns = [*key, F.lit(0).alias("day"), "name"]
+    members = _numbered(
+        g.select(*columns, F.lit("g").alias("side")), e.select(*columns, F.lit("e").alias("side")), key
+    ).drop("day")
+    members = materialise(members, "near-members")
+    classes = members.groupBy(*key, "side").agg(
+        F.count(F.lit(1)).alias("size"), F.lit(0).cast("bigint").alias("used"), F.min("name").alias("head")
+    )
+    classes = materialise(classes, "near-classes")
+    taken: list[DataFrame] = []
     while True:
-        edges = _nearest_edges(gc, ec, day)
-        edges = materialise(edges, "near-edges")
-        if edges.isEmpty():
+        chosen = materialise(_preferring_each_other(classes, day), "near-chosen")
+        if chosen.isEmpty():
             break
-        chosen = materialise(_dominant(edges, day), "near-chosen")
-        pairs = chosen.select(
-            *day, "g_cents", "e_cents", "g_used", "e_used", "units"
-        )
-        taken = pairs if taken is None else taken.unionByName(pairs)
-        gc = materialise(_consume(gc, chosen.select(*day, F.col("g_cents").alias("cents"), "units"), g, day), "near-gc")
-        ec = materialise(_consume(ec, chosen.select(*day, F.col("e_cents").alias("cents"), "units"), e, day), "near-ec")
-        # a class that no longer has any partner in reach cannot get one later
-        alive_g = edges.select(*day, F.col("g_cents").alias("cents")).distinct()
-        gc = gc.join(alive_g, [*day, "cents"], "left_semi")
-
-    if taken is None:
+        taken.append(chosen)
+        used = chosen.select(
+            *day, "units",
+            F.explode(F.array(
+                F.struct(F.lit("g").alias("side"), F.col("g.cents").alias("cents")),
+                F.struct(F.lit("e").alias("side"), F.col("e.cents").alias("cents")),
+            )).alias("c"),
+        ).select(*day, "c.cents", "c.side", "units")
+        moved = classes.join(used, [*key, "side"], "left").withColumn("units", F.coalesce("units", F.lit(0)))
+        moved = moved.withColumn("used", F.col("used") + F.col("units")).filter("used < size")
+        # the next in line of a class that moved on
+        heads = members.select(*key, "side", (F.col("nth") - 1).alias("used"), F.col("name").alias("next"))
+        classes = moved.join(heads, [*key, "side", "used"], "left").select(
+            *key, "side", "size", "used",
+            F.when(F.col("units") > 0, F.col("next")).otherwise(F.col("head")).alias("head"),
+        )
+        classes = materialise(classes, "near-classes")
+    if not taken:
         return _no_pairs(pending, free)
-    units = taken.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("units"))))
-    units = units.withColumn("g_nth", F.col("g_used") + F.col("step")).withColumn("e_nth", F.col("e_used") + F.col("step"))
-    named = units.join(
-        g.select(*day, F.col("cents").alias("g_cents"), F.col("nth").alias("g_nth"), F.col("name").alias("group_key")),
-        [*day, "g_cents", "g_nth"],
-    ).join(
-        e.select(*day, F.col("cents").alias("e_cents"), F.col("nth").alias("e_nth"), F.col("name").alias("entry_id")),
-        [*day, "e_cents", "e_nth"],
-    )
+    pairs = taken[0]
+    for more in taken[1:]:
+        pairs = pairs.unionByName(more)
+    named = _name_units(
+        pairs.select(
+            *day, "units", F.col("g.cents").alias("g_cents"), F.col("g.used").alias("g_used"),
+            F.col("e.cents").alias("e_cents"), F.col("e.used").alias("e_used"),
+        ),
+        _side(members.withColumn("day", F.lit(0)), "g", "group_key").withColumnRenamed("cents", "g_cents"), [*day, "g_cents"],
+        _side(members.withColumn("day", F.lit(0)), "e", "entry_id").withColumnRenamed("cents", "e_cents"), [*day, "e_cents"],
+    )
     return named.withColumn("level", F.lit("APPROXIMATE"))
 
 
-def _consume(side: DataFrame, used: DataFrame, members: DataFrame, day: list[str]) -> DataFrame:
-    """Advance classes by the units taken and look up the new head of each that has some left."""
-    moved = side.join(used, [*day, "cents"], "left").withColumn("units", F.coalesce("units", F.lit(0)))
-    moved = moved.withColumn("used", F.col("used") + F.col("units")).filter("used < size")
-    still = moved.filter("units = 0").drop("units")
-    advanced = moved.filter("units > 0").drop("units", "head").withColumn("nth", F.col("used") + 1)
-    heads = members.select(*day, "cents", "nth", F.col("name").alias("head"))
-    return still.unionByName(advanced.join(heads, [*day, "cents", "nth"]).select(*still.columns))
+def _name_units(pairs: DataFrame, g: DataFrame, g_keys: list[str], e: DataFrame, e_keys: list[str]) -> DataFrame:
+    """From class pairs with counts back to single groups and entries, in their order."""
+    units = pairs.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("units"))))
+    units = units.withColumn("g_nth", F.col("g_used") + F.col("step")).withColumn("e_nth", F.col("e_used") + F.col("step"))
+    g = g.withColumnRenamed("nth", "g_nth")
+    e = e.withColumnRenamed("nth", "e_nth")
+    return units.join(g, [*g_keys, "g_nth"]).join(e, [*e_keys, "e_nth"])
 
 
 def _line_bucket(cents: Column) -> Column:
@@ -246,14 +263,13 @@ def _line_bucket(cents: Column) -> Column:
     return F.when(cents < 0, -size).otherwise(size)
 
 
-def _nearest_edges(gc: DataFrame, ec: DataFrame, day: list[str]) -> DataFrame:
-    """For every class its nearest opposite class on each side, as edges (g, e), without repeats."""
-    a = gc.select(*day, "cents", F.lit("g").alias("kind"), F.struct("cents", "size", "used", "head").alias("me"))
-    b = ec.select(*day, "cents", F.lit("e").alias("kind"), F.struct("cents", "size", "used", "head").alias("me"))
-    points = a.unionByName(b).withColumn("bucket", _line_bucket(F.col("cents")))
-    points = points.withColumn("as_g", F.when(F.col("kind") == "g", F.col("me"))).withColumn(
-        "as_e", F.when(F.col("kind") == "e", F.col("me"))
+def _preferring_each_other(classes: DataFrame, day: list[str]) -> DataFrame:
+    """Class pairs (g, e) each of which is the other's best partner, and how many units to pair."""
+    points = classes.withColumn("me", F.struct("cents", "size", "used", "head")).withColumn(
+        "bucket", _line_bucket(F.col("cents"))
     )
+    for side in ("g", "e"):
+        points = points.withColumn(f"as_{side}", F.when(F.col("side") == side, F.col("me")))
     inside = Window.partitionBy(*day, "bucket").orderBy("cents")
     below = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     above = inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
@@ -273,43 +289,27 @@ def _nearest_edges(gc: DataFrame, ec: DataFrame, day: list[str]) -> DataFrame:
         ends = ends.withColumn(f"prev_{side}", F.last(f"max_{side}", ignorenulls=True).over(before)).withColumn(
             f"next_{side}", F.first(f"min_{side}", ignorenulls=True).over(after)
         )
-    ends = ends.select(*day, "bucket", "prev_g", "next_g", "prev_e", "next_e")
-    known = swept.join(ends, [*day, "bucket"])
-    partner = F.when(
-        F.col("kind") == "g",
-        F.array(F.coalesce("low_e", "prev_e"), F.coalesce("high_e", "next_e")),
-    ).otherwise(F.array(F.coalesce("low_g", "prev_g"), F.coalesce("high_g", "next_g")))
-    paired = known.select(*day, "kind", "me", F.explode(F.array_distinct(F.array_compact(partner))).alias("other"))
-    is_g = F.col("kind") == "g"
-    edges = paired.select(
-        *day, F.when(is_g, F.col("me")).otherwise(F.col("other")).alias("g"), F.when(is_g, F.col("other")).otherwise(F.col("me")).alias("e")
-    ).select(
-        *day, F.col("g.cents").alias("g_cents"), F.col("e.cents").alias("e_cents"), F.col("g.used").alias("g_used"),
-        F.col("e.used").alias("e_used"), F.col("g.head").alias("g_head"), F.col("e.head").alias("e_head"),
-        F.least(F.col("g.size") - F.col("g.used"), F.col("e.size") - F.col("e.used")).alias("reach"),
-        F.abs(F.col("g.cents") - F.col("e.cents")).alias("gap"),
-    )
-    return edges.filter(F.col("gap") < F.abs("g_cents")).distinct()
-
-
-def _dominant(edges: DataFrame, day: list[str]) -> DataFrame:
-    rank = F.struct("gap", "g_head", "e_head")
-    ranked_edges = edges.withColumn("rank", rank)
-    best_g = ranked_edges.groupBy(*day, "g_cents").agg(
-        F.min("rank").alias("best_g"), F.min("gap").alias("gap_g")
-    )
-    best_e = ranked_edges.groupBy(*day, "e_cents").agg(
-        F.min("rank").alias("best_e"), F.min("gap").alias("gap_e")
-    )
-    known = ranked_edges.join(best_g, [*day, "g_cents"]).join(best_e, [*day, "e_cents"])
-    rivals_g = known.filter("gap = gap_g").groupBy(*day, "g_cents").agg(F.count(F.lit(1)).alias("rivals_g"))
-    rivals_e = known.filter("gap = gap_e").groupBy(*day, "e_cents").agg(F.count(F.lit(1)).alias("rivals_e"))
-    mutual = known.filter((F.col("rank") == F.col("best_g")) & (F.col("rank") == F.col("best_e")))
-    alone = (F.col("rivals_g") == 1) & (F.col("rivals_e") == 1)
+    known = swept.join(ends.select(*day, "bucket", "prev_g", "next_g", "prev_e", "next_e"), [*day, "bucket"])
+    is_g = F.col("side") == "g"
+
+    def edge(near: str, far: str) -> Column:
+        other = F.when(is_g, F.coalesce(f"{near}_e", f"{far}_e")).otherwise(F.coalesce(f"{near}_g", f"{far}_g"))
+        g, e = F.when(is_g, F.col("me")).otherwise(other), F.when(is_g, other).otherwise(F.col("me"))
+        gap = F.abs(g["cents"] - e["cents"])
+        body = F.struct(gap.alias("gap"), g["head"].alias("g_head"), e["head"].alias("e_head"), g.alias("g"), e.alias("e"))
+        return F.when(gap < F.abs(g["cents"]), body)  # null without a partner in reach
+
+    sides = known.select(*day, edge("low", "prev").alias("a"), edge("high", "next").alias("b"))
+    best = F.least("a", "b")  # least skips nulls
+    tie = F.coalesce((F.col("a.gap") == F.col("b.gap")) & (F.col("a") != F.col("b")), F.lit(False))
+    wishes = sides.select(*day, best.alias("best"), tie.alias("tie")).filter("best is not null")
     return (
-        mutual.join(rivals_g, [*day, "g_cents"])
-        .join(rivals_e, [*day, "e_cents"])
-        .withColumn("units", F.when(alone, F.col("reach")).otherwise(1).cast("bigint"))
+        wishes.groupBy(*day, F.col("best.g").alias("g"), F.col("best.e").alias("e"))
+        .agg(F.count(F.lit(1)).alias("wishes"), F.bool_or("tie").alias("tie"))
+        .filter("wishes = 2")
+        .withColumn("reach", F.least(F.col("g.size") - F.col("g.used"), F.col("e.size") - F.col("e.used")))
+        .withColumn("units", F.when(F.col("tie"), F.lit(1).cast("bigint")).otherwise(F.col("reach")))
+        .select(*day, "g", "e", "units")
     )
 
 
@@ -324,38 +324,42 @@ def by_shift(pending: DataFrame, free: DataFrame, calendar: DataFrame, shift_day
         return _no_pairs(pending, free)
     same = ["journal_key", "cents"]
     ahead = calendar.select(F.col("d").alias("date"), F.explode(F.slice("ahead", 1, shift_days)).alias("entry_date"))
-    g = pending.select("journal_key", F.col("ledger_cents").alias("cents"), "date", F.col("group_key").alias("name"))
+    g = pending.select("journal_key", F.col("ledger_cents").alias("cents"), F.col("date").alias("when"), F.col("group_key").alias("name"))
     e = free.filter("entry_cents is not null").select(
-        "journal_key", F.col("entry_cents").alias("cents"), F.col("date").alias("entry_date"), F.col("entry_id").alias("name")
+        "journal_key", F.col("entry_cents").alias("cents"), F.col("date").alias("when"), F.col("entry_id").alias("name")
     )
-    reachable = (
-        g.select(*same, "date").distinct().join(ahead, "date").join(e.select(*same, "entry_date").distinct(), [*same, "entry_date"])
-    )
-    reachable = materialise(reachable.select(*same, "date", "entry_date"), "shift-edges")
-    g = g.join(reachable, [*same, "date"], "left_semi")
-    e = e.join(reachable, [*same, "entry_date"], "left_semi")
-    g = materialise(ranked(materialise(g, "shift-g"), [*same, "date"], [F.col("name")], "nth"), "shift-g")
-    e = materialise(ranked(materialise(e, "shift-e"), [*same, "entry_date"], [F.col("name")], "nth"), "shift-e")
-    gc = g.groupBy(*same, "date").agg(F.count(F.lit(1)).alias("g_size"))
-    ec = e.groupBy(*same, "entry_date").agg(F.count(F.lit(1)).alias("e_size"))
-    edges = reachable.join(gc, [*same, "date"]).join(ec, [*same, "entry_date"]).select(
-        *same, "date", "entry_date", "g_size", "e_size", F.lit(0).cast("bigint").alias("g_used"), F.lit(0).cast("bigint").alias("e_used")
+    ahead = ahead.withColumnRenamed("date", "when")
+    later = e.select(*same, F.col("when").alias("entry_date")).distinct()
+    reachable = materialise(
+        g.select(*same, "when").distinct().join(ahead, "when").join(later, [*same, "entry_date"]), "shift-reach"
     )
+    if reachable.isEmpty():
+        return _no_pairs(pending, free)
+    g = g.join(reachable, [*same, "when"], "left_semi").withColumn("side", F.lit("g")).withColumn("day", F.col("when"))
+    theirs = reachable.select(*same, F.col("entry_date").alias("when"))
+    e = e.join(theirs, [*same, "when"], "left_semi").withColumn("side", F.lit("e")).withColumn("day", F.col("when"))
+    members = materialise(_numbered(g, e, [*same, "when"]), "shift-members")
+    sizes = members.groupBy(*same, "when", "side").agg(F.count(F.lit(1)).alias("size"))
+    gc = sizes.filter("side = 'g'").select(*same, "when", F.col("size").alias("g_size"))
+    ec = sizes.filter("side = 'e'").select(*same, F.col("when").alias("entry_date"), F.col("size").alias("e_size"))
+    edges = reachable.join(gc, [*same, "when"]).join(ec, [*same, "entry_date"]).withColumn(
+        "g_used", F.lit(0).cast("bigint")
+    ).withColumn("e_used", F.lit(0).cast("bigint"))
     edges = materialise(edges, "shift-edges")
-    taken = None
+    taken: list[DataFrame] = []
     while not edges.isEmpty():
-        by_g = edges.groupBy(*same, "date").agg(F.min("entry_date").alias("first_e"))
-        by_e = edges.groupBy(*same, "entry_date").agg(F.min("date").alias("first_g"))
+        by_g = edges.groupBy(*same, "when").agg(F.min("entry_date").alias("first_e"))
+        by_e = edges.groupBy(*same, "entry_date").agg(F.min("when").alias("first_g"))
         chosen = (
-            edges.join(by_g, [*same, "date"]).join(by_e, [*same, "entry_date"])
-            .filter("entry_date = first_e and date = first_g")
+            edges.join(by_g, [*same, "when"]).join(by_e, [*same, "entry_date"])
+            .filter(F.expr("entry_date = first_e and `when` = first_g"))
             .withColumn("units", F.least(F.col("g_size") - F.col("g_used"), F.col("e_size") - F.col("e_used")))
-            .select(*same, "date", "entry_date", "g_used", "e_used", "units")
+            .select(*same, "when", "entry_date", "g_used", "e_used", "units")
         )
         chosen = materialise(chosen, "shift-chosen")
-        taken = chosen if taken is None else taken.unionByName(chosen)
+        taken.append(chosen)
         edges = (
-            edges.join(chosen.select(*same, "date", F.col("units").alias("g_units")), [*same, "date"], "left")
+            edges.join(chosen.select(*same, "when", F.col("units").alias("g_units")), [*same, "when"], "left")
             .join(chosen.select(*same, "entry_date", F.col("units").alias("e_units")), [*same, "entry_date"], "left")
             .withColumn("g_used", F.col("g_used") + F.coalesce("g_units", F.lit(0)))
             .withColumn("e_used", F.col("e_used") + F.coalesce("e_units", F.lit(0)))
@@ -363,15 +367,13 @@ def by_shift(pending: DataFrame, free: DataFrame, calendar: DataFrame, shift_day
             .filter("g_used < g_size and e_used < e_size")
         )
         edges = materialise(edges, "shift-edges")
-    if taken is None:
-        return _no_pairs(pending, free)
-    units = taken.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("units"))))
-    units = units.withColumn("g_nth", F.col("g_used") + F.col("step")).withColumn("e_nth", F.col("e_used") + F.col("step"))
-    named = units.join(
-        g.select(*same, "date", F.col("nth").alias("g_nth"), F.col("name").alias("group_key")), [*same, "date", "g_nth"]
-    ).join(
-        e.select(*same, "entry_date", F.col("nth").alias("e_nth"), F.col("name").alias("entry_id")), [*same, "entry_date", "e_nth"]
-    )
+    pairs = taken[0]
+    for more in taken[1:]:
+        pairs = pairs.unionByName(more)
+    named = _name_units(
+        pairs, _side(members, "g", "group_key"), [*same, "when"],
+        _side(members, "e", "entry_id").withColumnRenamed("when", "entry_date"), [*same, "entry_date"],
+    )
     return named.withColumn("level", F.lit("APPROXIMATE"))
 
 
