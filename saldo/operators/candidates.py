@@ -279,6 +279,10 @@ def merged(windowed: DataFrame, money_in: DataFrame) -> DataFrame:
     sized = money_in.withColumn(
         "bucket", F.floor(F.log(F.col("cents").cast("double")) / BUCKET).cast("int")
     ).withColumn("week", _week(F.col("value_date")))
+    # equal credits of a day explain equally well: only the first id of them can be the best
+    sized = sized.groupBy("bank_account_id", "week", "bucket", "value_date", "cents", "owners").agg(
+        F.min("deposit_id").alias("deposit_id")
+    )
     rate = 1 - F.col("cents").cast("double") / combined
     fits = (
         looked.join(sized, ["bank_account_id", "week", "bucket"])

@@ -249,12 +249,18 @@ def by_nearest(pending: DataFrame, free: DataFrame) -> DataFrame:
 
 
 def _name_units(pairs: DataFrame, g: DataFrame, g_keys: list[str], e: DataFrame, e_keys: list[str]) -> DataFrame:
-    """From class pairs with counts back to single groups and entries, in their order."""
-    units = pairs.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("units"))))
-    units = units.withColumn("g_nth", F.col("g_used") + F.col("step")).withColumn("e_nth", F.col("e_used") + F.col("step"))
-    g = g.withColumnRenamed("nth", "g_nth")
-    e = e.withColumnRenamed("nth", "e_nth")
-    return units.join(g, [*g_keys, "g_nth"]).join(e, [*e_keys, "e_nth"])
+    """From class pairs with counts back to single groups and entries, in their order.
+
+    A class is used up in consecutive stretches, so a group finds the stretch its place lies in, and
+    with it the place of its entry. Nothing is spelled out per unit.
+    """
+    placed = (
+        g.join(pairs, g_keys)
+        .filter((F.col("nth") > F.col("g_used")) & (F.col("nth") <= F.col("g_used") + F.col("units")))
+        .withColumn("e_nth", F.col("e_used") + F.col("nth") - F.col("g_used"))
+        .drop("nth")
+    )
+    return placed.join(e.withColumnRenamed("nth", "e_nth"), [*e_keys, "e_nth"])
 
 
 def _line_bucket(cents: Column) -> Column:

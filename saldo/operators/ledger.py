@@ -76,33 +76,27 @@ def daily_balances(movements: DataFrame) -> DataFrame:
     return days.withColumn("balance_cents", F.sum("day_cents").over(upto))
 
 
-def page(
-    movements: DataFrame, limit: int, cursor: str | None = None, offset: int = 0
-) -> tuple[DataFrame, DataFrame]:
-    """A page in (value_date, id) order, and one row with the total and the next cursor.
+def page(movements: DataFrame, limit: int, cursor: str | None = None, offset: int = 0) -> DataFrame:
+    """A page in (value_date, id) order; each row carries the total and the next page's cursor.
 
     A cursor is the last id seen and wins over an offset. An unknown cursor starts at the beginning.
     """
-    rest = movements
-    skip = offset
+    rest, skip = movements, offset
     if cursor is not None:
         skip = 0
-        last = movements.filter(F.col("id") == cursor).agg(F.max("value_date").alias("seen"))
-        rest = movements.crossJoin(last).filter(  # one row: where the cursor stands
-            F.col("seen").isNull()
-            | (F.col("value_date") > F.col("seen"))
-            | ((F.col("value_date") == F.col("seen")) & (F.col("id") > F.lit(cursor)))
-        ).drop("seen")
+        seen = movements.filter(F.col("id") == cursor).agg(F.max("value_date")).scalar()
+        after = (F.col("value_date") > F.col("__seen")) | (
+            (F.col("value_date") == F.col("__seen")) & (F.col("id") > F.lit(cursor))
+        )
+        rest = movements.withColumn("__seen", seen).filter(F.col("__seen").isNull() | after).drop("__seen")
     ordered = rest.orderBy(*ORDER)
-    rows = ordered.offset(skip).limit(limit) if skip else ordered.limit(limit)
-    ahead = ordered.offset(skip).limit(limit + 1) if skip else ordered.limit(limit + 1)
-    counted = movements.agg(F.count(F.lit(1)).alias("total"))
-    tail = ahead.agg(F.count(F.lit(1)).alias("seen_rows"))
-    last_id = rows.agg(F.max_by("id", F.struct(*ORDER)).alias("last_id"))
-    info = counted.crossJoin(tail).crossJoin(last_id).select(  # three single rows side by side
-        "total", F.when(F.col("seen_rows") > limit, F.col("last_id")).alias("next_cursor")
+    ordered = ordered.offset(skip) if skip else ordered
+    rows = ordered.limit(limit)
+    found = ordered.limit(limit + 1).agg(F.count(F.lit(1))).scalar()
+    last = rows.agg(F.max_by("id", F.struct(*ORDER))).scalar()
+    return rows.withColumn("total", movements.agg(F.count(F.lit(1))).scalar()).withColumn(
+        "next_cursor", F.when(found > limit, last)
     )
-    return rows, info
 
 
 def accounts(movements: DataFrame) -> DataFrame:

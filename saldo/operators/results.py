@@ -187,7 +187,7 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     """One page of an ordered listing, each row with the total of the whole listing."""
     ordered = df.orderBy(*order)
     rows = (ordered.offset(offset) if offset else ordered).limit(limit)
-    return rows.crossJoin(df.agg(F.count(F.lit(1)).alias("total")))  # one row on the right
+    return rows.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
 
 
 def amount_at_risk() -> Column:

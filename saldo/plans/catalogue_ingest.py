@@ -399,8 +399,7 @@ def led_daily_balance(w: Workspace) -> DataFrame:
 
 
 def led_page(w: Workspace) -> DataFrame:
-    rows, info = ledger.page(w.movements, 25, offset=50)
-    return rows.select("id", "value_date").crossJoin(info)  # one row of page information
+    return ledger.page(w.movements, 25, offset=50).select("id", "value_date", "total", "next_cursor")
 
 
 def led_accounts(w: Workspace) -> DataFrame:

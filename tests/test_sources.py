@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saldo.config import INFLOW_DESCRIPTORS
+from saldo.operators import ledger
 from saldo.sources import gateway, inbox, statement, store
 from saldo.streaming import landing
 
@@ -127,6 +128,18 @@ def test_reports_replace_their_own_part_only(spark, tmp_path):
     assert store.resolve_run(listed, "latest").collect()[0].run_id == "run_2" and store.resolve_run(listed, "x").isEmpty()
 
 
+def test_pages_walk_the_whole_ledger(spark):
+    rows = [(f"m{n}", f"2026-01-0{1 + n // 3}") for n in range(8)]
+    movements = spark.createDataFrame(rows, "id string, d string").withColumn("value_date", F.to_date("d"))
+    cursor, seen = None, []
+    for _ in range(3):
+        got = ledger.page(movements, 3, cursor=cursor).collect()
+        seen += [r.id for r in sorted(got, key=lambda r: r.id)]
+        assert {r.total for r in got} == {8}
+        cursor = got[0].next_cursor
+    assert seen == [f"m{n}" for n in range(8)] and cursor is None
+
+
 def test_a_cluster_must_name_its_folder(monkeypatch):
     from types import SimpleNamespace
 
