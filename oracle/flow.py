@@ -152,30 +152,39 @@ FROM {p}greedy g JOIN {p}pairs q ON q.account_id = g.account_id AND q.rk = g.rk
     )
     cte(f"{p}won", f"SELECT account_id, batch_id, key FROM {p}greedy WHERE won")
 
-cte(
-    "others",
-    """
-SELECT w.batch_id, max(c.score) AS best, count(*) AS n FROM won w JOIN cand c ON c.batch_id = w.batch_id AND c.key <> w.key GROUP BY w.batch_id""",
-)
-cte(
-    "settled0",
-    """
+for p in ("", "o"):
+    cte(
+        f"{p}others",
+        f"SELECT w.batch_id, max(c.score) AS best, count(*) AS n FROM {p}won w JOIN {p}cand c ON c.batch_id = w.batch_id AND c.key <> w.key GROUP BY w.batch_id",
+    )
+    cte(
+        f"{p}settled0",
+        f"""
 SELECT c.*, coalesce(o.n, 0) AS others, greatest(coalesce(o.best, 0), 0) AS runner_up, coalesce(o.n, 0) > 0 AND c.score - greatest(coalesce(o.best, 0), 0) <= 10 AS contested
-FROM won w JOIN cand c ON c.batch_id = w.batch_id AND c.key = w.key LEFT JOIN others o ON o.batch_id = w.batch_id""",
-)
-cte(
-    "settled",
-    f"""
+FROM {p}won w JOIN {p}cand c ON c.batch_id = w.batch_id AND c.key = w.key LEFT JOIN {p}others o ON o.batch_id = w.batch_id""",
+    )
+    cte(
+        f"{p}settled",
+        f"""
 SELECT * EXCLUDE (earned, score), earned + CASE WHEN contested THEN 0 ELSE 10 END AS earned, score AS provisional_score,
        CASE WHEN contested THEN 'COMPETING_CANDIDATE' ELSE 'UNIQUE_CANDIDATE' END AS uniqueness_code,
-       {score('earned + CASE WHEN contested THEN 0 ELSE 10 END', 'attainable')} AS score FROM settled0""",
-)
+       {score('earned + CASE WHEN contested THEN 0 ELSE 10 END', 'attainable')} AS score FROM {p}settled0""",
+    )
 
 
 def band(value: str, contested: str) -> str:
     return f"CASE WHEN {value} < 40 THEN 'UNMATCHED' WHEN {contested} THEN 'AMBIGUOUS' WHEN {value} >= 85 THEN 'CONFIRMED' WHEN {value} >= 60 THEN 'PROBABLE' ELSE 'AMBIGUOUS' END"
 
 
+# a channel that states its deductions has nothing to derive and no second pass
+cte(
+    "ores",
+    f"""
+SELECT b.batch_id, b.account_id, b.batch_date, b.gross_cents, b.expected_net_cents, s.deposit_ids, coalesce(s.n_deposits, 0) AS n_deposits, s.observed_cents, coalesce(s.score, 0) AS score,
+       CASE WHEN s.batch_id IS NULL THEN 'UNMATCHED' ELSE {band('s.score', 's.contested')} END AS status, 'mat_' || substr(sha256(b.batch_id || '|' || coalesce(s.key, 'none')), 1, 16) AS match_id
+FROM obat b LEFT JOIN osettled s USING (batch_id)""",
+)
+cte("oclaimed", "SELECT account_id, unnest(deposit_ids) AS deposit_id FROM ores WHERE n_deposits > 0")
 cte("lost", "SELECT b.* FROM bat b WHERE b.batch_id NOT IN (SELECT batch_id FROM won)")
 cte(
     "first",
@@ -333,6 +342,15 @@ ORACLE = {
     "settlements": f"""SELECT match_id, account_id, channel, {D('batch_date')}, status, CASE WHEN n_deposits > 1 THEN 'SPLIT_SETTLEMENT' ELSE 'SCHEDULED_SETTLEMENT' END AS rule_id, score, gross_cents,
         expected_net_cents, coalesce(observed_cents, 0) AS observed_cents, coalesce(derived_total, 0) AS derived_total, coalesce(amount_code, '') AS amount_code, coalesce(date_code, '') AS date_code,
         coalesce(shape_code, '') AS shape_code FROM res""",
+    "settlements_stated": f"""SELECT match_id, account_id, {D('batch_date')}, status, CASE WHEN n_deposits > 1 THEN 'SPLIT_SETTLEMENT' ELSE 'SCHEDULED_SETTLEMENT' END AS rule_id, score, gross_cents,
+        expected_net_cents, coalesce(observed_cents, 0) AS observed_cents FROM ores""",
+    "asg_greedy_stated": "SELECT batch_id, key FROM owon",
+    "out_unattributed_stated": f"""SELECT account_id, deposit_id AS movement_id, {D('value_date')}, cents AS amount_cents, CASE WHEN owner = 'delta' THEN 'AMOUNT_MISMATCH' ELSE 'DESCRIPTOR_FOREIGN' END AS reason
+        FROM ocred c WHERE NOT EXISTS (SELECT 1 FROM oclaimed k WHERE k.account_id = c.account_id AND k.deposit_id = c.deposit_id)""",
+    "out_totals_stated": """SELECT account_id, count(*) AS batches, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'PROBABLE') AS probable, count(*) FILTER (status = 'AMBIGUOUS') AS ambiguous,
+        count(*) FILTER (status = 'UNMATCHED') AS unmatched, CAST(sum(gross_cents) AS BIGINT) AS gross_cents, CAST(sum(gross_cents - expected_net_cents) AS BIGINT) AS deductions_cents, false AS deductions_derived,
+        CAST(sum(expected_net_cents) AS BIGINT) AS expected_cents, CAST(coalesce(sum(observed_cents), 0) AS BIGINT) AS observed_cents, CAST(sum(expected_net_cents) - coalesce(sum(observed_cents), 0) AS BIGINT) AS unexplained_cents
+        FROM ores GROUP BY account_id""",
     "scheduled_only": """SELECT b.batch_id, b.gross_cents, b.expected_net_cents, coalesce(s.key, '') AS deposit_id, coalesce(s.score, 0) AS score FROM obat b LEFT JOIN
         (SELECT batch_id, key, score, row_number() OVER (PARTITION BY batch_id ORDER BY score DESC, key) AS rn FROM ocand WHERE rule = 1 AND gate IS NULL) s ON s.batch_id = b.batch_id AND s.rn = 1""",
     "bat_build": f"SELECT batch_id, account_id, channel, {D('due_date')}, {D('batch_date')}, n_charges, gross_cents FROM bat",
