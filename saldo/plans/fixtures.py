@@ -129,9 +129,10 @@ class Workspace:
     @cached_property
     def flow(self) -> Flow:
         """The run over the purchases; its credits are cut from its own batches."""
-        flow = Flow(self.movements, None, self.scopes, RULES, HOLIDAYS)
-        flow.bank = materialise(_cut_credits(flow.batches, flow.calendar, silent=True), "bank")
-        return flow
+        def cut(run: Flow) -> DataFrame:
+            return materialise(_cut_credits(run.batches, run.calendar, silent=True), "bank")
+
+        return Flow(self.movements, cut, self.scopes, RULES, HOLIDAYS)
 
     @property
     def bank(self) -> DataFrame:
@@ -182,9 +183,10 @@ class Workspace:
     @cached_property
     def order_flow(self) -> Flow:
         """The run over the orders; its credits are cut from its own batches."""
-        flow = Flow(self.order_movements, None, self.order_scopes, ORDER_RULES, [])
-        flow.bank = materialise(_cut_credits(flow.batches, flow.calendar, silent=False), "order-bank")
-        return flow
+        def cut(run: Flow) -> DataFrame:
+            return materialise(_cut_credits(run.batches, run.calendar, silent=False), "order-bank")
+
+        return Flow(self.order_movements, cut, self.order_scopes, ORDER_RULES, [])
 
     # ---- journals
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,18 +18,22 @@ class Flow:
     """The stages of one run over any number of accounts, each built when first asked for.
 
     ``scopes`` is (account_id, channel, bank_account_id). Stages that are read several times, or
-    that the next stage loops over, are written to the shared folder. ``bank`` may be set later, as
-    the batches do not need it.
+    that the next stage loops over, are written to the shared folder. ``bank`` is read first when
+    credits are needed; it may be given as a function of the run.
     """
 
     def __init__(
-        self, movements: DataFrame, bank: DataFrame | None, scopes: DataFrame, rules: RuleSet, holidays: list[str],
+        self, movements: DataFrame, bank: DataFrame | Callable[[Flow], DataFrame], scopes: DataFrame, rules: RuleSet, holidays: list[str],
         run: str | None = None,
     ):
         self.spark = movements.sparkSession
-        self.movements, self.bank, self.scopes = movements, bank, scopes
+        self.movements, self._bank, self.scopes = movements, bank, scopes
         self.rules, self.holidays, self.run = rules.check(), holidays, run
 
+    @cached_property
+    def bank(self) -> DataFrame:
+        return self._bank(self) if callable(self._bank) else self._bank
+
     @cached_property
     def channels(self) -> DataFrame:
         return channel_table(self.spark, self.rules)
