@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,26 +25,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, else one in the session's warehouse.
 
-    Only a local-mode session (tests, the bench) may go without it: there a temporary folder is
-    shared by definition, because the driver and the executors are one process.
+    Both are reached by the driver and by every executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="saldo-")
-    return _LOCAL_DIRS[app]
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
