@@ -161,7 +161,7 @@ with paid as (
   select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as hexed from pages),
 named as (
   select page_id, octet_length(payload) as payload_bytes, hexed,
-    list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       1 + ((('0x' || substr(hexed, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))::bigint) & 31)::bigint, 1)), 'string_agg', '')
       as payload_digest
   from paid)
