@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from saldo.llm import url_filters, warc_store
+from saldo.llm import quality_rules, url_filters, warc_store
 
 LLM_QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
     "op5_warc": warc_store.op5_warc,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 LLM_SQL = {
     "op2_url_filters": url_filters.SQL,
     "op5_warc": warc_store.SQL,
+    "op7_quality_rules": quality_rules.SQL,
 }
