@@ -32,8 +32,8 @@ SKETCH_BITS = 7
 MEASURES = (
     ("word_length", 500, True),
     ("symbol_share", 30, False),
-    ("dup_line_share", 60, False),
-    ("repeat_share", 60, False),
+    ("dup_line_share", 150, False),
+    ("repeat_share", 100, False),
 )
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
