@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from saldo.llm import quality_rules, url_filters, warc_store
+from saldo.llm import quality_rules, simhash, source_mix, url_filters, warc_store
 
 LLM_QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_url_filters": url_filters.op2_url_filters,
     "op5_warc": warc_store.op5_warc,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_source_mix": source_mix.op10_source_mix,
 }
 
 LLM_SQL = {
     "op2_url_filters": url_filters.SQL,
     "op5_warc": warc_store.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op10_source_mix": source_mix.SQL,
 }
