@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from saldo.llm import chunk_dedup, quality_rules, simhash, source_mix, url_filters, warc_store
+from saldo.llm import chunk_dedup, html_text, pieces, quality_rules, simhash, source_mix, url_filters, warc_store
 
 LLM_QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filters": url_filters.op2_url_filters,
     "op5_warc": warc_store.op5_warc,
+    "op6_pieces": pieces.op6_pieces,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
+    "op9_html_text": html_text.op9_html_text,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
