@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from saldo.llm import chunk_dedup, html_text, pieces, quality_rules, simhash, source_mix, url_filters, warc_store
+from saldo.llm import chunk_dedup, html_text, pieces, quality_rules, simhash, source_mix, toxicity, url_filters, warc_store
 
 LLM_QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filters": url_filters.op2_url_filters,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_warc": warc_store.op5_warc,
     "op6_pieces": pieces.op6_pieces,
     "op7_quality_rules": quality_rules.op7_quality_rules,
