@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from saldo.llm import chunk_dedup, html_text, pieces, quality_rules, simhash, source_mix, toxicity, url_filters, warc_store
+import corpus_pipeline
+from saldo.llm import chunk_dedup, html_text, neighbours, pieces, quality_rules, simhash, source_mix, toxicity, url_filters, warc_store
 
 LLM_QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_warc": warc_store.op5_warc,
     "op6_pieces": pieces.op6_pieces,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_source_mix": source_mix.op10_source_mix,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_SQL = {
