@@ -34,7 +34,7 @@ LONG_WORD = 256
 SLICE = 1 << 20
 LOOK_BACK = 16
 
-CHUNKS = "doc bigint, copy bigint, seq int, start int, stop int, words int, hi bigint, lo bigint"
+CHUNKS = "doc bigint, copy int, start int, stop int, words int, hi bigint, lo bigint"
 
 
 def gear_table() -> np.ndarray:
@@ -127,9 +127,8 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words
                 continue
             rows = pa.array(np.repeat([n for n, _ in owner], [k for _, k in owner]))
             ends = [np.concatenate([f[i] for f in found]).astype(np.int32) for i in range(3)]
-            seq = np.concatenate([np.arange(k, dtype=np.int32) for _, k in owner])
             digests = np.concatenate([f[3] for f in found])
-            columns = [batch.column("doc").take(rows), batch.column("copy").take(rows), pa.array(seq)]
+            columns = [batch.column("doc").take(rows), batch.column("copy").take(rows)]
             columns += [pa.array(e) for e in ends] + [pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)]
             made = pa.RecordBatch.from_arrays(columns, names=names)
             for at in range(0, made.num_rows, 65536):
@@ -140,7 +139,7 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words
 
 def text_key(text: Column) -> Column:
     """Tells rows of equal id but different text apart."""
-    return F.xxhash64(text)
+    return F.hash(text)
 
 
 def duplicate_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -150,11 +149,12 @@ def duplicate_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", lea
     shared = ids.filter((F.col("least") < F.col("most")) | (F.col("unknown") & F.col("least").isNotNull()))
     shared = shared.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("least").alias("first"))
     on = (F.col("hi") == F.col("s_hi")) & (F.col("lo") == F.col("s_lo")) & ~F.col("doc").eqNullSafe(F.col("first"))
-    copies = rows.join(shared, on).select("doc", "copy", "seq", "start", "stop", "words", "first")
+    copies = rows.join(shared, on).select("doc", "copy", "start", "stop", "words", "first")
     copies = copies.distinct()  # rows that repeat id and text
-    # the copies of one document: at most its own chunks
-    order = Window.partitionBy("doc", "copy").orderBy("seq")
-    runs = copies.withColumn("run", F.col("seq") - F.row_number().over(order))
+    # the copies of one document, at most its own chunks; a run goes on where the chunk before stops
+    order = Window.partitionBy("doc", "copy").orderBy("start")
+    runs = copies.withColumn("opens", ~F.lag("stop").over(order).eqNullSafe(F.col("start")))
+    runs = runs.withColumn("run", F.count(F.when(F.col("opens"), 1)).over(order))
     runs = runs.groupBy("doc", "copy", "run").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
