@@ -143,10 +143,11 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     tables have a row for each group, and whether they are broadcast is decided from the measured size.
     """
     keep = docs.columns if keep is None else keep
-    frame = docs.select(*{*keep, text, lang, source})
+    frame = docs.select(*dict.fromkeys([*keep, text, lang, source]))
+    keep = [c for c in keep if c not in (*BASE, "base_failed", "kept")]
     rows = measured(frame, text).withColumn("base_failed", base_failed())
     rows = rows.withColumns({f"__{m}": c for m, c in _shares().items()})
-    rows = rows.drop(*[c for c in (text, lang, source) if c not in keep and c == text])
+    rows = rows.drop(*[c for c in (text,) if c not in keep])
     rows = stored(rows, "measured")
     sketch = stored(sketches(rows, lang, source), "sketch")
     joined = rows
@@ -178,7 +179,8 @@ def op7_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """The documents that the rules keep."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("__doc"), "text", "lang", "source")
+    return judged(whole, keep=["__doc"]).filter("kept").select("__doc.*")
 
 
 def _sql() -> str:

@@ -134,9 +134,9 @@ def op10_source_mix(spark: SparkSession, directory: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """The mixed corpus: each document as often as it is taken."""
-    rows = mixed(docs)
+    rows = mixed(docs.select(F.struct("*").alias("__doc"), "text", "source", "doc_id"), keep=["__doc"])
     rows = rows.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*docs.columns)
+    return rows.select("__doc.*")
 
 
 SQL = f"""
