@@ -33,6 +33,8 @@ MOST_WORDS = 64
 LONG_WORD = 256
 SLICE = 1 << 20
 LOOK_BACK = 16
+#: Spreads the gear hash over all bits before it is compared.
+MIX = np.uint32(0x9E3779B1)
 
 CHUNKS = "doc bigint, copy int, start int, stop int, words int, hi bigint, lo bigint"
 
@@ -57,11 +59,12 @@ def word_starts(body: bytes, gear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = np.flatnonzero(~blank & before)
         found = found[found >= at - begin]
         if not len(found) or len(part) > len(found) * LONG_WORD // 4 or np.diff(found, append=len(part)).max() > LONG_WORD:
-            inside = ~blank & ((part & 0xC0) != 0x80) & np.concatenate([[False], (rolled[:-1] & np.uint32(31)) == 0])
+            chosen = rolled * MIX < np.uint32(1 << 27)  # one byte in 32
+            inside = ~blank & ((part & 0xC0) != 0x80) & np.concatenate([[False], chosen[:-1]])
             run = np.arange(len(part)) - np.maximum.accumulate(np.where(blank, np.arange(len(part)), -1))
             found = np.union1d(found, np.flatnonzero(inside & (run > LONG_WORD)))
             found = found[found >= at - begin]
-        hashed = np.where(found > 0, rolled[found - 1], np.uint32(0)) * np.uint32(0x9E3779B1)
+        hashed = np.where(found > 0, rolled[found - 1], np.uint32(0)) * MIX
         offsets.append(found + begin)
         values.append(hashed)
     if not offsets:

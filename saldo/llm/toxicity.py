@@ -145,7 +145,8 @@ class Model:
         if not self.mean:
             return np.full(len(rows), self.weights[0])
         scaled = (rows - np.array(self.mean)) / np.array(self.spread)
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + scaled @ np.array(self.weights[1:]), -30, 30)))
+        # summed row by row, so that a score does not depend on the rows beside it
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + (scaled * np.array(self.weights[1:])).sum(axis=1), -30, 30)))
 
 
 def features(text: str | None, plain, toxic) -> list[float]:
