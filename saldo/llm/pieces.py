@@ -105,53 +105,65 @@ class Codec:
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[found] == key), self.pair_made[found], np.int32(-1))
 
     def together(self, units: list[str], variant: int, width: int) -> list[bytes]:
-        """The pieces, as int32 bytes, of units of at most ``width`` known characters."""
+        """The pieces, as int32 bytes, of units of at most ``width`` known characters.
+
+        Symbols stay where they are and are linked to their neighbours; the last column stands for no neighbour.
+        """
         count = len(units)
         body = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le"), np.uint32).reshape(count, width)
         letters, where = np.unique(body, return_inverse=True)
         ids = np.array([self.single.get(SPACE if c == 32 else chr(c), -1) if c else -1 for c in letters.tolist()], np.int32)
-        symbols = np.concatenate([ids[where].reshape(count, width), np.full((count, 1), -1, np.int32)], axis=1)
-        starts = np.broadcast_to(np.arange(width + 1, dtype=np.int32), symbols.shape).copy()
+        symbols = np.full((count, width + 1), -1, np.int32)
+        symbols[:, :width] = ids[where].reshape(count, width)
+        after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), symbols.shape).copy()
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), symbols.shape).copy()
         keys = np.array([self._key(u, variant) for u in units], np.uint64)
+        makes = np.full(symbols.shape, -1, np.int32)
+        agenda = np.full(symbols.shape, NONE, np.int32)
 
-        def places(left, right, unit, at):
-            made = self._made(left, right)
+        def offer(row: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            """Put the merge of two neighbours on the agenda, or take it off."""
+            made = self._made(symbols[row, left], symbols[row, right])
             place = np.full(len(made), NONE, np.int32)
             some = np.flatnonzero(made >= 0)
-            kept = some[~self._skipped(unit[some], at[some], made[some])]
+            kept = some[~self._skipped(keys[row[some]], left[some], made[some])]
             place[kept] = self.order[made[kept]]
-            return place
+            agenda[row, left] = place
+            makes[row, left] = made
 
-        rows = np.repeat(np.arange(count), width)
-        agenda = places(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), keys[rows], starts[:, :-1].ravel()).reshape(count, width)
-        done: list[bytes] = [b""] * count
+        row, left = np.nonzero(symbols[:, 1:width] >= 0)
+        offer(row, left, left + 1)
+        done = np.zeros(symbols.shape, np.int32)
         live = np.arange(count)
-        shift = np.arange(width + 1)
         while len(live):
             best = agenda.argmin(axis=1)
-            open_ = agenda[np.arange(len(live)), best] < NONE
-            for n in np.flatnonzero(~open_).tolist():
-                row = symbols[n]
-                done[live[n]] = row[row >= 0].tobytes()
-            if not open_.all():
-                live, symbols, starts, agenda, best, keys = (x[open_] for x in (live, symbols, starts, agenda, best, keys))
-            if not len(live):
+            each = np.flatnonzero(agenda[np.arange(len(live)), best] < NONE)
+            if 2 * len(each) < len(live):  # half have ended
+                ended = np.ones(len(live), bool)
+                ended[each] = False
+                done[live[ended]] = symbols[ended]
+                live, best = live[each], best[each]
+                symbols, after, before, agenda, makes, keys = (x[each] for x in (symbols, after, before, agenda, makes, keys))
+                each = np.arange(len(live))
+            if not len(each):
+                done[live] = symbols
                 break
-            each = np.arange(len(live))
-            made = self._made(symbols[each, best], symbols[each, best + 1])
-            source = np.minimum(shift[None, :] + (shift[None, :] > best[:, None]), width)
-            symbols = np.take_along_axis(symbols, source, axis=1)
-            symbols[:, width] = -1
-            starts = np.take_along_axis(starts, source, axis=1)
-            agenda = np.take_along_axis(agenda, np.minimum(source[:, :width], width - 1), axis=1)
-            agenda[:, width - 1] = NONE
-            symbols[each, best] = made
-            right = places(made, symbols[each, best + 1], keys, starts[each, best])
-            agenda[each, best] = right
-            some = np.flatnonzero(best > 0)
-            before = best[some] - 1
-            agenda[some, before] = places(symbols[some, before], made[some], keys[some], starts[some, before])
-        return done
+            left = best[each]
+            right = after[each, left]
+            symbols[each, left] = makes[each, left]
+            symbols[each, right] = -1
+            agenda[each, right] = NONE
+            beyond = after[each, right]
+            after[each, left] = beyond
+            before[each, beyond] = left
+            offer(each, left, beyond)
+            offer(each, before[each, left], left)
+            agenda[each, width] = NONE
+            before[each, 0] = -1
+        whole = done >= 0
+        data = done[whole].tobytes()
+        ends = (4 * np.cumsum(whole.sum(axis=1))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def alone(self, unit: str, variant: int) -> bytes:
         """The pieces of one unit by an agenda of its own."""
