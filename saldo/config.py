@@ -10,6 +10,7 @@ import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from saldo.session import small_table
 
@@ -280,22 +281,34 @@ CHANNEL_SCHEMA = """
 
 def channel_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
     """One row per configured channel, with defaults already resolved."""
-    rows = []
-    for ordinal, channel in enumerate(rules.channels):
-        policy, rates = rules.policy_for(channel.key), rules.rates_for(channel.key)
-        low, high = rules.band_for(channel.key)
-        rows.append(
-            (
-                channel.key, ordinal, list(channel.patterns), policy.cadence, policy.cutoff,
-                policy.cutoff_minutes, policy.cutoff_zone, policy.week_ends_on, policy.month_ends_on,
-                policy.window_from, policy.window_to, *rates.vat, *rates.withholding,
-                float(low), float(high), rates.slack_per_charge,
-                channel.policy is not None, channel.rates is not None,
-            )
-        )
+    rows = [_channel_row(rules, channel, ordinal) for ordinal, channel in enumerate(rules.channels)]
     return small_table(spark, rows, CHANNEL_SCHEMA)
 
 
+def _channel_row(rules: RuleSet, channel: Channel, ordinal: int) -> tuple:
+    policy, rates = rules.policy_for(channel.key), rules.rates_for(channel.key)
+    low, high = rules.band_for(channel.key)
+    return (
+        channel.key, ordinal, list(channel.patterns), policy.cadence, policy.cutoff,
+        policy.cutoff_minutes, policy.cutoff_zone, policy.week_ends_on, policy.month_ends_on,
+        policy.window_from, policy.window_to, *rates.vat, *rates.withholding,
+        float(low), float(high), rates.slack_per_charge,
+        channel.policy is not None, channel.rates is not None,
+    )
+
+
+def channels_in_scope(spark: SparkSession, rules: RuleSet, scopes: DataFrame) -> DataFrame:
+    """The configured channels, and with the defaults every other channel that ``scopes`` names."""
+    known = channel_table(spark, rules)
+    others = scopes.select("channel").filter("channel is not null").distinct().join(known.select("channel"), "channel", "left_anti")
+    default = _channel_row(rules, Channel("", ()), len(rules.channels))
+    columns = [
+        (F.array() if value == [] else F.lit(value)).cast(field.dataType).alias(field.name)
+        for field, value in zip(known.schema.fields, default, strict=True)
+    ]
+    return known.unionByName(others.select("channel", *columns[1:]))
+
+
 @dataclass(frozen=True)
 class Journal:
     key: str

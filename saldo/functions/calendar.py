@@ -8,13 +8,15 @@ on the span of years only.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 FIRST_DAY, LAST_DAY = "1990-01-01", "2039-12-31"
+#: What a calendar adds before the first and after the last movement.
+ROOM = timedelta(days=120)
 
 
 def calendar_table(
@@ -50,6 +52,26 @@ def calendar_table(
     return numbered.join(following, "ord", "left").select("d", "is_business", "ord", listed.alias("ahead"))
 
 
+def days_of(movements: DataFrame) -> tuple[str, str]:
+    """First and last day of a calendar over movements: theirs, with room for a month's close and for windows and shifts.
+
+    Never less than the usual span, so that the days between two dates can be counted without movements.
+    """
+    lowest, highest = movements.agg(
+        F.min(F.least("value_date", F.to_date("occurred_at"))), F.max(F.greatest("value_date", F.to_date("occurred_at")))
+    ).first()
+    first, last = date.fromisoformat(FIRST_DAY), date.fromisoformat(LAST_DAY)
+    if lowest is not None:
+        first, last = min(first, lowest - ROOM), max(last, highest + ROOM)
+    return first.isoformat(), last.isoformat()
+
+
+def covered(day: Column, found: Column, value: Column) -> Column:
+    """``value``, or an error where a day has no row in the calendar: no movement may drop out for its date."""
+    lost = F.concat(F.lit("the calendar does not reach "), day.cast("string"))
+    return F.when(day.isNotNull() & found.isNull(), F.raise_error(lost)).otherwise(value)
+
+
 def with_business_day_after(
     df: DataFrame, calendar: DataFrame, day: str, n: Column, out: str
 ) -> DataFrame:
@@ -58,7 +80,7 @@ def with_business_day_after(
     checked = F.when(n < 1, F.raise_error(F.lit("a business-day count starts at 1"))).otherwise(n)
     return (
         df.join(ahead, df[day] == F.col("__d"), "left")
-        .withColumn(out, F.get("__ahead", checked - 1))
+        .withColumn(out, covered(F.col(day), F.get("__ahead", checked - 1), F.get("__ahead", checked - 1)))
         .drop("__d", "__ahead")
     )
 
@@ -71,7 +93,9 @@ def with_window(df: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
     return (
         df.join(ahead, df[day] == F.col("__d"), "left")
         .withColumn("window_start", F.get("__ahead", F.col("window_from") - 1))
-        .withColumn("window_end", F.get("__ahead", F.col("window_to") - 1))
+        .withColumn("__end", F.get("__ahead", F.col("window_to") - 1))
+        .withColumn("window_end", covered(F.col(day), F.col("__end"), F.col("__end")))
+        .drop("__end")
         .drop("__d", "__ahead")
     )
 

@@ -278,11 +278,12 @@ def _preferring_each_other(classes: DataFrame, day: list[str]) -> DataFrame:
         points = points.withColumn(f"as_{side}", F.when(F.col("side") == side, F.col("me")))
     inside = Window.partitionBy(*day, "bucket").orderBy("cents")
     below = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    above = inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # swept downwards: a frame that ends at the current row grows, one that starts there is read anew for each row
+    above = Window.partitionBy(*day, "bucket").orderBy(F.desc("cents")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     swept = points
     for side in ("g", "e"):
         swept = swept.withColumn(f"low_{side}", F.last(f"as_{side}", ignorenulls=True).over(below)).withColumn(
-            f"high_{side}", F.first(f"as_{side}", ignorenulls=True).over(above)
+            f"high_{side}", F.last(f"as_{side}", ignorenulls=True).over(above)
         )
     # a bucket without an opposite class looks at the nearest bucket that has one
     ends = points.groupBy(*day, "bucket").agg(
@@ -290,10 +291,10 @@ def _preferring_each_other(classes: DataFrame, day: list[str]) -> DataFrame:
     )
     order = Window.partitionBy(*day).orderBy("bucket")  # at most a few thousand buckets per day
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*day).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     for side in ("g", "e"):
         ends = ends.withColumn(f"prev_{side}", F.last(f"max_{side}", ignorenulls=True).over(before)).withColumn(
-            f"next_{side}", F.first(f"min_{side}", ignorenulls=True).over(after)
+            f"next_{side}", F.last(f"min_{side}", ignorenulls=True).over(after)
         )
     known = swept.join(ends.select(*day, "bucket", "prev_g", "next_g", "prev_e", "next_e"), [*day, "bucket"])
     is_g = F.col("side") == "g"
@@ -329,7 +330,9 @@ def by_shift(pending: DataFrame, free: DataFrame, calendar: DataFrame, shift_day
     if shift_days < 1:
         return _no_pairs(pending, free)
     same = ["journal_key", "cents"]
-    ahead = calendar.select(F.col("d").alias("date"), F.explode(F.slice("ahead", 1, shift_days)).alias("entry_date"))
+    # the n-th business day after a day is the one whose number is n higher, however far the calendar lists days ahead
+    steps = calendar.select(F.col("d").alias("date"), F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + shift_days)).alias("ord"))
+    ahead = steps.join(calendar.filter("is_business").select("ord", F.col("d").alias("entry_date")), "ord").drop("ord")
     g = pending.select("journal_key", F.col("ledger_cents").alias("cents"), F.col("date").alias("when"), F.col("group_key").alias("name"))
     e = free.filter("entry_cents is not null").select(
         "journal_key", F.col("entry_cents").alias("cents"), F.col("date").alias("when"), F.col("entry_id").alias("name")

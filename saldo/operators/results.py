@@ -199,6 +199,19 @@ def exceptions(results: DataFrame) -> DataFrame:
     return results.filter("status <> 'CONFIRMED'").withColumn("at_risk_cents", amount_at_risk())
 
 
+def exceptions_page(results: DataFrame, status: str | None = None, limit: int = 15, offset: int = 0) -> DataFrame:
+    """A page of the exceptions (of one status), most at stake first."""
+    rows = exceptions(results)
+    if status is not None:
+        rows = rows.filter(F.col("status") == status)
+    return rows.orderBy(F.col("at_risk_cents").desc(), "match_id").offset(offset).limit(limit)
+
+
+def unattributed_page(loose: DataFrame, limit: int = 15, offset: int = 0) -> DataFrame:
+    """A page of the credits that nothing explains, oldest first."""
+    return loose.orderBy("value_date", "movement_id").offset(offset).limit(limit)
+
+
 def match_members(
     results: DataFrame, batch_members: DataFrame, alternatives: DataFrame, bank: DataFrame
 ) -> DataFrame:

@@ -432,8 +432,7 @@ def out_agent_summary(w: Workspace) -> DataFrame:
 
 def out_agent_list(w: Workspace) -> DataFrame:
     """The exceptions page and the first unattributed credits an agent is shown."""
-    worst = results.exceptions(w.flow.results).orderBy(F.col("at_risk_cents").desc(), "match_id").limit(15)
-    loose = w.flow.unattributed.orderBy("value_date", "movement_id").limit(15)
+    worst, loose = results.exceptions_page(w.flow.results), results.unattributed_page(w.flow.unattributed)
     return worst.select(F.lit("exception").alias("kind"), F.col("match_id").alias("id"), F.col("at_risk_cents").alias("cents")).unionByName(
         loose.select(F.lit("unattributed").alias("kind"), F.col("movement_id").alias("id"), F.col("amount_cents").alias("cents"))
     )

@@ -90,7 +90,7 @@ def _export_moves(w: Workspace) -> tuple[DataFrame, DataFrame]:
 def src_journal_norm(w: Workspace) -> DataFrame:
     moves, lines = _export_moves(w)
     return journal.heads(moves).join(journal.lines(lines), "entry_id").select(
-        "entry_id", "name", F.coalesce("ref", F.lit("")).alias("ref"), "date", "state", "line_id", "account_code",
+        F.col("entry_id").cast("bigint").alias("entry_id"), "name", F.coalesce("ref", F.lit("")).alias("ref"), "date", "state", "line_id", "account_code",
         "account_name", "amount_cents",
     )
 
@@ -99,7 +99,7 @@ def src_journal(w: Workspace) -> DataFrame:
     moves, lines = _export_moves(w)
     heads, kept = journal.read_journal(journal.heads(moves), journal.lines(lines), "1996-01-01", "1998-12-31", 48)
     joined = heads.join(kept, "entry_id", "left")
-    return joined.groupBy("entry_id", "date").agg(
+    return joined.groupBy(F.col("entry_id").cast("bigint").alias("entry_id"), "date").agg(
         F.count("line_id").alias("lines"), F.sum("amount_cents").alias("signed_cents"),
         F.sum(F.abs("amount_cents")).alias("moved_cents"),
     )
@@ -141,7 +141,7 @@ def snk_raw_upsert(w: Workspace) -> DataFrame:
 
 def _loads(w: Workspace) -> tuple[DataFrame, DataFrame]:
     k = F.substring("external_id", 5, 20).cast("bigint") % 3
-    base = w.movements.drop("metadata")
+    base = w.movements
     stored = base.filter(k != 0).withColumn("run_id", F.when(k == 1, "run_1"))
     incoming = base.filter(k != 1).withColumn("run_id", F.lit("run_2"))
     return stored, incoming
@@ -244,7 +244,7 @@ def ing_report(w: Workspace) -> DataFrame:
     d = docs(w)
     incoming = d.charges.withColumn("run_id", F.lit("run_2"))
     stored = incoming.filter("amount_cents % 2000 = 0").withColumn("run_id", F.lit("run_1"))
-    _, counts = store.upsert_movements(stored.drop("metadata"), incoming.drop("metadata"))
+    _, counts = store.upsert_movements(stored, incoming)
     rejected = gateway.rejected(d.decoded)
     return store.ingestion_report(d.raw_pages, incoming, counts, rejected)
 

@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.config import RuleSet, channel_table
-from saldo.functions.calendar import calendar_table
+from saldo.config import RuleSet, channels_in_scope
+from saldo.functions.calendar import calendar_table, days_of
 from saldo.operators import assignment, batches, candidates, deductions, lineage, results
 from saldo.session import materialise
 
@@ -36,13 +36,14 @@ class Flow:
 
     @cached_property
     def channels(self) -> DataFrame:
-        return channel_table(self.spark, self.rules)
+        return materialise(channels_in_scope(self.spark, self.rules, self.scopes), "channels")
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return materialise(
-            calendar_table(self.spark, self.holidays, max(5, self.rules.horizon)).coalesce(1), "calendar"
-        )
+        """Every day that the movements, their closes and their windows can need."""
+        first, last = days_of(self.movements)
+        table = calendar_table(self.spark, self.holidays, max(5, self.rules.horizon), first, last)
+        return materialise(table.coalesce(1), "calendar")
 
     @cached_property
     def accrued(self) -> DataFrame:

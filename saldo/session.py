@@ -26,13 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``, else one in the session's warehouse.
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Both are reached by the driver and by every executor.
+    Only a local-mode session (tests, the bench) may go without it, and uses its warehouse: there the
+    driver and the executors are one process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 

@@ -52,8 +52,8 @@ def transactions(decoded_pages: DataFrame) -> DataFrame:
 
 
 def excluded(transaction_rows: DataFrame) -> DataFrame:
-    """What was left out, per page and status."""
-    return transaction_rows.filter("tx.status <> 'APPROVED'").groupBy(
+    """What was left out, per page and status; a transaction without a status counts under null."""
+    return transaction_rows.filter(~F.col("tx.status").eqNullSafe("APPROVED")).groupBy(
         "raw_id", F.col("tx.status").alias("status")
     ).agg(F.count(F.lit(1)).alias("transactions"))
 

@@ -46,11 +46,10 @@ def safe_name(name: Column) -> Column:
 def admit(uploads: DataFrame, extension: str = ".pdf") -> DataFrame:
     """``filename, content`` to a safe name and, when it is not admitted, the reason."""
     name = safe_name(F.col("filename"))
-    head = F.hex(F.substring("content", 1, 4))
-    # 25504446 is %PDF
+    head = F.substring("content", 1, 4)
     reason = (
         F.when(~F.lower(name).endswith(extension), "EXTENSION_NOT_ACCEPTED")
-        .when((F.length("content") <= 4) | (head != "25504446"), "NOT_A_PDF")
+        .when((F.length("content") <= 4) | (head != F.lit(b"%PDF")), "NOT_A_PDF")
     )
     return uploads.withColumn("name", name).withColumn("rejected_because", reason).withColumn(
         "admitted", F.col("rejected_because").isNull()
@@ -58,13 +57,12 @@ def admit(uploads: DataFrame, extension: str = ".pdf") -> DataFrame:
 
 
 def route(payload: Column) -> Column:
-    """The parser for a record by a cheap look at its start; null when no layout is known.
+    """The parser for a record (binary) by what it starts with; null when no layout is known.
 
-    ``payload`` is the record as binary; the start is enough to tell, whatever its size.
+    Blanks of any kind and number before a page do not count.
     """
-    text = F.regexp_replace(F.decode(F.substring(payload, 1, 64), "ISO-8859-1"), r"^\s+", "")
-    return F.when(text.startswith('{"data"'), "gateway-transactions").when(
-        F.hex(F.substring(payload, 1, 2)) == "2550", "bank-statement"
+    return F.when(F.substring(payload, 1, 2) == F.lit(b"%P"), "bank-statement").when(
+        payload.cast("string").rlike(r'(?U)\A[\s\x{FEFF}]*\{"data"'), "gateway-transactions"
     )
 
 

@@ -26,22 +26,30 @@ BASELINE = 2
 
 
 def rows(runs: DataFrame) -> DataFrame:
-    """Runs on nearly the same height are one visual row; rows read down, cells read right.
+    """Runs near the height of the first run met there are one visual row; rows read down, cells read right.
 
-    A page is physically small, so it is the unit of the ordered pass; documents of any number of
-    pages spread over tasks.
+    A page is physically small, so its few heights are folded together in the order they are met;
+    documents of any number of pages spread over tasks.
     """
     kept = runs.filter(F.trim("text") != "").select(
         "raw_id", "page", "seq", F.floor(F.col("x") + 0.5).cast("int").alias("x"),
         F.floor(F.col("y") + 0.5).cast("int").alias("y"), F.trim("text").alias("text"),
     )
-    down = Window.partitionBy("raw_id", "page").orderBy(F.col("y").desc(), "seq")
-    gap = F.lag("y").over(down) - F.col("y")
-    marked = kept.withColumn("row", F.sum(F.when(F.coalesce(gap, F.lit(0)) > BASELINE, 1).otherwise(0)).over(down))
+    def near(height: Column):
+        return lambda line: F.abs(line - height) <= BASELINE
+
+    met = kept.groupBy("raw_id", "page", "y").agg(F.min("seq").alias("met"))
+    heights = F.transform(F.sort_array(F.collect_list(F.struct("met", "y"))), lambda h: h["y"])
+    pages = met.groupBy("raw_id", "page").agg(heights.alias("heights"))
+    lines = F.aggregate(
+        "heights", F.array().cast("array<int>"), lambda found, y: F.when(F.exists(found, near(y)), found).otherwise(F.array_append(found, y))
+    )
+    pages = pages.select("raw_id", "page", lines.alias("lines"))
+    anchored = kept.join(pages, ["raw_id", "page"]).withColumn("y", F.get(F.filter("lines", near(F.col("y"))), F.lit(0)))
+    place = F.array_position(F.sort_array("lines", asc=False), F.col("y")) - 1
     cells = F.sort_array(F.collect_list(F.struct("x", "seq", "text")))
-    return marked.groupBy("raw_id", "page", "row").agg(
-        # the first run met names the height of its row
-        F.min_by("y", "seq").alias("y"), cells.alias("cells")
+    return anchored.withColumn("row", place).groupBy("raw_id", "page", "row").agg(
+        F.first("y").alias("y"), cells.alias("cells")
     ).withColumn("line", F.array_join(F.transform("cells", lambda c: c["text"]), " "))
 
 
@@ -80,7 +88,9 @@ def headers(all_rows: DataFrame) -> DataFrame:
         known = known.withColumn(f"__{name}", value)
         aggregates.append(F.min(F.when(F.col(f"__{name}").isNotNull(), F.struct(place.alias("at"), F.col(f"__{name}").alias("v")))).alias(name))
     period = F.when(F.col("line").rlike(PERIOD), F.struct(place.alias("at"), "line"))
-    account = F.regexp_extract("line", ACCOUNT, 1)
+    # the number may stand in the row below its label
+    below = F.coalesce(F.array_join(F.transform("next_cells", lambda c: c["text"]), " "), F.lit(""))
+    account = F.regexp_extract(F.concat_ws(" ", "line", below), ACCOUNT, 1)
     found = known.groupBy("raw_id").agg(
         F.min(period).alias("period"),
         F.min(F.when(account != "", F.struct(place.alias("at"), account.alias("v")))).alias("account"),
@@ -89,7 +99,7 @@ def headers(all_rows: DataFrame) -> DataFrame:
 
     def day(first: int) -> Column:
         parts = [F.regexp_extract("period.line", PERIOD, first + i).cast("int") for i in range(3)]
-        return F.when(F.col("period").isNotNull(), F.make_date(*parts))
+        return F.when(F.col("period").isNotNull(), _day(*parts, clamp=False))
 
     result = found.select(
         "raw_id", F.coalesce("account.v", F.lit("")).alias("account_number"), day(1).alias("from_date"), day(4).alias("to_date"),
@@ -108,6 +118,16 @@ def headers(all_rows: DataFrame) -> DataFrame:
     )
 
 
+def _day(year: Column, month: Column, day: Column, clamp: bool) -> Column:
+    """A date; past the end of the year or month it is the last there if ``clamp``, else null. Never an error."""
+    within = F.least(month, F.lit(12)) if clamp else month
+    last = F.dayofmonth(F.last_day(F.make_date(year, within, F.lit(1))))
+    right = year.isNotNull() & (within.between(1, 12))
+    if not clamp:
+        return F.when(right, F.when(day.between(1, last), F.make_date(year, within, day)))
+    return F.when(right & (day >= 1), F.make_date(year, within, F.least(day, last)))
+
+
 def entries(all_rows: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Rows with all four columns and a day/month; the year comes from the period."""
     shaped = all_rows.select(
@@ -120,7 +140,7 @@ def entries(all_rows: DataFrame, header_rows: DataFrame) -> DataFrame:
     return dated.select(
         "raw_id", "page", "row",
         F.concat(F.lit("page="), "page", F.lit(";y="), "y").alias("locator"),
-        F.when(year.isNotNull(), F.make_date(year, month, day)).alias("value_date"),
+        _day(year, month, day, clamp=True).alias("value_date"),
         "description", value["cents"].alias("amount_cents"), balance["cents"].alias("balance_cents"),
         F.coalesce(value["error"], balance["error"]).alias("amount_error"),
     )
@@ -149,6 +169,7 @@ def verdicts(all_rows: DataFrame, header_rows: DataFrame, chained: DataFrame, to
     checked = chained.groupBy("raw_id").agg(
         F.count(F.lit(1)).alias("entries"),
         F.min(F.when(F.col("amount_error").isNotNull(), F.struct(at.alias("at"), "locator", "amount_error"))).alias("bad_amount"),
+        F.min(F.when(F.col("value_date").isNull(), F.struct(at.alias("at"), "locator"))).alias("bad_date"),
         F.min(F.when(broken, F.struct(at.alias("at"), "locator", "expected_cents", "balance_cents"))).alias("break"),
         F.max_by("balance_cents", at).alias("last_balance"),
         F.coalesce(F.sum(F.when(F.col("amount_cents") > 0, F.col("amount_cents"))), F.lit(0)).alias("sum_credits"),
@@ -172,6 +193,7 @@ def verdicts(all_rows: DataFrame, header_rows: DataFrame, chained: DataFrame, to
     reason = (
         F.when(F.col("missing").isNotNull(), fails(F.concat(F.lit("NO_"), "missing")))
         .when(F.col("entries").isNull(), fails("NO_ROWS"))
+        .when(F.col("bad_date").isNotNull(), fails("IMPOSSIBLE_DATE", F.col("bad_date.locator")))
         .when(bad.isNotNull(), fails(bad["amount_error"], bad["locator"]))
         .when(broke.isNotNull(), fails("CHAIN_BREAKS", broke["locator"], broke["expected_cents"], broke["balance_cents"]))
         .when(off_close, fails("CHAIN_DOES_NOT_CLOSE", None, F.col("closing_cents"), F.col("last_balance")))

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from saldo.sources import gateway
 from saldo.session import shared_dir
-
-#: How far apart two landings of the same transaction may be and still be recognised as one.
-REPEAT_WINDOW = "30 days"
+from saldo.sources import gateway
 
 
 def new_charges(spark: SparkSession, landing: str, source_id: str, account_id: str, counterparty: str) -> DataFrame:
-    """A stream of charges from page files; a transaction landed twice is one charge.
-
-    The id is derived from content, so a repeated page is dropped by it. State is kept for
-    ``REPEAT_WINDOW`` of event time only; later repeats are absorbed by the upsert downstream.
-    """
+    """A stream of charges from page files. No watermark: a first arrival counts however old its day is."""
     files = (
         spark.readStream.format("text").option("wholetext", "true").load(landing)
         .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("origin"))
     )
     pages = gateway.decoded(gateway.as_raw(files, source_id))
-    charges = gateway.charges(gateway.transactions(pages), account_id, counterparty)
-    return charges.withWatermark("occurred_at", REPEAT_WINDOW).dropDuplicatesWithinWatermark(["id"])
+    return gateway.charges(gateway.transactions(pages), account_id, counterparty)
+
+
+def add_new(charges: DataFrame, target: str) -> None:
+    """Append the charges whose ids the table does not hold; ids come from content, so a repeat is known by its own."""
+    fresh = charges.dropDuplicates(["id"])
+    try:
+        held = charges.sparkSession.read.schema(charges.schema).parquet(target).select("id")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    else:
+        fresh = fresh.join(held, "id", "left_anti")
+    fresh.write.mode("append").parquet(target)
 
 
 def ingest_available(charges: DataFrame, target: str, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Append everything that is there now to a Parquet table, then stop.
+    """Append everything that is there now and not yet held to a Parquet table, then stop.
 
-    The query's own checkpoint remembers which files are done; it lives in the shared folder.
+    The query's own checkpoint remembers which files are done; it lives in the shared folder. A batch
+    that runs twice after a failure finds its rows held already.
     """
     place = checkpoint or f"{shared_dir(charges.sparkSession)}/streams/{name}"
     return (
-        charges.writeStream.format("parquet").option("path", target).option("checkpointLocation", place)
-        .outputMode("append").trigger(availableNow=True).queryName(name).start()
+        charges.writeStream.foreachBatch(lambda rows, _: add_new(rows, target)).option("checkpointLocation", place)
+        .trigger(availableNow=True).queryName(name).start()
     )
