@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saldo.llm.common import stored, table
+from saldo.llm.common import table
 
 NEAR = 3
 LEAST_WORDS = 20
@@ -147,7 +147,7 @@ def text_key(text: Column) -> Column:
 
 def duplicate_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, copy, start, stop, words, first_docs): the runs of each document whose chunks stand in earlier documents."""
-    rows = stored(chunks(docs, doc, text, least_words), "chunks")
+    rows = chunks(docs, doc, text, least_words)  # cut twice rather than written: once to count, once to compare
     ids = rows.groupBy("hi", "lo").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max(F.col("doc").isNull()).alias("unknown"))
     shared = ids.filter((F.col("least") < F.col("most")) | (F.col("unknown") & F.col("least").isNotNull()))
     shared = shared.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("least").alias("first"))
