@@ -77,7 +77,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "__at", lambda at, i: F.least(F.lit(3), F.coalesce(F.get("__at", i + 1) - at, F.lit(3))).cast("bigint")
     )
     total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return fourth.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("bigint"))).drop("__at")
+    fifth = fourth.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("bigint"))).drop("__at")
+    # filters on the measures stay above the generator; below it they would repeat the expressions they are made of
+    made = [*BASE, "n_lines"]
+    return fifth.select(*[c for c in fifth.columns if c not in made], F.inline(F.array(F.struct(*made))))
 
 
 def base_failed() -> Column:
@@ -136,10 +139,11 @@ def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return wide.select(*columns)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, write: bool = True) -> DataFrame:
     """``docs``' columns ``keep`` (all by default) with the base measures, ``base_failed`` and ``kept``.
 
-    Measures are written once and read twice, for the sketches and for the verdicts. Fences are joined by group: their
+    Measures serve twice, for the sketches and for the verdicts: they are written in between, or with ``write=False``
+    taken anew, which costs time but no disk where ``keep`` holds whole texts. Fences are joined by group: their
     tables have a row for each group, and whether they are broadcast is decided from the measured size.
     """
     keep = docs.columns if keep is None else keep
@@ -148,7 +152,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     rows = measured(frame, text).withColumn("base_failed", base_failed())
     rows = rows.withColumns({f"__{m}": c for m, c in _shares().items()})
     rows = rows.drop(*[c for c in (text,) if c not in keep])
-    rows = stored(rows, "measured")
+    rows = stored(rows, "measured") if write else rows
     sketch = stored(sketches(rows, lang, source), "sketch")
     joined = rows
     for n, keys in enumerate((("lang", "source"), ("lang",))):
@@ -180,7 +184,7 @@ def op7_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """The documents that the rules keep."""
     whole = docs.select(F.struct("*").alias("__doc"), "text", "lang", "source")
-    return judged(whole, keep=["__doc"]).filter("kept").select("__doc.*")
+    return judged(whole, keep=["__doc"], write=False).filter("kept").select("__doc.*")
 
 
 def _sql() -> str:

@@ -186,11 +186,15 @@ def with_components(rows: DataFrame, doc: str = "doc_id", wide: bool | None = No
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """One document of each component: that with the smallest id, whole copies of its row once."""
-    rows = fingerprinted(docs).withColumn("__row", F.monotonically_increasing_id())
-    rows = stored(rows, "printed")
-    placed = with_components(rows.select("doc_id", "__fp", "__row"))
+    flags = [F.col(c).isNull() for c in docs.columns]
+    keys = [F.xxhash64(F.lit(seed), *docs.columns, *flags).alias(f"__key{seed}") for seed in (1, 2)]
+    rows = fingerprinted(docs.select("doc_id", "text", *keys)).drop("text")
+    rows = stored(rows, "prints")  # ids and hashes; the texts are not written again
+    placed = with_components(rows)
     # a component without ids is known by its null; its fingerprints' roots keep it apart
     first = placed.withColumn("__group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.hex("__fp"))))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    chosen = first.groupBy("__group").agg(F.min(order).alias("one")).select(F.col("one.__row").alias("__chosen"))
-    return rows.join(chosen, F.col("__row") == F.col("__chosen"), "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key1", "__key2")
+    chosen = first.groupBy("__group").agg(F.min(order).alias("one")).select("one.__key1", "one.__key2")
+    # rows alike in every column have one key
+    kept = docs.select("*", *keys).join(chosen, ["__key1", "__key2"], "left_semi").dropDuplicates(["__key1", "__key2"])
+    return kept.select(*docs.columns)

@@ -104,13 +104,15 @@ def mixed(
 ) -> DataFrame:
     """``docs``' columns ``keep`` (all by default) with size, source_size, target and ``taken`` words.
 
-    Sizes and hashes are computed once and written; sums and histograms read them. The sources' table is joined by
+    Sizes and hashes are written for the sums and histograms, and taken anew for the rows themselves, whose texts are
+    not written again. The sources' table is joined by
     source: broadcast if its measured size allows, else a shuffle whose hot sources AQE splits.
     """
     keep = docs.columns if keep is None else keep
-    named = docs.select(*[F.col(c) for c in keep], F.col(source).alias("__source"), F.size(words(F.col(text))).cast("bigint").alias("__size"), hash60(seed, F.col(doc), F.col(text)).alias("__hash"))
-    named = stored(named, "mix-sizes")
-    rows = named.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__hash").alias("hash"))
+    size = F.size(words(F.col(text))).cast("bigint")
+    own = {"source": F.col(source), "size": size, "hash": hash60(seed, F.col(doc), F.col(text))}
+    rows = stored(docs.select(*[c.alias(k) for k, c in own.items()]), "mix-sizes")
+    named = docs.select(*[F.col(c) for c in keep], *[c.alias(f"__{k}") for k, c in own.items()])
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     plan = stored(thresholds(rows, sources), "mix-thresholds")
     plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns])
