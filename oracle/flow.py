@@ -376,7 +376,7 @@ ORACLE = {
     "cand_split_stated": f"SELECT batch_id, key, n_deposits, observed_cents, solutions, {TEXTS} FROM osplit",
     "cand_merged": f"SELECT batch_id, {D('merged_with')}, merged_deposit, round(merged_rate, 6) AS merged_rate FROM merged",
     "cand_merged_stated": f"SELECT batch_id, {D('merged_with')}, merged_deposit, round(merged_rate, 6) AS merged_rate FROM omerged",
-    "cand_dedupe": "SELECT batch_id, rule, count(*) AS candidates, CAST(sum(n_deposits) AS BIGINT) AS deposits FROM cand GROUP BY 1, 2",
+    "cand_dedupe": "SELECT batch_id, key, rule, n_deposits FROM cand WHERE n_deposits > 0",
     "amt_describe": """SELECT batch_id, deposit_id AS key, gross_cents, deductions_cents, expected_net_cents, cents AS observed_cents, cents - expected_net_cents AS delta_cents,
         round((gross_cents - cents)::DOUBLE / gross_cents::DOUBLE, 6) AS implied_rate FROM elig""",
     "ev_amount": code_query("", "amount_code"),

@@ -6,7 +6,7 @@ cte(
     "gtx",
     """
 SELECT event_id, event_id // 200 AS page, (event_id // 200) % 5 <> 4 AS whole, user_id, CAST(round(value * 100) AS BIGINT) * 1000 AS cents,
-       CASE WHEN event_type = 'purchase' THEN 'APPROVED' WHEN event_id % 2 = 0 THEN 'DECLINED' ELSE 'VOIDED' END AS status,
+       CASE WHEN event_type = 'purchase' THEN 'APPROVED' WHEN event_id % 7 = 3 THEN NULL WHEN event_id % 2 = 0 THEN 'DECLINED' ELSE 'VOIDED' END AS status,
        CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS at_ts,
        CASE user_id % 3 WHEN 0 THEN 'CARD' WHEN 1 THEN 'PSE' END AS method
 FROM events WHERE event_type IN ('purchase', 'error')""",
@@ -155,7 +155,7 @@ ORACLE = {
     "run_resolve": """SELECT 'run_' || strftime(max(ts), '%Y%m%d') || '000000' AS run_id, 'latest' AS wanted FROM events
         UNION ALL SELECT DISTINCT 'run_20240105000000', 'known' FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'""",
     "ing_gateway_charge": "SELECT id, external_id, occurred_us, value_date, type, amount_cents, counterparty, description, method, locator FROM gcharge",
-    "ing_excluded": "SELECT 'page=' || page AS origin, status, count(*) AS transactions FROM gtx WHERE whole AND status <> 'APPROVED' GROUP BY page, status",
+    "ing_excluded": "SELECT 'page=' || page AS origin, status, count(*) AS transactions FROM gtx WHERE whole AND status IS DISTINCT FROM 'APPROVED' GROUP BY page, status",
     "ing_shape_check": "SELECT DISTINCT 'page=' || page AS origin, 'PARSE_INTEGRITY' AS code FROM gtx WHERE NOT whole",
     "ing_parse_amount": PARSE,
     "ing_major_units": "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY ALL",

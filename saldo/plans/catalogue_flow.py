@@ -160,9 +160,8 @@ def cand_merged_stated(w: Workspace) -> DataFrame:
 
 
 def cand_dedupe(w: Workspace) -> DataFrame:
-    return w.flow.candidates.groupBy("batch_id", "rule").agg(
-        F.count(F.lit(1)).alias("candidates"), F.sum("n_deposits").alias("deposits")
-    )
+    """Which rule keeps each set of credits."""
+    return w.flow.candidates.filter("n_deposits > 0").select("batch_id", "key", "rule", "n_deposits")
 
 
 def amt_describe(w: Workspace) -> DataFrame:

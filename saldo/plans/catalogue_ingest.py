@@ -58,7 +58,7 @@ def src_admit(w: Workspace) -> DataFrame:
 
 def src_route(w: Workspace) -> DataFrame:
     k = F.col("doc_id") % 3
-    payload = F.concat(F.when(k == 0, ' {"data":').when(k == 1, "%PDF").otherwise(""), "text")
+    payload = F.concat(F.when(k == 0, " " * 80 + '{"data":').when(k == 1, "%PDF").otherwise(""), "text")
     return w.table("documents").select(
         "doc_id", F.coalesce(inbox.route(F.encode(payload, "UTF-8")), F.lit("UNKNOWN_LAYOUT")).alias("parser")
     )

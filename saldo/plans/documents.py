@@ -35,7 +35,7 @@ class Documents:
             F.concat(F.lit("evt-"), "event_id").alias("reference"),
             (F.round(F.col("value") * 100).cast("bigint") * 1000).alias("amount_in_cents"),
             F.lit("COP").alias("currency"),
-            F.when(F.col("event_type") == "purchase", "APPROVED").when(F.col("event_id") % 2 == 0, "DECLINED").otherwise("VOIDED").alias("status"),
+            F.when(F.col("event_type") == "purchase", "APPROVED").when(F.col("event_id") % 7 == 3, None).when(F.col("event_id") % 2 == 0, "DECLINED").otherwise("VOIDED").alias("status"),
             F.date_format("ts", iso).alias("created_at"),
             F.when(F.col("event_id") % 4 != 0, F.date_format(F.col("ts") + F.expr("interval 1 hour"), iso)).alias("finalized_at"),
             F.when(F.col("user_id") % 3 == 0, "CARD").when(F.col("user_id") % 3 == 1, "PSE").alias("payment_method_type"),
