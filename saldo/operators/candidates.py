@@ -322,9 +322,7 @@ def generate(
 ) -> tuple[DataFrame, DataFrame]:
     """All candidates of all rules, and the eligible pairs they came from."""
     pairs = materialise(eligible(windowed, money_in, calendar), "eligible")
-    every = (
-        single(pairs, rules)
-        .unionByName(split(pairs, windowed, rules))
-        .unionByName(merged(windowed, money_in))
-    )
-    return dedupe(every), pairs
+    splits = split(pairs, windowed, rules)
+    # a single credit and a split of two or more have different keys: only explanations without credits can meet
+    keyless = dedupe(splits.filter("n_deposits = 0").unionByName(merged(windowed, money_in)))
+    return single(pairs, rules).unionByName(splits.filter("n_deposits > 0")).unionByName(keyless), pairs
