@@ -141,7 +141,7 @@ ORACLE = {
     "src_journal_norm": """SELECT o_orderkey AS entry_id, CASE WHEN o_orderstatus = 'O' THEN '(borrador sin numerar)' ELSE 'ORD/' || o_orderkey END AS name,
         CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'Ord-' || o_orderkey END AS ref, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
         CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'P' THEN 'cancel' ELSE 'draft' END AS state, o_orderkey * 2 + s AS line_id,
-        CASE s WHEN 0 THEN '1110001' ELSE '420500' END AS account_code, CASE s WHEN 0 THEN 'Main account' ELSE 'Other sales' END AS account_name,
+        CASE s WHEN 0 THEN '2000010' ELSE '700100' END AS account_code, CASE s WHEN 0 THEN 'Main account' ELSE 'Other sales' END AS account_name,
         CASE s WHEN 0 THEN 1 ELSE -1 END * CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS amount_cents FROM orders CROSS JOIN (VALUES (0), (1)) v(s)""",
     "src_own_entries": f"""SELECT 'o' || substr(id, 5) AS entry_id, 'mov:' || id AS ref, CAST(value_date AS VARCHAR) AS date,
         CASE WHEN amount_cents % 4000 = 0 THEN 'draft' ELSE 'posted' END AS state FROM mov WHERE {OWN}""",

@@ -59,8 +59,8 @@ EVIDENCE_DIMENSIONS = {
 
 # Movement types, and the three that are deductions.
 MOVEMENT_TYPES = (
-    "CHARGE REFUND CHARGEBACK FEE TAX WITHHOLDING INTEREST TRANSFER_IN TRANSFER_OUT OTHER".split()
-)
+    "CHARGE", "REFUND", "CHARGEBACK", "FEE", "TAX", "WITHHOLDING", "INTEREST", "TRANSFER_IN", "TRANSFER_OUT", "OTHER",
+)
 DEDUCTIONS = ("FEE", "TAX", "WITHHOLDING")
 BATCHABLE = ("CHARGE", "REFUND", "CHARGEBACK", *DEDUCTIONS)
 TRANSFERS = ("TRANSFER_IN", "TRANSFER_OUT")
@@ -84,13 +84,13 @@ class Policy:
 
     def check(self, owner: str) -> "Policy":
         if self.window_from < 1 or self.window_to < self.window_from:
-            raise ConfigurationError(f"{owner}: the settlement window is empty or inverted")
+            raise ConfigurationError(f"{owner}: window {self.window_from} to {self.window_to} holds no business day")
         if self.cadence not in ("DAILY", "WEEKLY", "MONTHLY"):
-            raise ConfigurationError(f"{owner}: unknown cadence {self.cadence}")
+            raise ConfigurationError(f"{owner}: cadence {self.cadence} is not DAILY, WEEKLY or MONTHLY")
         if self.cadence == "WEEKLY" and self.week_ends_on not in range(1, 8):
-            raise ConfigurationError(f"{owner}: a weekly channel must name the day it closes on")
+            raise ConfigurationError(f"{owner}: week_ends_on is needed, from 1 to 7")
         if self.cadence == "MONTHLY" and self.month_ends_on not in range(1, 32):
-            raise ConfigurationError(f"{owner}: a monthly channel must name the day it closes on")
+            raise ConfigurationError(f"{owner}: month_ends_on is needed, from 1 to 31")
         if self.cutoff is not None:
             self.cutoff_minutes  # noqa: B018 - raises on a malformed time
         return self
@@ -101,7 +101,7 @@ class Policy:
             return None
         parts = self.cutoff.split(":")
         if len(parts) != 2 or not all(p.strip().isdigit() for p in parts):
-            raise ConfigurationError(f"a cutoff must read HH:MM, got {self.cutoff}")
+            raise ConfigurationError(f"cutoff {self.cutoff} is no time of the form HH:MM")
         return int(parts[0]) * 60 + int(parts[1])
 
 
@@ -171,11 +171,11 @@ class RuleSet:
 
     def check(self) -> "RuleSet":
         if not self.version:
-            raise ConfigurationError("a ruleset without a version is not reproducible")
+            raise ConfigurationError("version is empty")
         Policy(window_from=self.window_from, window_to=self.window_to).check("default")
         low, high = self.fee_band
         if low < 0 or high < low:
-            raise ConfigurationError("the implied fee band is inverted")
+            raise ConfigurationError("fee_band has to rise from zero or more")
         for channel in self.channels:
             if channel.policy:
                 channel.policy.check(channel.key)
@@ -190,7 +190,7 @@ class RuleSet:
         for codes in self.exclusive.values():
             total += max([0, *(self.weights.get(code, 0) for code in codes)])
         if total <= 0:
-            raise ConfigurationError("ruleset weights sum to zero")
+            raise ConfigurationError("no match could earn a point with these weights")
         return total
 
     @property
@@ -327,7 +327,7 @@ class Chart:
 
     def check(self) -> "Chart":
         if not self.journals:
-            raise ConfigurationError("the account map declares no journals")
+            raise ConfigurationError("journals is empty")
         return self
 
     def code(self, movement_type: str) -> str | None:

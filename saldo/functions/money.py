@@ -1,4 +1,4 @@
-"""Integer-cent arithmetic as column expressions. No amount ever passes through a double."""
+"""Integer-cent arithmetic as column expressions. Only amounts that arrive as doubles pass through one, once."""
 
 from __future__ import annotations
 

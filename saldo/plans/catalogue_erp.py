@@ -42,7 +42,7 @@ def erp_reference(w: Workspace) -> DataFrame:
 
 def erp_amount(w: Workspace) -> DataFrame:
     """The amount of an entry with and without its deductions counted in."""
-    added = journals.entries(w.order_heads, w.order_lines, w.journal_table, ["530505", "240810", "236500"])
+    added = journals.entries(w.order_heads, w.order_lines, w.journal_table, ["810200", "820300", "830400"])
     return w.order_books.entries.select("entry_id", F.col("entry_cents").alias("main_cents")).join(
         added.select("entry_id", "entry_cents", "balanced"), "entry_id"
     )

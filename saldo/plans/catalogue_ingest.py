@@ -82,7 +82,7 @@ def _export_moves(w: Workspace) -> tuple[DataFrame, DataFrame]:
     price, zero = F.col("o_totalprice"), F.lit(0.0)
     lines = orders.select(
         F.col("o_orderkey").alias("move_id"),
-        F.explode(F.array(side(0, "1110001 Main account", price, zero), side(1, "420500 Other sales", zero, price))).alias("l"),
+        F.explode(F.array(side(0, "2000010 Main account", price, zero), side(1, "700100 Other sales", zero, price))).alias("l"),
     ).select("l.id", "move_id", "l.account", "l.debit", "l.credit", F.lit("x").alias("name"))
     return moves, lines
 

@@ -36,21 +36,21 @@ ORDER_RULES = RuleSet(version="v1", channels=(Channel("delta", ("DELTA",)), Chan
 
 CHART = Chart(
     accounts={
-        "CHARGE": ("420500", "Other sales"),
-        "FEE": ("530505", "Gastos Bancarios"),
-        "TAX": ("240810", "IVA Descontable"),
-        "WITHHOLDING": ("236500", "Retención En La Fuente"),
-        "TRANSFER_OUT": ("111001", "Banco"),
-        "TRANSFER_IN": ("111001", "Banco"),
+        "CHARGE": ("700100", "Other sales"),
+        "FEE": ("810200", "Bank charges"),
+        "TAX": ("820300", "Input tax"),
+        "WITHHOLDING": ("830400", "Tax withheld"),
+        "TRANSFER_OUT": ("100500", "Bank account"),
+        "TRANSFER_IN": ("100500", "Bank account"),
     },
-    journals=tuple(Journal(f"gw:{n}", 48 + n, f"Gateway {n}", "1110001", "1010001") for n in range(10))
-    + tuple(Journal(f"ord:{n}", 60 + n, f"Orders {n}", "1110001", "1010001") for n in range(1, 6)),
+    journals=tuple(Journal(f"gw:{n}", 48 + n, f"Gateway {n}", "2000010", "2900010") for n in range(10))
+    + tuple(Journal(f"ord:{n}", 60 + n, f"Orders {n}", "2000010", "2900010") for n in range(1, 6)),
 )
 #: The bank's own journals next to the channels' journals its transfers come from.
 BANK_CHART = Chart(
     accounts=CHART.accounts,
-    journals=tuple(Journal(key, 40 + n, f"Channel {key}", f"111000{n}") for n, key in enumerate(RULES.channel_keys))
-    + tuple(Journal(f"bank:{n}", 70 + n, f"Bank {n}", "111001", "111002") for n in range(10)),
+    journals=tuple(Journal(key, 40 + n, f"Channel {key}", f"200001{n}") for n, key in enumerate(RULES.channel_keys))
+    + tuple(Journal(f"bank:{n}", 70 + n, f"Bank {n}", "100500", "100600") for n in range(10)),
 )
 
 MOVEMENT_COLUMNS = (
@@ -236,8 +236,8 @@ class Workspace:
     @cached_property
     def lines(self) -> DataFrame:
         sides = F.array(
-            F.struct(F.lit("1110001").alias("account_code"), F.col("cents").alias("amount_cents")),
-            F.struct(F.lit("420500").alias("account_code"), (-F.col("cents")).alias("amount_cents")),
+            F.struct(F.lit("2000010").alias("account_code"), F.col("cents").alias("amount_cents")),
+            F.struct(F.lit("700100").alias("account_code"), (-F.col("cents")).alias("amount_cents")),
         )
         return self._booked.select("entry_id", F.explode(sides).alias("l")).select("entry_id", "l.account_code", "l.amount_cents")
 
@@ -300,16 +300,16 @@ class Workspace:
             return F.struct(F.lit(code).alias("account_code"), amount.cast("bigint").alias("amount_cents"))
 
         charge, fee, tax, kept = (F.col(c) for c in ("CHARGE", "FEE", "TAX", "WITHHOLDING"))
-        gross = F.array(line("1110001", charge), line("420500", -charge))
+        gross = F.array(line("2000010", charge), line("700100", -charge))
         full = F.array(
-            line("1110001", charge + fee + tax + kept), line("530505", -fee), line("240810", -tax), line("236500", -kept),
-            line("420500", -charge),
+            line("2000010", charge + fee + tax + kept), line("810200", -fee), line("820300", -tax), line("830400", -kept),
+            line("700100", -charge),
         )
         own = self._order_sums.filter("k <> 2").select(
             F.concat(F.lit("s-"), "external_id").alias("entry_id"), F.explode(F.when(F.col("k") == 0, gross).otherwise(full)).alias("l")
         )
         day = self._order_totals.select(
-            "entry_id", F.explode(F.array(line("1110001", F.col("net")), line("420500", -F.col("net")))).alias("l")
+            "entry_id", F.explode(F.array(line("2000010", F.col("net")), line("700100", -F.col("net")))).alias("l")
         )
         return own.unionByName(day).select("entry_id", "l.account_code", "l.amount_cents")
 
@@ -333,7 +333,7 @@ class Workspace:
     @cached_property
     def bank_lines(self) -> DataFrame:
         return self.bank.filter("amount_cents % 2 = 0").select(
-            F.concat(F.lit("b"), F.substring("id", 5, 32)).alias("entry_id"), F.lit("111001").alias("account_code"), "amount_cents"
+            F.concat(F.lit("b"), F.substring("id", 5, 32)).alias("entry_id"), F.lit("100500").alias("account_code"), "amount_cents"
         )
 
     @cached_property

@@ -16,7 +16,7 @@ HOLIDAYS = ["2025-12-25", "2026-01-01", "2026-01-12", "2026-04-02", "2026-04-03"
 RULES = RuleSet(
     channels=(
         Channel("acme", ("ACME",), rates=Rates()),
-        Channel("druo", ("DRUO",)),
+        Channel("nova", ("NOVA",)),
         Channel("weekly", ("WEEKLY",), Policy("WEEKLY", 1, 3, week_ends_on=7)),
     )
 )
@@ -61,7 +61,7 @@ def flow(spark):
     x.credit("short", "2026-01-02", NET - 5000)
     x.credit("twice", "2026-01-02", NET, tag="c1")
     x.credit("twice", "2026-01-02", NET, tag="c2")
-    x.credit("foreign", "2026-01-02", NET, "DRUO LTDA")
+    x.credit("foreign", "2026-01-02", NET, "NOVA LTDA")
     x.credit("split", "2026-01-02", 20000000, tag="c1")
     x.credit("split", "2026-01-05", NET - 20000000, tag="c2")
     x.credit("whole", "2026-01-02", NET, tag="c0")
@@ -197,8 +197,8 @@ def test_rerun_is_equal(spark, flow):
 # ---- journals
 
 CHART = Chart(
-    {"CHARGE": ("420500", "Sales"), "FEE": ("530505", "Fees"), "TAX": ("240810", "VAT"), "WITHHOLDING": ("236500", "Kept"), "TRANSFER_IN": ("111001", "Bank"), "TRANSFER_OUT": ("111001", "Bank")},
-    (Journal("acme", 48, "Gateway", "1110001", "1010001"), Journal("bank", 49, "Bank", "111001", "111002")),
+    {"CHARGE": ("700100", "Sales"), "FEE": ("810200", "Fees"), "TAX": ("820300", "VAT"), "WITHHOLDING": ("830400", "Kept"), "TRANSFER_IN": ("100500", "Bank"), "TRANSFER_OUT": ("100500", "Bank")},
+    (Journal("acme", 48, "Gateway", "2000010", "2900010"), Journal("bank", 49, "Bank", "100500", "100600")),
 )
 
 
@@ -214,10 +214,10 @@ def books(spark, flow):
              ("e4", "acme", 48, "W/4", "full", "2026-02-04", "posted"), ("e5", "acme", 48, "W/5", "gross", "2026-02-05", "posted")]
     lines = []
     for entry, cents in (("e0", 500), ("e1", 700), ("e1b", 700), ("e5", 31754900)):
-        lines += [(entry, "1110001", cents), (entry, "420500", -cents)]
-    lines += [("e4", "1110001", NET), ("e4", "530505", 786240), ("e4", "240810", 149385), ("e4", "236500", 476323), ("e4", "420500", -31754900)]
+        lines += [(entry, "2000010", cents), (entry, "700100", -cents)]
+    lines += [("e4", "2000010", NET), ("e4", "810200", 786240), ("e4", "820300", 149385), ("e4", "830400", 476323), ("e4", "700100", -31754900)]
     table = spark.createDataFrame(
-        [("acme", 48, "Gateway", "1110001", "gw"), ("bank", 49, "Bank", "111001", "bk")],
+        [("acme", 48, "Gateway", "2000010", "gw"), ("bank", 49, "Bank", "100500", "bk")],
         "journal_key string, journal_id int, journal_name string, main_account string, account_id string",
     )
     h = spark.createDataFrame(heads, "entry_id string, journal_key string, journal_id int, name string, ref string, date string, state string")
@@ -246,16 +246,16 @@ def test_drafts_balance_and_are_guarded(books):
     drafts = {}
     for r in books.drafts.orderBy("ref", "line").collect():
         drafts.setdefault(r.ref, []).append((r.account_code, r.debit_cents, r.credit_cents))
-    assert drafts["mov:lost-CHARGE"] == [("1110001", NET, 0), ("530505", 786240, 0), ("240810", 149385, 0), ("236500", 476323, 0), ("420500", 0, 31754900)]
-    assert drafts["mov:t1"] == [("111001", 4000, 0), ("1110001", 0, 4000)]
-    assert drafts["mov:t3"] == [("111001", 0, 300), ("1110001", 300, 0)]
+    assert drafts["mov:lost-CHARGE"] == [("2000010", NET, 0), ("810200", 786240, 0), ("820300", 149385, 0), ("830400", 476323, 0), ("700100", 0, 31754900)]
+    assert drafts["mov:t1"] == [("100500", 4000, 0), ("2000010", 0, 4000)]
+    assert drafts["mov:t3"] == [("100500", 0, 300), ("2000010", 300, 0)]
     assert "mov:t2" not in drafts and "mov:i1" not in drafts
     assert corrections.balance(books.drafts).filter("not valid").isEmpty()
     guard = corrections.write_guard(books.proposed, books.drafts, CHART, True)
     assert guard.filter("not accepted").isEmpty()
     off = corrections.write_guard(books.proposed, books.drafts, CHART, False)
     assert [r.refused_because for r in off.select("refused_because").distinct().collect()] == ["WRITING_DISABLED"]
-    small = Chart({"CHARGE": ("420500", "Sales")}, CHART.journals[:1])
+    small = Chart({"CHARGE": ("700100", "Sales")}, CHART.journals[:1])
     reasons = {r.ref: r.refused_because for r in corrections.write_guard(books.proposed, books.drafts, small, True).collect()}
     assert reasons["mov:t1"] == "JOURNAL_NOT_IN_CHART" and reasons["mov:lost-CHARGE"] == "ACCOUNT_NOT_IN_CHART"
 
@@ -267,6 +267,6 @@ def test_shared_deductions_are_shown_not_written(spark, books):
     assert (got["ref-0"].ref, got["ref-0"].display_only, got["ref-0"].net_cents) == ("ded:m0", True, -19)
     assert (got["ref-3"].ref, got["ref-3"].display_only, got["ref-3"].net_cents) == ("mov:m3", False, 1077)
     lines = known.drafts.filter("ref = 'ded:m0'").orderBy("line").collect()
-    assert [(r.account_code, r.debit_cents, r.credit_cents) for r in lines] == [("1110001", 0, 19), ("530505", 10, 0), ("240810", 2, 0), ("236500", 7, 0)]
+    assert [(r.account_code, r.debit_cents, r.credit_cents) for r in lines] == [("2000010", 0, 19), ("810200", 10, 0), ("820300", 2, 0), ("830400", 7, 0)]
     guard = {r.ref: r.refused_because for r in corrections.write_guard(known.proposed, known.drafts, CHART, True).collect()}
     assert guard["ded:m0"] == "NO_REFERENCE_OF_OURS" and guard["mov:m3"] is None
