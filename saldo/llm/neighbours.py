@@ -10,7 +10,8 @@ more than its part; queries meet a part in blocks of ``QUERY_BLOCK`` and leave w
 too few is compared with all rows, in the same blocks.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part. Rows that share an id are one candidate, by the nearest of them; a row is never its own neighbour. Null ids take no
+part. Rows that share an id are one candidate, by the nearest of them, in every bucket, part and merge: equal rows are
+indexed once, and other rows of an id take no second place. A row is never its own neighbour. Null ids take no
 part. Ties go to the smaller id. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -103,18 +104,19 @@ def valid(vectors: DataFrame, ident: str, vector: str) -> tuple[DataFrame, int]:
     rows = rows.filter(F.col("id").isNotNull() & F.col("embedding").isNotNull()).filter(sound & some)
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     dimension = common["n"] if common else 1
-    return rows.filter(F.size("embedding") == dimension), dimension
+    return rows.filter(F.size("embedding") == dimension).distinct(), dimension
 
 
 def fitted_probes(rows: DataFrame, hashing: Hashing, dimension: int, neighbours: int) -> int:
     """The fewest probes that find TARGET of the nearest rows of a sample."""
-    drawn = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).collect()  # at most SAMPLE vectors
+    drawn = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id", "embedding").limit(SAMPLE).collect()  # at most SAMPLE vectors
     if len(drawn) <= neighbours:
         return PROBES[0]
     unit = unit_rows(np.array([r["embedding"] for r in drawn], np.float64).reshape(-1, dimension))
     asked = unit[:SAMPLE_QUERIES]
     near = asked @ unit.T
-    near[np.arange(len(asked)), np.arange(len(asked))] = -2
+    ids = np.array([r["id"] for r in drawn], np.int64)
+    near[ids[: len(asked), None] == ids[None, :]] = -2
     true = np.argpartition(-near, neighbours - 1, axis=1)[:, :neighbours]
     own = hashing.own(unit)
     probes = hashing.probes(asked, PROBES[-1]).reshape(len(asked), TABLES, -1)
@@ -208,6 +210,9 @@ def _nearest(queries, visits, index, sizes, parts, blocks, dimension, neighbours
     meets = meets.join(queries, "query_id").select("part", block.alias("block"), "query_id", "codes", "embedding")
     sides = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("bigint"))
 
+    def nearest(kept: dict[int, float]) -> list[tuple[int, float]]:
+        return heapq.nsmallest(neighbours, kept.items(), key=lambda x: (-x[1], x[0]))
+
     def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]
         if not rows.num_rows or not asked.num_rows:
@@ -232,34 +237,37 @@ def _nearest(queries, visits, index, sizes, parts, blocks, dimension, neighbours
             ends = np.append(starts[1:], len(codes))
             left, right = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
             pairs = [(a, b, owner[x:y]) for a, b, x, y in zip(starts, ends, left, right, strict=True) if y > x]
-        best: dict[int, list[tuple[float, int]]] = {}
+        best: dict[int, dict[int, float]] = {}
         for start, end, who in pairs:
             for at in range(0, len(who), 256):
                 some = who[at : at + 256]
                 near = query_unit[some] @ unit[start:end].T
                 near[query_ids[some][:, None] == ids[start:end][None, :]] = -3
-                if end - start > neighbours:
-                    least = np.partition(near, end - start - neighbours, axis=1)[:, -neighbours][:, None] - 1e-12
+                # rows of a bucket are in the order of their ids: the best of each id, then the nearest ids
+                firsts = np.flatnonzero(np.diff(ids[start:end], prepend=ids[start] - 1))
+                each = near if len(firsts) == end - start else np.maximum.reduceat(near, firsts, axis=1)
+                if len(firsts) > neighbours:
+                    least = np.partition(each, len(firsts) - neighbours, axis=1)[:, -neighbours][:, None] - 1e-12
                 else:
                     least = np.full((len(some), 1), -2.0)
                 hits, spots = np.nonzero((near >= least) & (near > -2.5))
                 exact = cosines(query_body[some[hits]], body[start + spots])
-                ranked = np.lexsort((spots, -exact, hits))  # rows of a bucket are in the order of their ids
-                hits, spots, exact = hits[ranked], spots[ranked], exact[ranked]
+                named = ids[start + spots]
+                ranked = np.lexsort((-exact, named, hits))
+                hits, named, exact = hits[ranked], named[ranked], exact[ranked]
+                single = np.ones(len(hits), bool)
+                single[1:] = (hits[1:] != hits[:-1]) | (named[1:] != named[:-1])
+                hits, named, exact = hits[single], named[single], exact[single]
+                ranked = np.lexsort((named, -exact, hits))
+                hits, named, exact = hits[ranked], named[ranked], exact[ranked]
                 first = np.arange(len(hits)) - np.searchsorted(hits, hits, "left") < neighbours
-                hits, spots, exact = hits[first], spots[first], exact[first]
-                for q, v, s in zip(some[hits].tolist(), ids[start + spots].tolist(), exact.tolist(), strict=True):
-                    kept = best.setdefault(q, [])
-                    if len(kept) < neighbours * TABLES:  # one row may come from each table
-                        heapq.heappush(kept, (s, -v))
-                    elif (s, -v) > kept[0]:
-                        heapq.heapreplace(kept, (s, -v))
-        out = []
-        for q, kept in best.items():
-            seen: dict[int, float] = {}
-            for s, v in sorted(kept, reverse=True):
-                seen.setdefault(-v, s)
-            out += [(int(query_ids[q]), v, s) for v, s in list(seen.items())[:neighbours]]
+                for q, v, s in zip(some[hits[first]].tolist(), named[first].tolist(), exact[first].tolist(), strict=True):
+                    kept = best.setdefault(q, {})
+                    if s > kept.get(v, -2.0):
+                        kept[v] = s
+                    if len(kept) > neighbours * TABLES:
+                        best[q] = dict(nearest(kept))
+        out = [(int(query_ids[q]), v, s) for q, kept in best.items() for v, s in nearest(kept)]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=names)
 

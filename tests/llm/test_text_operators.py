@@ -240,6 +240,26 @@ def test_few_vectors_are_all_returned(spark, size):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in rows} == want
 
 
+@pytest.mark.parametrize("times", [2, 6])
+@pytest.mark.parametrize("apart", [0.0, 1e-3])
+def test_neighbours_of_repeated_rows(spark, times, apart):
+    draw = np.random.default_rng(9)
+    centres = draw.standard_normal((6, 8))
+    vectors = []
+    for n in range(300):
+        body = centres[n % 6] + 0.2 * draw.standard_normal(8)
+        vectors += [(n, (body + apart * draw.standard_normal(8)).astype(np.float32).tolist()) for _ in range(times if apart else 1)] * (1 if apart else times)
+    frame = spark.createDataFrame([(*v, 1) for v in vectors], SCHEMA)
+    want = exact_neighbours(vectors, 50, 5)
+    got = defaultdict(dict)
+    for row in neighbours.search(frame, F.col("vec_id") % 50 == 0).collect():
+        got[row["query_id"]][row["vec_id"]] = row["score"]
+    assert all(len(found) == 5 for found in got.values()) and set(got) == set(want)
+    assert np.mean([len(set(got[q]) & {v for v, _ in want[q]}) / 5 for q in want]) > 0.9
+    truth = {q: dict(found) for q, found in want.items()}
+    assert all(s == pytest.approx(truth[q][v], abs=1e-12) for q, found in got.items() for v, s in found.items() if v in truth[q])
+
+
 # --- pieces
 
 BODIES = ["", "a", "  x  ", " ", "日本語 テスト 😀 ▁▁ a▁b", " " * 70 + "q", "x" * 100 + " " + "abc" * 200, "\n\n\t foo\r\n", "\x00 end ", "if (x) {\n        return;\n    }"]
