@@ -327,6 +327,31 @@ def test_pieces_vary_and_decode(spark):
     assert pieces.encoded(docs.limit(0)).count() == 0
 
 
+def test_every_occurrence_and_copy_draws_for_itself(spark):
+    text = " ".join(["considerations"] * 400)
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (1, text, "en", "a", 2), (2, text, "en", "a", 1)], "doc_id long, text string, lang string, source string, copy_no int")
+    got = pieces.encoded(docs, copy="copy_no").collect()
+    assert all(r["lossless"] for r in got) and len({tuple(r["ids"]) for r in got}) == 3
+    codec = pieces.Codec(proto(), pieces.DROPOUT, pieces.SEED)
+    for row in got:
+        words, word = [], []
+        for n in row["ids"]:
+            if codec.bytes_of[n].startswith(b" ") and word:
+                words, word = [*words, tuple(word)], []
+            word.append(n)
+        assert len({*words, tuple(word)}) > 4
+
+
+def test_trees_follow_the_agenda_for_every_key(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_NODES", 500)
+    codec = pieces.Codec(proto(), 0.3, 5)
+    units = codec.units_of("the international considerations of understanding " * 40 + "thethethe" * 30 + prose(200) + "".join(map(chr, range(0x4E00, 0x6000))))
+    keys = codec.keys(np.full(len(units), 9, np.uint64), np.arange(len(units)))
+    for _ in range(2):
+        for unit, key, found in zip(units, keys, codec.cut(units, keys), strict=True):
+            assert found == (codec._agenda(unit, int(key)) if len(unit) > 1 else codec._character(unit))
+
+
 # --- chunk dedup
 
 
