@@ -504,6 +504,11 @@ def lin_attribute_stated(w: Workspace) -> DataFrame:
     return shared.select("movement_id", "batch_id", "attributed_cents")
 
 
+def lin_attribute_orders(w: Workspace) -> DataFrame:
+    """Shares of what the order flow's batches settled for, and of the expected net of those without a match."""
+    return w.order_flow.attributed.select("movement_id", "batch_id", "settled_cents", "attributed_cents")
+
+
 def lin_trace(w: Workspace) -> DataFrame:
     rows = lineage.trace(w.flow.attributed, w.flow.results, w.flow.batches, w.bank)
     return rows.select(
@@ -524,6 +529,17 @@ def lin_correlate(w: Workspace) -> DataFrame:
     return rows.select("charge_id", "credit_id", "verdict", number("attributed_cents"), six("share_of_batch"))
 
 
+def lin_correlate_orders(w: Workspace) -> DataFrame:
+    """Every charge of the order flow against every credit of its batch's match, and against one that settles nothing."""
+    flow = w.order_flow
+    charges = flow.attributed.select(F.col("movement_id").alias("charge_id"), "batch_id")
+    matched = flow.results.filter("matched").select("batch_id", F.explode("deposit_ids").alias("credit_id"))
+    pairs = charges.join(matched, "batch_id").select("charge_id", "credit_id")
+    pairs = pairs.unionByName(charges.select("charge_id", F.lit("none").alias("credit_id")))
+    rows = lineage.correlate(pairs, flow.attributed, flow.results, flow.batches)
+    return rows.select("charge_id", "credit_id", "verdict", number("attributed_cents"), six("share_of_batch"))
+
+
 def ded_shares(w: Workspace) -> DataFrame:
     return w.flow.shares.select("batch_id", "movement_id", "fee_cents", "tax_cents", "withholding_cents")
 
@@ -540,6 +556,6 @@ QUERIES = {
         ded_apply, cal_rates, cal_typical, out_unattributed, out_unattributed_stated, out_unattributed_anywhere, out_totals,
         out_totals_stated, out_summary, out_list, out_find, out_members, out_member_sums, out_unattr_list, out_channels,
         out_exceptions, out_agent_summary, out_agent_list, out_evidence, out_rates_shown, snk_report, snk_revive, snk_run_report,
-        alloc_largest, lin_attribute, lin_attribute_stated, lin_trace, lin_correlate, ded_shares,
+        alloc_largest, lin_attribute, lin_attribute_stated, lin_attribute_orders, lin_trace, lin_correlate, lin_correlate_orders, ded_shares,
     )
 }

@@ -270,3 +270,20 @@ def test_shared_deductions_are_shown_not_written(spark, books):
     assert [(r.account_code, r.debit_cents, r.credit_cents) for r in lines] == [("2000010", 0, 19), ("810200", 10, 0), ("820300", 2, 0), ("830400", 7, 0)]
     guard = {r.ref: r.refused_because for r in corrections.write_guard(known.proposed, known.drafts, CHART, True).collect()}
     assert guard["ded:m0"] == "NO_REFERENCE_OF_OURS" and guard["mov:m3"] is None
+
+
+def test_order_lineage_covers_every_settled_credit(spark):
+    from saldo.plans.catalogue import run
+
+    path = "/root/testdata/sf0.001"
+    shares = {r.movement_id: r for r in run("lin_attribute_orders", spark, path).collect()}
+    pairs = run("lin_correlate_orders", spark, path).collect()
+    inside = [r for r in pairs if r.verdict == "SETTLED_IN"]
+    assert {r.charge_id for r in pairs} == set(shares) and len({r.credit_id for r in inside}) > 1
+    assert all(r.attributed_cents == shares[r.charge_id].attributed_cents for r in inside)
+    settled = {r.charge_id for r in inside}
+    assert {r.charge_id for r in pairs if r.verdict == "SETTLED_ELSEWHERE"} == settled
+    batches = {}
+    for r in shares.values():
+        batches.setdefault((r.batch_id, r.settled_cents), []).append(r.attributed_cents)
+    assert all(sum(parts) == cents for (_, cents), parts in batches.items())
