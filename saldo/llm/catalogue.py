@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from saldo.llm import chat_examples, chunk_dedup, html_text, neighbours, pieces, quality_rules, simhash, source_mix, toxicity, url_filters, warc_store
+from saldo.llm import chat_examples, chunk_dedup, html_text, neighbours, pieces, quality_rules, simhash, source_mix, spelling_variants, toxicity, url_filters, warc_store
 
 LLM_QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ LLM_QUERIES = {
     "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_source_mix": source_mix.op10_source_mix,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_chat_examples": chat_examples.op12_chat_examples,
     "pipeline": corpus_pipeline.run,
 }
