@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from saldo.llm import chat_examples, chunk_dedup, html_text, neighbours, pieces, quality_rules, simhash, source_mix, spelling_variants, toxicity, url_filters, warc_store
+from saldo.llm import chat_examples, chunk_dedup, collocations, html_text, neighbours, pieces, quality_rules, simhash, source_mix, spelling_variants, toxicity, url_filters, warc_store
 
 LLM_QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -18,6 +18,7 @@ LLM_QUERIES = {
     "op10_source_mix": source_mix.op10_source_mix,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_chat_examples": chat_examples.op12_chat_examples,
+    "op13_collocations": collocations.op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ LLM_SQL = {
     "op7_quality_rules": quality_rules.SQL,
     "op10_source_mix": source_mix.SQL,
     "op12_chat_examples": chat_examples.SQL,
+    "op13_collocations": collocations.SQL,
 }
