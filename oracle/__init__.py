@@ -6,10 +6,14 @@ import re
 
 #: name -> body of a common table expression; bodies may use earlier names and the base tables.
 CTES: dict[str, str] = {}
+#: Names whose rows are kept, because a query or later names read them more than once.
+KEPT: set[str] = set()
 
 
-def cte(name: str, body: str) -> None:
+def cte(name: str, body: str, kept: bool = False) -> None:
     CTES[name] = body.strip()
+    if kept:
+        KEPT.add(name)
 
 
 def sql(body: str) -> str:
@@ -25,9 +29,6 @@ def sql(body: str) -> str:
     visit(body)
     if not needed:
         return body.strip()
-    parts = [f"{_head(name)} AS ({CTES[name]})" for name in CTES if name in needed]
+    parts = [f"{name} AS {'MATERIALIZED ' if name in KEPT else ''}({CTES[name]})" for name in CTES if name in needed]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body.strip()
 
-
-def _head(name: str) -> str:
-    return name

@@ -339,12 +339,17 @@ def code_query(p: str, code: str) -> str:
 STAMPS = " UNION ALL ".join(f"SELECT batch_id, key, {c} AS code FROM cand WHERE {c} IS NOT NULL" for c in CODES)
 
 #: The order flow's charges with their shares of what landed, or of the expected net where nothing did.
-ORDER_SHARES = """SELECT *, CAST(CASE WHEN t < 0 THEN -1 ELSE 1 END * (units + CASE WHEN rk <= abs(t) - su THEN 1 ELSE 0 END) AS BIGINT) AS attributed_cents FROM (
+cte(
+    "oshares",
+    """
+SELECT *, CAST(CASE WHEN t < 0 THEN -1 ELSE 1 END * (units + CASE WHEN rk <= abs(t) - su THEN 1 ELSE 0 END) AS BIGINT) AS attributed_cents FROM (
         SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY r DESC, movement_id) AS rk, sum(units) OVER (PARTITION BY batch_id) AS su FROM (
           SELECT *, (CAST(abs(t) AS HUGEINT) * w) // tw AS units, (CAST(abs(t) AS HUGEINT) * w) % tw AS r FROM (
             SELECT b.batch_id, d.id AS movement_id, d.amount_cents AS w, coalesce(x.observed_cents, b.expected_net_cents) AS t, sum(d.amount_cents) OVER (PARTITION BY b.batch_id) AS tw,
               b.gross_cents, coalesce(x.n_deposits, 0) > 0 AS is_matched, x.deposit_ids
-            FROM odue d JOIN obat b ON b.account_id = d.account_id AND b.due_date = d.due_date LEFT JOIN ores x ON x.batch_id = b.batch_id WHERE d.type = 'CHARGE')))"""
+            FROM odue d JOIN obat b ON b.account_id = d.account_id AND b.due_date = d.due_date LEFT JOIN ores x ON x.batch_id = b.batch_id WHERE d.type = 'CHARGE')))""",
+    kept=True,
+)
 
 ORACLE = {
     "settlements": f"""SELECT match_id, account_id, channel, {D('batch_date')}, status, CASE WHEN n_deposits > 1 THEN 'SPLIT_SETTLEMENT' ELSE 'SCHEDULED_SETTLEMENT' END AS rule_id, score, gross_cents,
@@ -469,10 +474,10 @@ ORACLE = {
         CASE WHEN s.is_matched AND list_contains(s.deposit_ids, f.credit_id) THEN round(s.amount_cents::DOUBLE / s.gross_cents::DOUBLE, 6) ELSE -1 END AS share_of_batch
         FROM shared s JOIN (SELECT account_id, min(deposit_id) AS credit_id FROM cred GROUP BY 1) f USING (account_id)
         UNION ALL SELECT id, 'none', 'UNRELATED', 0, -1 FROM omov WHERE type = 'CHARGE'""",
-    "lin_attribute_orders": f"SELECT movement_id, batch_id, t AS settled_cents, attributed_cents FROM ({ORDER_SHARES})",
-    "lin_correlate_orders": f"""SELECT movement_id AS charge_id, unnest(deposit_ids) AS credit_id, 'SETTLED_IN' AS verdict, attributed_cents, round(w::DOUBLE / gross_cents::DOUBLE, 6) AS share_of_batch
-        FROM ({ORDER_SHARES}) WHERE is_matched
-        UNION ALL SELECT movement_id, 'none', CASE WHEN is_matched THEN 'SETTLED_ELSEWHERE' ELSE 'UNSETTLED' END, 0, -1 FROM ({ORDER_SHARES})""",
+    "lin_attribute_orders": "SELECT movement_id, batch_id, t AS settled_cents, attributed_cents FROM oshares",
+    "lin_correlate_orders": """SELECT charge_id, credit_id, CASE WHEN credit_id <> 'none' THEN 'SETTLED_IN' WHEN is_matched THEN 'SETTLED_ELSEWHERE' ELSE 'UNSETTLED' END AS verdict,
+        CASE WHEN credit_id <> 'none' THEN cents ELSE 0 END AS attributed_cents, CASE WHEN credit_id <> 'none' THEN round(w::DOUBLE / gross_cents::DOUBLE, 6) ELSE -1 END AS share_of_batch
+        FROM (SELECT movement_id AS charge_id, unnest(list_append(CASE WHEN is_matched THEN deposit_ids ELSE [] END, 'none')) AS credit_id, is_matched, attributed_cents AS cents, w, gross_cents FROM oshares)""",
     "ded_shares": "SELECT batch_id, movement_id, fee_cents, tax_cents, withholding_cents FROM dshares",
 }
 ORACLE = {name: sql(body) for name, body in ORACLE.items()}
