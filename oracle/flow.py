@@ -383,8 +383,8 @@ ORACLE = {
     "cand_target_stated": "SELECT batch_id, target_cents, slack_cents FROM otarget",
     "cand_single": f"SELECT batch_id, key, observed_cents, {TEXTS} FROM single",
     "cand_single_stated": f"SELECT batch_id, key, observed_cents, {TEXTS} FROM osingle",
-    "cand_subset": "SELECT batch_id, solution, len(path) AS size, list_aggregate(list_sort(deposits), 'string_agg', '+') AS key FROM sol",
-    "cand_subset_stated": "SELECT batch_id, solution, len(path) AS size, list_aggregate(list_sort(deposits), 'string_agg', '+') AS key FROM osol",
+    "cand_subset": "SELECT batch_id, solution, len(path) AS size, list_aggregate(list_sort(deposits), 'string_agg', '+') AS key, true AS complete FROM sol",
+    "cand_subset_stated": "SELECT batch_id, solution, len(path) AS size, list_aggregate(list_sort(deposits), 'string_agg', '+') AS key, true AS complete FROM osol",
     "cand_split": f"SELECT batch_id, key, n_deposits, observed_cents, solutions, {TEXTS} FROM split",
     "cand_split_stated": f"SELECT batch_id, key, n_deposits, observed_cents, solutions, {TEXTS} FROM osplit",
     "cand_merged": f"SELECT batch_id, {D('merged_with')}, merged_deposit, round(merged_rate, 6) AS merged_rate FROM merged",

@@ -142,11 +142,12 @@ def single(pairs: DataFrame, rules: RuleSet) -> DataFrame:
 def split(pairs: DataFrame, windowed: DataFrame, rules: RuleSet) -> DataFrame:
     """One batch, several credits: the first few subsets that reach the target.
 
-    A search that used up its row budget without a solution says so with an empty candidate.
+    A search that was stopped without a solution says so with an empty candidate; the solutions of
+    one that was stopped later are marked by ``complete``.
     """
     cents, slack = target(rules)
     aimed = pairs.withColumn("target_cents", cents).withColumn("slack_cents", slack)
-    found, exhausted = subsets.search(
+    found, stopped = subsets.search(
         aimed.select("batch_id", "deposit_id", "value_date", "cents", "target_cents", "slack_cents"), rules
     )
     viable = found.filter(F.size("positions") > 1)
@@ -191,7 +192,7 @@ def split(pairs: DataFrame, windowed: DataFrame, rules: RuleSet) -> DataFrame:
         F.lit(None).cast("double").alias("merged_rate"),
     )
     given_up = _empty(
-        windowed.join(exhausted, "batch_id"),
+        windowed.join(stopped.filter("found = 0").select("batch_id"), "batch_id"),
         SPLIT,
         "UNRESOLVED_COMBINATORIAL",
         F.lit(None).cast("date"),

@@ -135,7 +135,7 @@ def _subset(flow: Flow) -> DataFrame:
     aimed = flow.pairs.withColumn("target_cents", cents).withColumn("slack_cents", slack)
     columns = ("batch_id", "deposit_id", "value_date", "cents", "target_cents", "slack_cents")
     found, _ = subsets.search(aimed.select(*columns), flow.rules)
-    return found.select("batch_id", "solution", F.size("positions").alias("size"), F.array_join("deposits", "+").alias("key"))
+    return found.select("batch_id", "solution", F.size("positions").alias("size"), F.array_join("deposits", "+").alias("key"), "complete")
 
 
 def cand_subset(w: Workspace) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,7 +81,12 @@ def first_subsets(credits, target, slack, size, most):
     return [tuple(sorted(ordered[p][0] for p in c)) for c in sorted(hits)[:most]]
 
 
-def test_subset_search(spark, block=3):
+#: Ways through the search: one piece with all states, met in the middle, by steps alone, and in rounds.
+WAYS = ({}, {"easy": 0}, {"easy": 0, "states": 3}, {"easy": 0, "states": 0}, {"group": 1, "block": 3})
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_subset_search(spark, way):
     rng = random.Random(3)
     rules = RuleSet(subset_max_size=4, subset_max_solutions=3)
     rows, want = [], {}
@@ -92,21 +98,68 @@ def test_subset_search(spark, block=3):
         if n >= 2 and first_subsets(credits, target, slack, 4, 3):
             want[f"b{b}"] = first_subsets(credits, target, slack, 4, 3)
     df = spark.createDataFrame(rows, "batch_id string, deposit_id string, cents bigint, target_cents bigint, slack_cents bigint")
-    found, out = subsets.search(df.withColumn("value_date", F.to_date(F.lit("2026-01-01"))), rules, block)
+    found, out = subsets.search(df.withColumn("value_date", F.to_date(F.lit("2026-01-01"))), rules, **way)
     got = {}
     for r in sorted(found.collect(), key=lambda r: (r.batch_id, r.solution)):
         got.setdefault(r.batch_id, []).append(tuple(r.deposits))
+        assert r.complete
     assert got == want
     assert out.isEmpty()
 
 
+@pytest.mark.parametrize("way", [{}, {"easy": 0}, {"easy": 0, "states": 40}, {"easy": 0, "states": 12}])
+def test_one_batch_searched_by_states(way):
+    rng = random.Random(31)
+    met = 0
+    for n in range(150):
+        size = rng.choice([2, 5, 20])
+        amounts = sorted((rng.choice([rng.randrange(1, 2000), 700, 701, 350]) for _ in range(rng.randrange(2, 12))), reverse=True)
+        target, slack = rng.randrange(1, 6000), rng.choice([0, 0, 3, 60])
+        found, _, complete = subsets.solve(amounts, target, slack, subsets.Limits(size, 5, 200_000), **way)
+        named = [(f"{i:02}", c) for i, c in enumerate(amounts)]
+        assert complete and [tuple(f"{p:02}" for p in s) for s in found] == first_subsets(named, target, slack, size, 5), n
+        ends = subsets.Completions(np.array(amounts), target, slack, size, way.get("states", subsets.STATES))
+        met += 0 < ends.known < len(amounts)
+    assert met or way.get("states") is None
+
+
+@pytest.mark.parametrize("slack", [0, 3])
+def test_two_hundred_equal_and_near_equal_credits(slack):
+    rules = subsets.Limits.of(RuleSet())
+    equal = [7_000] * 200
+    assert subsets.solve(equal, 7_000 * 50 + 100, slack, rules) == ([], subsets.solve(equal, 7_000 * 50 + 100, slack, rules)[1], True)
+    found, steps, complete = subsets.solve(equal, 7_000 * 50, slack, rules)
+    assert complete and found[0] == list(range(50)) and found[1] == [*range(49), 50] and steps < 20_000
+    rng = random.Random(6)
+    near = sorted((100_000 + 2 * rng.randrange(60) for _ in range(200)), reverse=True)
+    odd, _, complete = subsets.solve(near, 100_000 * 59 + 1, 0, rules)
+    assert complete and odd == []  # no even sum is odd, and no search says so faster than the states
+    target = sum(rng.sample(near, 40))
+    found, _, complete = subsets.solve(near, target, slack, rules)
+    assert complete and len(found) == 5 and found == sorted(found)
+    assert all(abs(sum(near[p] for p in s) - target) <= slack for s in found)
+
+
+def test_halves_meet_where_neither_side_is_small():
+    rng = random.Random(8)
+    amounts = sorted((rng.randrange(10**9, 10**10) for _ in range(32)), reverse=True)
+    chosen = sorted(rng.sample(range(32), 13))
+    target = sum(amounts[p] for p in chosen)
+    found, _, complete = subsets.solve(amounts, target, 0, subsets.Limits(60, 5, 10), states=1 << 17)
+    assert complete and found == [chosen]
+
+
 def test_subset_search_says_when_it_gives_up(spark):
-    rows = [("b", f"d{i:02}", 2 * (i + 1)) for i in range(30)]
-    df = spark.createDataFrame(rows, "batch_id string, deposit_id string, cents bigint").select(
-        "*", F.lit(201).cast("bigint").alias("target_cents"), F.lit(0).cast("bigint").alias("slack_cents"), F.current_date().alias("value_date")
-    )
-    found, out = subsets.search(df, RuleSet(subset_max_rows=200), 8)
-    assert found.isEmpty() and [r.batch_id for r in out.collect()] == ["b"]
+    rows = [("b", f"d{i:02}", 2 * (i + 1), 201) for i in range(30)]  # no solution
+    rows += [("c", f"d{i:02}", c, 101) for i, c in enumerate([99, 2, *range(40, 2, -2)])]  # one at once, and no other
+    schema = "batch_id string, deposit_id string, cents bigint, target_cents bigint"
+    df = spark.createDataFrame(rows, schema).select("*", F.lit(0).cast("bigint").alias("slack_cents"), F.current_date().alias("value_date"))
+    for way in ({"group": 1, "block": 8}, {"easy": 10, "states": 4}):
+        found, out = subsets.search(df, RuleSet(subset_max_rows=200), **way)
+        assert {(r.batch_id, r.found > 0) for r in out.collect()} == {("b", False), ("c", True)}
+        assert {(r.batch_id, r.complete) for r in found.collect()} == {("c", False)}
+    found, out = subsets.search(df, RuleSet(subset_max_rows=200))
+    assert out.isEmpty() and all(r.complete for r in found.collect())
 
 
 def test_assignment_equals_the_serial_pass(spark):
