@@ -1,8 +1,8 @@
 """Phrase collocations, counted by a HAT-trie in every task.
 
-A task gives its words ids and keeps phrases of up to three words in a trie under their first word: a hash container holds
-the packed rest of each phrase with its count, and bursts into one container for each second word when it grows beyond
-``BURST``. When a task holds more than ``HELD`` phrases, the largest subtrees leave it whole as sorted runs, cut by prefix
+A task gives its words ids and keeps phrases of up to three words, packed as ids, in a shallow trie: a hash container holds
+the phrases of a range of first words with their counts, and bursts into one for each first word, then second word, when it
+grows beyond ``BURST``. When a task holds more than ``HELD`` phrases, the largest subtrees leave it whole as sorted runs, cut by prefix
 partition, the hash of language and first two words, and into blocks. Spark deals the blocks to their partition and sorts
 them by first phrase; a sweep over them merges the runs, and lets go of every phrase before the next block's first. So
 neither a task nor a partition holds more than its share, however common a word or a pair is.
@@ -41,7 +41,7 @@ TOP = 2000
 
 BITS = 21
 MASK = (1 << BITS) - 1
-BURST = 4096
+BURST = 1 << 14
 HELD = 1_500_000
 VOCABULARY = 1 << 20
 TOKENS = 1 << 18
@@ -72,61 +72,77 @@ class WordIds(dict):
 
 
 class Burst(dict):
-    """A container that has burst: containers by second word."""
+    """A container that has burst: its children by the next longer prefix."""
 
-    def entries(self) -> int:
-        return sum(map(len, self.values()))
+
+def entries(held: dict) -> int:
+    return sum(map(entries, held.values())) if type(held) is Burst else len(held)
+
+
+def containers(held: dict) -> Iterator[dict]:
+    if type(held) is Burst:
+        for child in held.values():
+            yield from containers(child)
+    else:
+        yield held
 
 
 class HatTrie:
-    """Counts of phrases, packed as three ids, under their language and first word."""
+    """Counts of phrases, packed as three ids, in hash containers under a shallow trie for each language.
+
+    A container starts with the phrases of a range of first words; one that grows too large bursts into one for each first
+    word, and that into one for each second word.
+    """
+
+    LEVELS = (2 * BITS + 8, 2 * BITS, BITS)
 
     def __init__(self, burst: int = BURST) -> None:
         self.burst = burst
-        self.subtrees: dict[tuple[str, int], dict] = {}
+        self.roots: dict[str, Burst] = {}
         self.size = 0
 
     def add(self, lang: str, codes: np.ndarray, counts: np.ndarray) -> None:
         """Add counts of distinct phrases in order."""
-        if not len(codes):
-            return
-        heads = codes >> (2 * BITS)
-        begins = np.flatnonzero(np.diff(heads, prepend=-1))
-        codes, counts, heads = codes.tolist(), counts.tolist(), heads[begins].tolist()
-        for head, a, b in zip(heads, begins.tolist(), [*begins[1:].tolist(), len(codes)], strict=True):
-            key = (lang, head)
-            held = self.subtrees.get(key)
+        if len(codes):
+            root = self.roots.setdefault(lang, Burst())
+            self.size += self._into(root, 0, codes, codes.tolist(), counts.tolist(), 0, len(codes))
+
+    def _into(self, node: Burst, level: int, codes: np.ndarray, keys: list[int], values: list[int], a: int, b: int) -> int:
+        """Add the phrases from place ``a`` to ``b``; how many of them are new."""
+        shift, added = self.LEVELS[level], 0
+        begins = (np.flatnonzero(np.diff(codes[a:b] >> shift, prepend=-1)) + a).tolist()
+        for x, y in zip(begins, [*begins[1:], b], strict=True):
+            head = keys[x] >> shift
+            held = node.get(head)
+            if type(held) is Burst:
+                added += self._into(held, level + 1, codes, keys, values, x, y)
+                continue
             if held is None:
-                held = self.subtrees[key] = dict(zip(codes[a:b], counts[a:b], strict=True))
-                self.size += b - a
-            elif type(held) is Burst:
-                for code, count in zip(codes[a:b], counts[a:b], strict=True):
-                    inner = held.setdefault(code >> BITS, {})
-                    self.size += code not in inner
-                    inner[code] = inner.get(code, 0) + count
-            else:
-                before = len(held)
-                for code, count in zip(codes[a:b], counts[a:b], strict=True):
-                    held[code] = held.get(code, 0) + count
-                self.size += len(held) - before
-            if type(held) is dict and len(held) > self.burst:
-                node = self.subtrees[key] = Burst()
+                held = node[head] = {}
+            before = len(held)
+            fresh = dict(zip(keys[x:y], values[x:y], strict=True))
+            for code in held.keys() & fresh.keys():
+                fresh[code] += held[code]
+            held.update(fresh)
+            added += len(held) - before
+            if len(held) > self.burst and level + 1 < len(self.LEVELS):
+                node[head] = apart = Burst()
                 for code, count in held.items():
-                    node.setdefault(code >> BITS, {})[code] = count
+                    apart.setdefault(code >> self.LEVELS[level + 1], {})[code] = count
+        return added
 
     def taken(self, left: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """Take out whole subtrees, the largest first, until ``left`` phrases are held: (language, codes, counts)."""
-        sizes = {key: held.entries() if type(held) is Burst else len(held) for key, held in self.subtrees.items()}
+        sizes = {(lang, head): entries(held) for lang, root in self.roots.items() for head, held in root.items()}
         chosen: dict[str, list[dict]] = {}
-        for key in sorted(sizes, key=sizes.get, reverse=True):
+        for lang, head in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= left:
                 break
-            held = self.subtrees.pop(key)
-            self.size -= sizes[key]
-            chosen.setdefault(key[0], []).extend(held.values() if type(held) is Burst else [held])
-        for lang, containers in chosen.items():
-            codes = np.fromiter(chain.from_iterable(containers), np.int64)
-            counts = np.fromiter(chain.from_iterable(c.values() for c in containers), np.int64)
+            self.size -= sizes[lang, head]
+            chosen.setdefault(lang, []).extend(containers(self.roots[lang].pop(head)))
+        for lang, found in chosen.items():
+            codes = np.fromiter(chain.from_iterable(found), np.int64)
+            counts = np.fromiter(chain.from_iterable(c.values() for c in found), np.int64)
             yield lang, codes, counts
 
 
@@ -143,17 +159,23 @@ def packed(ids: np.ndarray, carried: int, most_words: int) -> tuple[np.ndarray,
 
 def sorted_runs(lang: str, codes: np.ndarray, counts: np.ndarray, words: list[bytes], parts: int, block: int) -> Iterator[pa.RecordBatch]:
     """Blocks of one spill, each sorted by phrase and of one partition. A phrase is written as its words, a blank after each."""
-    spaced = pa.array([w + b" " if w else b"" for w in words], pa.large_binary())
-    rank = np.empty(len(words), np.int64)
-    rank[pc.array_sort_indices(spaced).to_numpy()] = np.arange(len(words))
-    hashed = np.array([crc32(w) for w in words], np.uint64)
-    one, two, three = codes >> (2 * BITS), (codes >> BITS) & MASK, codes & MASK
+    ids = np.unique(np.concatenate([codes >> (2 * BITS), (codes >> BITS) & MASK, codes & MASK, [0]]))
+    own = [words[i] for i in ids.tolist()]
+    spaced = pa.array([w + b" " if w else b"" for w in own], pa.large_binary())
+    rank = np.empty(len(own), np.int64)
+    rank[pc.array_sort_indices(spaced).to_numpy()] = np.arange(len(own))
+    place = np.zeros(int(ids[-1]) + 1, np.int64)
+    place[ids] = np.arange(len(ids))
+    one, two, three = place[codes >> (2 * BITS)], place[(codes >> BITS) & MASK], place[codes & MASK]
+    order = np.argsort(rank[one] << (2 * BITS) | rank[two] << BITS | rank[three])
+    one, two, three, counts = one[order], two[order], three[order], counts[order]
+    hashed = np.array([crc32(w) for w in own], np.uint64)
     mixed = hashed[one] * np.uint64(0x9E3779B97F4A7C15) + hashed[two] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(crc32(lang.encode()))
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((rank[one] << (2 * BITS) | rank[two] << BITS | rank[three], part))
-    one, two, three, part, counts = one[order], two[order], three[order], part[order], counts[order]
+    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    one, two, three, part, counts = one[order], two[order], three[order], part[order].astype(np.int64), counts[order]
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
     cuts = np.unique(np.concatenate([np.arange(a, b, block) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
     ends = np.append(cuts[1:], len(part))
@@ -178,7 +200,7 @@ def spilled_runs(docs: DataFrame, text: str, lang: str, most_words: int, parts:
     frame = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, trie = WordIds(), HatTrie(burst)
+        ids, trie, gap = WordIds(), HatTrie(burst), np.zeros(1, np.int64)
 
         def spill(left: int) -> Iterator[pa.RecordBatch]:
             for name, codes, counts in trie.taken(left):
@@ -190,7 +212,7 @@ def spilled_runs(docs: DataFrame, text: str, lang: str, most_words: int, parts:
                 rows.setdefault(name, []).append(n)
             texts = batch.column("text")
             for name, places in rows.items():
-                sequence, carried = [], 0
+                sequence, length, carried = [], 0, 0
                 for place in places:
                     body = texts[place].as_py()
                     if not body:
@@ -201,20 +223,23 @@ def spilled_runs(docs: DataFrame, text: str, lang: str, most_words: int, parts:
                         to = body.find(b" ", at + SLICE) if len(body) - at > SLICE else -1
                         piece = body[at : to if to >= 0 else len(body)]
                         at = at + len(piece)
-                        sequence.extend(map(ids.__getitem__, piece.replace(b"\n", b" " + GAP + b" ").split()))
-                        if len(sequence) > TOKENS or len(ids.words) > VOCABULARY:
-                            trie.add(name, *packed(np.array(sequence, np.int64), carried, most_words))
-                            sequence = sequence[1 - MOST_WORDS :]
-                            carried = len(sequence)
+                        tokens = piece.replace(b"\n", b" " + GAP + b" ").split()
+                        sequence.append(np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens)))
+                        length += len(tokens)
+                        if length > TOKENS or len(ids.words) > VOCABULARY:
+                            whole = np.concatenate(sequence)
+                            trie.add(name, *packed(whole, carried, most_words))
+                            last = whole[1 - MOST_WORDS :]
                             if len(ids.words) > VOCABULARY:
-                                again = [ids.words[i] or GAP for i in sequence]
+                                again = [ids.words[i] or GAP for i in last.tolist()]
                                 yield from spill(0)
                                 ids = WordIds()
-                                sequence = [ids[w] for w in again]
+                                last = np.array([ids[w] for w in again], np.int64)
                             elif trie.size > held:
                                 yield from spill(held // 2)
-                    sequence.append(0)
-                trie.add(name, *packed(np.array(sequence, np.int64), carried, most_words))
+                            sequence, length, carried = [last], 0, len(last)
+                    sequence.append(gap)
+                trie.add(name, *packed(np.concatenate([*sequence, gap]), carried, most_words))
                 if trie.size > held:
                     yield from spill(held // 2)
         yield from spill(0)
