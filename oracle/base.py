@@ -1,6 +1,6 @@
 """Ledgers, credits and journals as SQL over the given tables."""
 
-from oracle import cte
+from oracle import CTES, cte
 
 HOLIDAYS = "(DATE '2024-01-01', DATE '2024-01-08', DATE '2024-01-22')"
 
@@ -131,6 +131,14 @@ UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net - 5000, 'DE
 )
 cte("ocred", CREDIT.format(source="ocred0", owner="CASE WHEN contains(counterparty, 'DELTA') THEN 'delta' END"))
 
+# half a year of the orders, with the credits that may settle it
+RUN_DAYS = "BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'"
+cte("rcal", "SELECT * FROM ocal")
+cte("rahead", "SELECT * FROM oahead")
+cte("rbat0", CTES["obat0"].replace("odue", f"(SELECT * FROM odue WHERE value_date {RUN_DAYS})"))
+cte("rbat", CTES["obat"].replace("obat0", "rbat0"))
+cte("rcred", "SELECT * FROM ocred WHERE value_date BETWEEN DATE '1997-01-01' AND (SELECT n3 FROM oahead WHERE d = DATE '1997-06-30')")
+
 # journals
 cte(
     "ent",

@@ -38,7 +38,7 @@ def score(earned: str, attainable: str) -> str:
     return f"(200 * ({earned}) + {attainable}) // (2 * {attainable})"
 
 
-for p in ("", "o"):
+for p in ("", "o", "r"):
     # within the window and not another channel's; the owner of a credit is at most one channel here
     cte(
         f"{p}elig",
@@ -152,7 +152,7 @@ FROM {p}greedy g JOIN {p}pairs q ON q.account_id = g.account_id AND q.rk = g.rk
     )
     cte(f"{p}won", f"SELECT account_id, batch_id, key FROM {p}greedy WHERE won")
 
-for p in ("", "o"):
+for p in ("", "o", "r"):
     cte(
         f"{p}others",
         f"SELECT w.batch_id, max(c.score) AS best, count(*) AS n FROM {p}won w JOIN {p}cand c ON c.batch_id = w.batch_id AND c.key <> w.key GROUP BY w.batch_id",
@@ -177,13 +177,14 @@ def band(value: str, contested: str) -> str:
 
 
 # a channel that states its deductions has nothing to derive and no second pass
-cte(
-    "ores",
-    f"""
+for p in ("o", "r"):
+    cte(
+        f"{p}res",
+        f"""
 SELECT b.batch_id, b.account_id, b.batch_date, b.gross_cents, b.expected_net_cents, s.deposit_ids, coalesce(s.n_deposits, 0) AS n_deposits, s.observed_cents, coalesce(s.score, 0) AS score,
        CASE WHEN s.batch_id IS NULL THEN 'UNMATCHED' ELSE {band('s.score', 's.contested')} END AS status, 'mat_' || substr(sha256(b.batch_id || '|' || coalesce(s.key, 'none')), 1, 16) AS match_id
-FROM obat b LEFT JOIN osettled s USING (batch_id)""",
-)
+FROM {p}bat b LEFT JOIN {p}settled s USING (batch_id)""",
+    )
 cte("oclaimed", "SELECT account_id, unnest(deposit_ids) AS deposit_id FROM ores WHERE n_deposits > 0")
 cte("lost", "SELECT b.* FROM bat b WHERE b.batch_id NOT IN (SELECT batch_id FROM won)")
 cte(
@@ -351,6 +352,12 @@ SELECT *, CAST(CASE WHEN t < 0 THEN -1 ELSE 1 END * (units + CASE WHEN rk <= abs
     kept=True,
 )
 
+def multiset(content: str) -> str:
+    """A digest over a count and eight sums of 32-bit parts of SHA-256."""
+    sums = [f"CAST(coalesce(sum(CAST('0x' || substr(sha256({content}), {8 * n + 1}, 8) AS BIGINT)), 0) AS VARCHAR)" for n in range(8)]
+    return f"sha256(concat_ws('|', CAST(count({content}) AS VARCHAR), {', '.join(sums)}))"
+
+
 ORACLE = {
     "settlements": f"""SELECT match_id, account_id, channel, {D('batch_date')}, status, CASE WHEN n_deposits > 1 THEN 'SPLIT_SETTLEMENT' ELSE 'SCHEDULED_SETTLEMENT' END AS rule_id, score, gross_cents,
         expected_net_cents, coalesce(observed_cents, 0) AS observed_cents, coalesce(derived_total, 0) AS derived_total, coalesce(amount_code, '') AS amount_code, coalesce(date_code, '') AS date_code,
@@ -447,32 +454,41 @@ ORACLE = {
         FROM res r LEFT JOIN calib c USING (account_id) GROUP BY r.account_id, r.channel""",
     "out_exceptions": "SELECT match_id, status, abs(coalesce(observed_cents - expected_net_cents, expected_net_cents)) AS at_risk_cents FROM res WHERE status <> 'CONFIRMED'",
     "out_agent_summary": "SELECT * FROM (" + TOTALS.format(keys="run").replace("FROM res", "FROM (SELECT *, 'latest' AS run FROM res)") + ")",
-    "out_agent_list": """SELECT * FROM (SELECT 'exception' AS kind, match_id AS id, abs(coalesce(observed_cents - expected_net_cents, expected_net_cents)) AS cents FROM res WHERE status <> 'CONFIRMED' ORDER BY 3 DESC, 2 LIMIT 15)
-        UNION ALL SELECT * FROM (SELECT 'unattributed', movement_id, amount_cents FROM unattr ORDER BY value_date, movement_id LIMIT 15)""",
+    "out_agent_list": """SELECT * FROM (SELECT 'unmatched' AS asked, match_id AS id, status, abs(coalesce(observed_cents - expected_net_cents, expected_net_cents)) AS cents,
+          (SELECT count(*) FROM res WHERE status = 'UNMATCHED') AS total FROM res WHERE status = 'UNMATCHED' ORDER BY batch_date, account_id LIMIT 20)
+        UNION ALL SELECT * FROM (SELECT 'all', match_id, status, abs(coalesce(observed_cents - expected_net_cents, expected_net_cents)), (SELECT count(*) FROM res) FROM res
+          ORDER BY batch_date, account_id LIMIT 10 OFFSET 30)
+        UNION ALL SELECT * FROM (SELECT 'unattributed', movement_id, '', amount_cents, 0 FROM unattr ORDER BY value_date, movement_id LIMIT 15)""",
     "out_evidence": f"""SELECT batch_id, position, code, {DIMENSION} AS dimension, CASE WHEN code = 'DEDUCTIONS_DERIVED' THEN consistent ELSE code NOT IN {FAILED} END AS passed, {weight('code')} AS weight FROM evid""",
     "out_rates_shown": "SELECT batch_id, replace(printf('%.2f', round(rate, 6) * 100), '.', ',') || '%' AS rate FROM res WHERE is_matched",
     "snk_report": "SELECT 'run_20240301000000' AS run_id, account_id, batches, gross_cents, observed_cents FROM totals",
     "snk_revive": f"SELECT account_id AS scope, match_id, {D('batch_date')}, gross_cents FROM res WHERE batch_date >= '2024-01-10'",
-    "snk_run_report": """SELECT 'run' AS section, 1 AS documents UNION ALL SELECT 'summary', count(*) FROM totals UNION ALL SELECT 'reconciliations', count(*) FROM res
-        UNION ALL SELECT 'unattributed', count(*) FROM unattr UNION ALL SELECT 'erp', count(DISTINCT account_id) FROM mov""",
+    "snk_run_report": f"""SELECT 'run' AS section, CAST(min(batch_date) AS VARCHAR) AS id, 0 AS figure, '' AS what FROM bat
+        UNION ALL SELECT 'summary', account_id, gross_cents, '' FROM totals UNION ALL SELECT 'reconciliations', match_id, gross_cents, status FROM res
+        UNION ALL SELECT 'unattributed', movement_id, amount_cents, reason FROM unattr
+        UNION ALL SELECT 'erp', journal_key, CAST(sum(entry_cents) AS BIGINT), '' FROM erp_entries GROUP BY journal_key
+        UNION ALL SELECT 'rubric', code, {weight('code')}, dimension FROM {VOCABULARY}""",
+    "run_flow": f"""SELECT match_id, account_id, {D('batch_date')}, status, score, gross_cents, expected_net_cents, coalesce(observed_cents, 0) AS observed_cents FROM rres""",
+    "run_loads": """SELECT 'orders' AS source, count(*) AS inserted, 0 AS updated, 1 AS version FROM omov UNION ALL SELECT 'bank', count(*), 0, 2 FROM ocred
+        UNION ALL SELECT 'orders again', 0, count(*), 2 FROM omov""",
+    "snk_run_record": f"""SELECT 'run_20240201000000' AS run_id, '2024-01-01' AS range_from, '2024-01-31' AS range_to, 'v1' AS ruleset_version, source, digest, true AS finished FROM (
+        SELECT 'pages' AS source, {multiset('html')} AS digest FROM pages UNION ALL SELECT 'documents', {multiset("concat_ws('|', doc_id, text)")} FROM documents)""",
     "alloc_largest": """SELECT l_orderkey, l_linenumber, CAST(sign * (units + CASE WHEN rk <= t - su THEN 1 ELSE 0 END) AS BIGINT) AS share_cents FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY r DESC, l_linenumber) AS rk, sum(units) OVER (PARTITION BY l_orderkey) AS su FROM (
           SELECT *, (CAST(t AS HUGEINT) * w) // tw AS units, (CAST(t AS HUGEINT) * w) % tw AS r FROM (
             SELECT l.*, o.c AS t, CASE WHEN o.o_orderstatus = 'P' THEN -1 ELSE 1 END AS sign, sum(w) OVER (PARTITION BY l_orderkey) AS tw FROM
               (SELECT l_orderkey, l_linenumber, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS w FROM lineitem GROUP BY 1, 2) l JOIN ocents o ON o.o_orderkey = l.l_orderkey)))""",
     "lin_attribute": "SELECT movement_id, batch_id, amount_cents, settled_cents, attributed_cents FROM shared",
-    "lin_attribute_stated": """SELECT movement_id, batch_id, CAST(CASE WHEN t < 0 THEN -1 ELSE 1 END * (units + CASE WHEN rk <= abs(t) - su THEN 1 ELSE 0 END) AS BIGINT) AS attributed_cents FROM (
-        SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY r DESC, movement_id) AS rk, sum(units) OVER (PARTITION BY batch_id) AS su FROM (
-          SELECT *, (CAST(abs(t) AS HUGEINT) * w) // tw AS units, (CAST(abs(t) AS HUGEINT) * w) % tw AS r FROM (
-            SELECT b.batch_id, d.id AS movement_id, d.amount_cents AS w, b.expected_net_cents AS t, sum(d.amount_cents) OVER (PARTITION BY b.batch_id) AS tw
-            FROM odue d JOIN obat b ON b.account_id = d.account_id AND b.due_date = d.due_date WHERE d.type = 'CHARGE')))""",
+    "lin_attribute_stated": "SELECT movement_id, batch_id, attributed_cents FROM oshares",
     "lin_trace": """SELECT s.movement_id, s.batch_id, s.match_id, coalesce(c.deposit_id, '') AS bank_credit_id, c.deposit_id IS NOT NULL AS settled, s.attributed_cents,
         'CHARGE=' || s.amount_cents || ';BATCH=' || s.gross_cents || ';SETTLEMENT=' || s.settled_cents || CASE WHEN c.deposit_id IS NOT NULL THEN ';BANK_CREDIT=' || c.cents ELSE '' END AS steps
         FROM shared s LEFT JOIN cred c ON c.deposit_id = s.deposit_ids[1]""",
-    "lin_correlate": """SELECT s.movement_id AS charge_id, f.credit_id, CASE WHEN NOT s.is_matched THEN 'UNSETTLED' WHEN list_contains(s.deposit_ids, f.credit_id) THEN 'SETTLED_IN' ELSE 'SETTLED_ELSEWHERE' END AS verdict,
-        CASE WHEN s.is_matched AND list_contains(s.deposit_ids, f.credit_id) THEN s.attributed_cents ELSE 0 END AS attributed_cents,
-        CASE WHEN s.is_matched AND list_contains(s.deposit_ids, f.credit_id) THEN round(s.amount_cents::DOUBLE / s.gross_cents::DOUBLE, 6) ELSE -1 END AS share_of_batch
-        FROM shared s JOIN (SELECT account_id, min(deposit_id) AS credit_id FROM cred GROUP BY 1) f USING (account_id)
+    "lin_correlate": """SELECT charge_id, credit_id, CASE WHEN NOT is_matched THEN 'UNSETTLED' WHEN inside THEN 'SETTLED_IN' ELSE 'SETTLED_ELSEWHERE' END AS verdict,
+        CASE WHEN inside THEN attributed_cents ELSE 0 END AS attributed_cents, CASE WHEN inside THEN round(amount_cents::DOUBLE / gross_cents::DOUBLE, 6) ELSE -1 END AS share_of_batch
+        FROM (SELECT p.*, is_matched AND list_contains(deposit_ids, credit_id) AS inside FROM (
+          SELECT DISTINCT s.movement_id AS charge_id, unnest(list_distinct(list_append(CASE WHEN s.is_matched THEN s.deposit_ids ELSE [] END, f.credit_id))) AS credit_id,
+            s.is_matched, s.deposit_ids, s.attributed_cents, s.amount_cents, s.gross_cents
+          FROM shared s JOIN (SELECT account_id, min(deposit_id) AS credit_id FROM cred GROUP BY 1) f USING (account_id)) p)
         UNION ALL SELECT id, 'none', 'UNRELATED', 0, -1 FROM omov WHERE type = 'CHARGE'""",
     "lin_attribute_orders": "SELECT movement_id, batch_id, t AS settled_cents, attributed_cents FROM oshares",
     "lin_correlate_orders": """SELECT charge_id, credit_id, CASE WHEN credit_id <> 'none' THEN 'SETTLED_IN' WHEN is_matched THEN 'SETTLED_ELSEWHERE' ELSE 'UNSETTLED' END AS verdict,

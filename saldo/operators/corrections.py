@@ -41,6 +41,10 @@ def propose(report: DataFrame, chart: Chart, rules: RuleSet | None, scope: Colum
     )
 
 
+# What the line of a shared-out deduction is called.
+DEDUCTION_LABELS = {"FEE": "Comisión, prorrateada", "TAX": "IVA de la comisión, prorrateado", "WITHHOLDING": "Retención, prorrateada"}
+
+
 def lines(proposed: DataFrame, group_members: DataFrame) -> DataFrame:
     """Signed single-entry lines: one per movement, and one per shared-out deduction."""
     own = proposed.filter("not display_only").select("journal_key", "group_key", "ref").join(
@@ -53,10 +57,13 @@ def lines(proposed: DataFrame, group_members: DataFrame) -> DataFrame:
     shared = proposed.filter("fee_cents is not null").select(
         "journal_key", "ref",
         F.explode(
-            F.array(*[F.struct(F.lit(d).alias("concept"), (-F.col(f"{d.lower()}_cents")).alias("amount_cents")) for d in DEDUCTIONS])
+            F.array(*[
+                F.struct(F.lit(d).alias("concept"), (-F.col(f"{d.lower()}_cents")).alias("amount_cents"), F.lit(DEDUCTION_LABELS[d]).alias("label"))
+                for d in DEDUCTIONS
+            ])
         ).alias("l"),
     ).select(
-        "journal_key", "ref", "l.concept", "l.amount_cents", F.lit("prorrateado").alias("label"),
+        "journal_key", "ref", "l.concept", "l.amount_cents", "l.label",
         F.lit(None).cast("string").alias("movement_id"),
     )
     return own.unionByName(shared)

@@ -199,12 +199,9 @@ def exceptions(results: DataFrame) -> DataFrame:
     return results.filter("status <> 'CONFIRMED'").withColumn("at_risk_cents", amount_at_risk())
 
 
-def exceptions_page(results: DataFrame, status: str | None = None, limit: int = 15, offset: int = 0) -> DataFrame:
-    """A page of the exceptions (of one status), most at stake first."""
-    rows = exceptions(results)
-    if status is not None:
-        rows = rows.filter(F.col("status") == status)
-    return rows.orderBy(F.col("at_risk_cents").desc(), "match_id").offset(offset).limit(limit)
+def agent_page(results: DataFrame, status: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of the results of one status, or of all, in the order of their batches, with the total of the list."""
+    return page(listing(results, status), [F.col("batch_date"), F.col("account_id")], limit, offset)
 
 
 def unattributed_page(loose: DataFrame, limit: int = 15, offset: int = 0) -> DataFrame:
@@ -273,7 +270,9 @@ def channel_overview(results: DataFrame, channels: DataFrame, calibration: DataF
     )
 
 
-def run_report(run: DataFrame, flow_summary: DataFrame, results: DataFrame, unclaimed: DataFrame, erp_totals: DataFrame) -> DataFrame:
+def run_report(
+    run: DataFrame, flow_summary: DataFrame, results: DataFrame, unclaimed: DataFrame, erp_totals: DataFrame, rubric_rows: DataFrame
+) -> DataFrame:
     """The run artifact as JSON documents, one row per line of the report.
 
     A run has any number of results, so the artifact is written as JSON lines tagged with their
@@ -289,6 +288,7 @@ def run_report(run: DataFrame, flow_summary: DataFrame, results: DataFrame, uncl
         .unionByName(section("reconciliations", results))
         .unionByName(section("unattributed", unclaimed))
         .unionByName(section("erp", erp_totals))
+        .unionByName(section("rubric", rubric_rows))
     )
 
 

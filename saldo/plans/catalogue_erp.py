@@ -151,7 +151,7 @@ def erp_correction_bank(w: Workspace) -> DataFrame:
 
 def erp_correction_ded(w: Workspace) -> DataFrame:
     shared = w.books.correction_lines.filter("movement_id is null")
-    return shared.select("journal_key", "ref", "concept", "amount_cents")
+    return shared.select("journal_key", "ref", "concept", "amount_cents", "label")
 
 
 def erp_concept_amount(w: Workspace) -> DataFrame:

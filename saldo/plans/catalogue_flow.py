@@ -14,7 +14,8 @@ from saldo.functions.money import percent
 from saldo.operators import assignment, batches, candidates, deductions, lineage, ranking, results
 from saldo.plans.fixtures import ORDER_RULES, RULES, Workspace
 from saldo.plans.flow import Flow
-from saldo.session import shared_dir, small_table
+from saldo.plans.run import Run
+from saldo.session import own_path, small_table
 from saldo.sources import store
 
 def text(column: str) -> Column:
@@ -430,11 +431,15 @@ def out_agent_summary(w: Workspace) -> DataFrame:
 
 
 def out_agent_list(w: Workspace) -> DataFrame:
-    """The exceptions page and the first unattributed credits an agent is shown."""
-    worst, loose = results.exceptions_page(w.flow.results), results.unattributed_page(w.flow.unattributed)
-    return worst.select(F.lit("exception").alias("kind"), F.col("match_id").alias("id"), F.col("at_risk_cents").alias("cents")).unionByName(
-        loose.select(F.lit("unattributed").alias("kind"), F.col("movement_id").alias("id"), F.col("amount_cents").alias("cents"))
-    )
+    """Pages an agent is shown: one status, all of them further on, and the first unattributed credits."""
+    some = results.agent_page(w.flow.results, "unmatched").withColumn("asked", F.lit("unmatched"))
+    every = results.agent_page(w.flow.results, None, 10, 30).withColumn("asked", F.lit("all"))
+    pages = some.unionByName(every).select("asked", F.col("match_id").alias("id"), "status", results.amount_at_risk().alias("cents"), "total")
+    loose = results.unattributed_page(w.flow.unattributed).select(
+        F.lit("unattributed").alias("asked"), F.col("movement_id").alias("id"), F.lit("").alias("status"),
+        F.col("amount_cents").alias("cents"), F.lit(0).cast("bigint").alias("total"),
+    )
+    return pages.unionByName(loose)
 
 
 def out_evidence(w: Workspace) -> DataFrame:
@@ -448,7 +453,7 @@ def out_rates_shown(w: Workspace) -> DataFrame:
 
 def snk_report(w: Workspace) -> DataFrame:
     """Totals saved under a run and read back as the latest of their kind."""
-    path = f"{shared_dir(w.spark)}/reports"
+    path = own_path(w.spark, "reports")
     totals = results.totals(w.flow.results, "account_id").withColumn("scope", F.lit("all"))
     for run in ("run_20240201000000", "run_20240301000000"):
         store.save_report(totals, path, run, "flow")
@@ -462,7 +467,7 @@ def snk_report(w: Workspace) -> DataFrame:
 
 def snk_revive(w: Workspace) -> DataFrame:
     """Results saved per account and read back with their types: dates compare, cents add up."""
-    path = f"{shared_dir(w.spark)}/revived"
+    path = own_path(w.spark, "reports")
     rows = w.flow.results.select("match_id", "batch_date", "gross_cents", F.col("account_id").alias("scope"))
     store.save_report(rows, path, "run_20240201000000", "results")
     back = store.load_report(w.spark, path, "results", "run_20240201000000")
@@ -470,11 +475,63 @@ def snk_revive(w: Workspace) -> DataFrame:
 
 
 def snk_run_report(w: Workspace) -> DataFrame:
+    """Every line of the run's artifact: what it is about, and an amount from its body."""
     run = w.flow.batches.agg(F.min("batch_date").alias("from"), F.max("batch_date").alias("to"))
     lines = results.run_report(
-        run, results.totals(w.flow.results, "account_id"), w.flow.explained, w.flow.unattributed, w.plain_books.totals
+        run, results.totals(w.flow.results, "account_id"), w.flow.explained, w.flow.unattributed, w.plain_books.totals,
+        results.rubric(w.spark, RULES),
+    )
+
+    def field(*names: str) -> Column:
+        return F.coalesce(*[F.get_json_object("body", f"$.{n}") for n in names])
+
+    of = field("match_id", "movement_id", "journal_key", "code", "account_id", "from")
+    return lines.select(
+        "section", of.alias("id"), F.coalesce(field("gross_cents", "amount_cents", "erp_once_cents", "weight"), F.lit("0")).cast("bigint").alias("figure"),
+        F.coalesce(field("status", "reason", "dimension"), F.lit("")).alias("what"),
+    )
+
+
+def _order_run(w: Workspace) -> Run:
+    """A run over half a year of the orders: their movements and their bank's, loaded in turn into a store of its own."""
+    flow = w.order_flow
+    run = Run(
+        w.spark, own_path(w.spark, "store"), "run_19970701000000", "1997-07-01T00:00:00Z", "1997-01-01", "1997-06-30",
+        w.order_scopes, flow.rules, flow.holidays,
+    )
+    run.load("orders", w.order_movements, F.substring("external_id", 5, 20).cast("bigint"))
+    run.load("bank", flow.bank, F.xxhash64("id"))
+    return run
+
+
+def run_flow(w: Workspace) -> DataFrame:
+    """The range settled from the store and read back from the saved reports."""
+    run = _order_run(w)
+    run.save()
+    back = store.load_report(w.spark, f"{run.root}/reports", "results", run.run_id)
+    return back.select(
+        "match_id", "account_id", "batch_date", "status", "score", "gross_cents", "expected_net_cents",
+        F.coalesce("observed_cents", F.lit(0)).alias("observed_cents"),
+    )
+
+
+def run_loads(w: Workspace) -> DataFrame:
+    """What each source's load brought, and what the same loads bring a second time."""
+    run = _order_run(w)
+    again = run.load("orders again", w.order_movements, F.substring("external_id", 5, 20).cast("bigint"))
+    first, second = run.loaded[:2]
+    return first.unionByName(second).unionByName(again).select("source", "inserted", "updated", "version")
+
+
+def snk_run_record(w: Workspace) -> DataFrame:
+    """The run's stored row: its range, its rules, and a digest of each source's raw records."""
+    run = Run(
+        w.spark, own_path(w.spark, "store"), "run_20240201000000", "2024-02-01T00:00:00Z", "2024-01-01", "2024-01-31", w.scopes, RULES, []
     )
-    return lines.groupBy("section").agg(F.count(F.lit(1)).alias("documents"))
+    uploads = w.table("documents").select(F.concat_ws("|", "doc_id", "text").alias("content"))
+    stored = run.record({"pages": (w.table("pages"), "html"), "documents": (uploads, "content")})
+    digests = stored.select("run_id", "range_from", "range_to", "ruleset_version", F.explode("input_hashes").alias("source", "digest"), "finished_at")
+    return digests.select("run_id", "range_from", "range_to", "ruleset_version", "source", "digest", F.col("finished_at").isNotNull().alias("finished"))
 
 
 # ---- lineage
@@ -498,10 +555,8 @@ def lin_attribute(w: Workspace) -> DataFrame:
 
 
 def lin_attribute_stated(w: Workspace) -> DataFrame:
-    """Shares of the expected net, which needs no match."""
-    nothing = w.order_flow.results.filter(F.lit(False))
-    shared = lineage.attribute(w.order_flow.members, nothing, w.order_flow.batches)
-    return shared.select("movement_id", "batch_id", "attributed_cents")
+    """What each charge of a channel that states its deductions got of its settlement."""
+    return w.order_flow.attributed.select("movement_id", "batch_id", "attributed_cents")
 
 
 def lin_attribute_orders(w: Workspace) -> DataFrame:
@@ -518,14 +573,16 @@ def lin_trace(w: Workspace) -> DataFrame:
 
 
 def lin_correlate(w: Workspace) -> DataFrame:
-    """Every charge against the first credit of its bank account, and against a charge of no batch."""
+    """Every charge against each credit of its batch's match, the first of its bank account, and a charge of no batch."""
+    flow = w.flow
     first = w.bank.groupBy(F.col("account_id").alias("bank_account_id")).agg(F.min("id").alias("credit_id"))
-    pairs = (
-        w.movements.join(w.scopes.select("account_id", "bank_account_id"), "account_id").join(first, "bank_account_id")
-        .select(F.col("id").alias("charge_id"), "credit_id")
-    )
+    anywhere = w.movements.join(w.scopes.select("account_id", "bank_account_id"), "account_id").join(first, "bank_account_id")
+    matched = flow.results.filter("matched").select("batch_id", F.explode("deposit_ids").alias("credit_id"))
+    pairs = anywhere.select(F.col("id").alias("charge_id"), "credit_id").unionByName(
+        flow.attributed.select(F.col("movement_id").alias("charge_id"), "batch_id").join(matched, "batch_id").select("charge_id", "credit_id")
+    ).distinct()
     strays = w.order_movements.filter("type = 'CHARGE'").select(F.col("id").alias("charge_id"), F.lit("none").alias("credit_id"))
-    rows = lineage.correlate(pairs.unionByName(strays), w.flow.attributed, w.flow.results, w.flow.batches)
+    rows = lineage.correlate(pairs.unionByName(strays), flow.attributed, flow.results, flow.batches)
     return rows.select("charge_id", "credit_id", "verdict", number("attributed_cents"), six("share_of_batch"))
 
 
@@ -556,6 +613,7 @@ QUERIES = {
         ded_apply, cal_rates, cal_typical, out_unattributed, out_unattributed_stated, out_unattributed_anywhere, out_totals,
         out_totals_stated, out_summary, out_list, out_find, out_members, out_member_sums, out_unattr_list, out_channels,
         out_exceptions, out_agent_summary, out_agent_list, out_evidence, out_rates_shown, snk_report, snk_revive, snk_run_report,
+        run_flow, run_loads, snk_run_record,
         alloc_largest, lin_attribute, lin_attribute_stated, lin_attribute_orders, lin_trace, lin_correlate, lin_correlate_orders, ded_shares,
     )
 }

@@ -11,7 +11,8 @@ from saldo.functions import descriptors, money, parties
 from saldo.operators import ledger
 from saldo.plans.documents import Documents
 from saldo.plans.fixtures import RULES, Workspace
-from saldo.sources import gateway, inbox, journal, statement, store
+from saldo.session import own_path
+from saldo.sources import gateway, inbox, journal, statement, store, versions
 
 
 def docs(w: Workspace) -> Documents:
@@ -136,7 +137,10 @@ def snk_raw_upsert(w: Workspace) -> DataFrame:
     early = F.substring("content_hash", 1, 1)
     stored = raw.filter(early < "a").withColumn("run_id", F.lit("run_1"))
     incoming = raw.filter(early >= "5").withColumn("run_id", F.lit("run_2"))
-    return store.upsert_raw(stored, incoming)
+    table = versions.raw_table(w.spark, own_path(w.spark, "store"), stored.schema)
+    for load in (stored, incoming):
+        table.upsert(load, F.xxhash64("raw_id"))
+    return table.read()
 
 
 def _loads(w: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -148,11 +152,19 @@ def _loads(w: Workspace) -> tuple[DataFrame, DataFrame]:
 
 
 def snk_mov_upsert(w: Workspace) -> DataFrame:
-    return store.upsert_movements(*_loads(w))[0].select("id", "run_id", "amount_cents")
+    """Two loads into the versioned table, the second in part known."""
+    stored, incoming = _loads(w)
+    table = versions.movement_table(w.spark, own_path(w.spark, "store"), stored.schema)
+    for load in (stored, incoming):
+        table.upsert(load, F.substring("external_id", 5, 20).cast("bigint"))
+    return table.read().select("id", "run_id", "amount_cents")
 
 
 def snk_mov_upsert_counts(w: Workspace) -> DataFrame:
-    return store.upsert_movements(*_loads(w))[1]
+    stored, incoming = _loads(w)
+    table = versions.movement_table(w.spark, own_path(w.spark, "store"), stored.schema)
+    table.upsert(stored, F.xxhash64("id"))
+    return table.upsert(incoming, F.xxhash64("id")).select("inserted", "updated")
 
 
 def _runs(w: Workspace) -> DataFrame:

@@ -39,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/saldo/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -46,7 +51,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     sizes, so that whether a side is broadcast is decided from a measured size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saldo/{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
