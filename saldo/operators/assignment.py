@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from saldo.config import RuleSet
 from saldo.functions import scoring
+from saldo.operators import folds
 from saldo.session import materialise
 
 
@@ -38,22 +39,33 @@ def _rank() -> Column:
     )
 
 
-def winners(candidates: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """The pairs a serial best-first pass would take, found in rounds.
+def winners(candidates: DataFrame, max_rounds: int | None = None, group: int = folds.GROUP) -> DataFrame:
+    """The pairs a serial best-first pass would take.
 
-    A pair is taken when it ranks first on everything it claims: its batch and each of its credits.
-    That is the answer of the serial pass, because nothing better can ever take those claims away.
-    Whatever touches a claim leaves, and the rest goes round again. The best remaining pair is
-    always taken, so the rounds end. Ranks are compared by aggregation, never by sorting a batch's
-    or a credit's pairs in one task.
+    Claims never cross accounts. An account with up to ``group`` pairs is walked once, in rank order; larger
+    ones are settled in rounds.
     """
     pairs = candidates.filter("n_deposits > 0 and gate is null").select(
-        "account_id", "batch_id", "key", _rank().alias("rank"),
+        "account_id", _rank().alias("rank"), "batch_id", "key",
         F.array_append(
             F.transform("deposit_ids", lambda d: F.concat(F.lit("d:"), d)), F.concat(F.lit("b:"), "batch_id")
         ).alias("claims"),
     )
     pairs = materialise(pairs, "pairs")
+    small, large = folds.by_size(pairs, ["account_id"], group)
+    won = materialise(folds.folded(small, ["account_id"], folds.best_first, [pairs.schema["batch_id"], pairs.schema["key"]]), "won")
+    return won if large is None else won.unionByName(_in_rounds(large, max_rounds))
+
+
+def _in_rounds(pairs: DataFrame, max_rounds: int | None) -> DataFrame:
+    """The same over pairs of any number.
+
+    A pair is taken when it ranks first on everything it claims: its batch and each of its credits.
+    That is the answer of the serial pass, because nothing better can ever take those claims away.
+    Whatever touches a claim leaves, and the rest goes round again. The best remaining pair is
+    always taken, so the rounds end. Ranks are compared by aggregation, never by sorting a batch's
+    or a credit's pairs in one task.
+    """
     taken: list[DataFrame] = []
     rounds = 0
     while not pairs.isEmpty():
@@ -80,8 +92,6 @@ def winners(candidates: DataFrame, max_rounds: int | None = None) -> DataFrame:
         pairs = materialise(
             pairs.join(touched, ["account_id", "batch_id", "key"], "left_anti"), "pairs"
         )
-    if not taken:
-        return pairs.select("account_id", "batch_id", "key")
     result = taken[0]
     for more in taken[1:]:
         result = result.unionByName(more)

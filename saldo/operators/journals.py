@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saldo.config import DEDUCTIONS, Chart, RuleSet
 from saldo.functions import parties
+from saldo.operators import folds
 from saldo.operators.ranking import ranked
 from saldo.session import materialise
 
@@ -186,9 +188,33 @@ def by_day_total(pending: DataFrame, free: DataFrame) -> DataFrame:
     return pending.join(entry, ["journal_key", "date"]).withColumn("level", F.lit("AGGREGATED"))
 
 
-def by_nearest(pending: DataFrame, free: DataFrame) -> DataFrame:
+def by_nearest(pending: DataFrame, free: DataFrame, group: int = folds.GROUP) -> DataFrame:
     """Pass 4: on one day, the closest remaining entry, by gap, then group key, then entry.
 
+    A day with up to ``group`` groups and entries of a journal is walked once along its amounts, larger
+    days are swept in rounds.
+    """
+    day = ["journal_key", "date"]
+    g = pending.filter("ledger_cents <> 0").select(*day, F.col("ledger_cents").alias("cents"), "group_key")
+    e = free.filter("entry_cents is not null").select(*day, F.col("entry_cents").alias("cents"), "entry_id")
+    g, e = g.join(e, day, "left_semi"), e.join(g, day, "left_semi")
+    kinds = [pending.schema["group_key"], free.schema["entry_id"]]
+    both = g.withColumn("entry_id", F.lit(None).cast(kinds[1].dataType)).unionByName(
+        e.withColumn("group_key", F.lit(None).cast(kinds[0].dataType))
+    )
+    both = materialise(both.select(*day, "cents", "group_key", "entry_id"), "near")
+    small, large = folds.by_size(both, day, group)
+    pairs = folds.folded(small, day, folds.nearest_pairs, kinds).withColumn("level", F.lit("APPROXIMATE"))
+    if large is None:
+        return pairs
+    days = large.select(*day).distinct()
+    swept = _swept_nearest(pending.join(days, day, "left_semi"), free.join(days, day, "left_semi"))
+    return pairs.select("journal_key", "group_key", "entry_id", "level").unionByName(swept.select("journal_key", "group_key", "entry_id", "level"))
+
+
+def _swept_nearest(pending: DataFrame, free: DataFrame) -> DataFrame:
+    """Pass 4 for days of any size.
+
     Equal amounts on a side are one class, worked off in order; a class only ever competes with
     its neighbours on the amount line, so no list of all pairs is made. In each round every class
     looks left and right for its best partner. Two classes that prefer each other are paired off as
@@ -324,8 +350,8 @@ def by_shift(pending: DataFrame, free: DataFrame, calendar: DataFrame, shift_day
     """Pass 5: the same amount on one of the next business days, earliest day first.
 
     Groups are served by (date, key), each taking the earliest free entry it can reach. Groups of a
-    day and entries of a day with one amount are classes; a class pair is settled when neither side
-    has an earlier claim, and then as far as both reach.
+    day and entries of a day with one amount are classes, and one fold over the days of an amount says
+    how many of which class pair off.
     """
     if shift_days < 1:
         return _no_pairs(pending, free)
@@ -351,34 +377,11 @@ def by_shift(pending: DataFrame, free: DataFrame, calendar: DataFrame, shift_day
     sizes = members.groupBy(*same, "when", "side").agg(F.count(F.lit(1)).alias("size"))
     gc = sizes.filter("side = 'g'").select(*same, "when", F.col("size").alias("g_size"))
     ec = sizes.filter("side = 'e'").select(*same, F.col("when").alias("entry_date"), F.col("size").alias("e_size"))
-    edges = reachable.join(gc, [*same, "when"]).join(ec, [*same, "entry_date"]).withColumn(
-        "g_used", F.lit(0).cast("bigint")
-    ).withColumn("e_used", F.lit(0).cast("bigint"))
-    edges = materialise(edges, "shift-edges")
-    taken: list[DataFrame] = []
-    while not edges.isEmpty():
-        by_g = edges.groupBy(*same, "when").agg(F.min("entry_date").alias("first_e"))
-        by_e = edges.groupBy(*same, "entry_date").agg(F.min("when").alias("first_g"))
-        chosen = (
-            edges.join(by_g, [*same, "when"]).join(by_e, [*same, "entry_date"])
-            .filter(F.expr("entry_date = first_e and `when` = first_g"))
-            .withColumn("units", F.least(F.col("g_size") - F.col("g_used"), F.col("e_size") - F.col("e_used")))
-            .select(*same, "when", "entry_date", "g_used", "e_used", "units")
-        )
-        chosen = materialise(chosen, "shift-chosen")
-        taken.append(chosen)
-        edges = (
-            edges.join(chosen.select(*same, "when", F.col("units").alias("g_units")), [*same, "when"], "left")
-            .join(chosen.select(*same, "entry_date", F.col("units").alias("e_units")), [*same, "entry_date"], "left")
-            .withColumn("g_used", F.col("g_used") + F.coalesce("g_units", F.lit(0)))
-            .withColumn("e_used", F.col("e_used") + F.coalesce("e_units", F.lit(0)))
-            .drop("g_units", "e_units")
-            .filter("g_used < g_size and e_used < e_size")
-        )
-        edges = materialise(edges, "shift-edges")
-    pairs = taken[0]
-    for more in taken[1:]:
-        pairs = pairs.unionByName(more)
+    edges = reachable.join(gc, [*same, "when"]).join(ec, [*same, "entry_date"])
+    # one row for each two days of an amount, so a group is no larger than the calendar
+    edges = edges.select(*same, "when", "entry_date", "g_size", "e_size")
+    fields = [edges.schema["when"], edges.schema["entry_date"], *[T.StructField(c, T.LongType()) for c in ("g_used", "e_used", "units")]]
+    pairs = materialise(folds.folded(edges, same, folds.earliest_days, fields), "shift-chosen")
     named = _name_units(
         pairs, _side(members, "g", "group_key"), [*same, "when"],
         _side(members, "e", "entry_id").withColumnRenamed("when", "entry_date"), [*same, "entry_date"],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from saldo.config import RuleSet
 from saldo.functions import calendar as cal
-from saldo.operators import assignment, journals, ranking, subsets
+from saldo.operators import assignment, folds, journals, ranking, subsets
 
 
 @pytest.mark.parametrize("hot", [3, 10_000])
@@ -162,7 +162,8 @@ def test_subset_search_says_when_it_gives_up(spark):
     assert out.isEmpty() and all(r.complete for r in found.collect())
 
 
-def test_assignment_equals_the_serial_pass(spark):
+@pytest.mark.parametrize("group", [folds.GROUP, 8])
+def test_assignment_equals_the_serial_pass(spark, group):
     rng = random.Random(4)
     rows = []
     for a in range(25):
@@ -181,7 +182,7 @@ def test_assignment_equals_the_serial_pass(spark):
         if gate is None and not claims & taken:
             taken |= claims
             want.add((batch, key))
-    got = {(r.batch_id, r.key) for r in assignment.winners(df).collect()}
+    got = {(r.batch_id, r.key) for r in assignment.winners(df, group=group).collect()}
     assert got == want
 
 
@@ -225,7 +226,9 @@ def serial_passes(groups, entries, ahead):
     return hits
 
 
-def test_journal_passes_equal_the_serial_walk(spark, monkeypatch, hot=2):
+@pytest.mark.parametrize("group", [folds.GROUP, 3])
+def test_journal_passes_equal_the_serial_walk(spark, monkeypatch, group, hot=2):
+    monkeypatch.setattr(journals.by_nearest, "__defaults__", (group,))
     monkeypatch.setattr(ranking.ranked, "__defaults__", ("rank", None, hot, None))
     rng = random.Random(5)
     days = ["2026-01-05", "2026-01-06", "2026-01-07", "2026-01-09"]
@@ -249,3 +252,40 @@ def test_journal_passes_equal_the_serial_walk(spark, monkeypatch, hot=2):
     got = journals.match(g, e, calendar).collect()
     assert {(r.journal_key, r.group_key): (r.entry_id, r["pass"]) for r in got} == want
     assert len(got) == len(want)
+
+
+def chain(n):
+    """One day on which every entry lies a little nearer to the next group than to its own: n pairs, found from the end."""
+    at, gap, groups, entries = 1_000_000_000, 3 * n, [], []
+    for i in range(n):
+        groups.append((f"g{i:05}", "2026-01-05", at))
+        entries.append((f"e{i:05}", "2026-01-05", at + gap, None))
+        at += 2 * gap - 1
+        gap -= 2
+    return groups, entries
+
+
+def test_a_chain_of_a_thousand_pairs_is_one_fold(spark):
+    groups, entries = chain(1000)
+    g = spark.createDataFrame([("j", *x) for x in groups], "journal_key string, group_key string, d string, ledger_cents bigint").withColumn("date", F.to_date("d"))
+    e = spark.createDataFrame([("j", *x) for x in entries], "journal_key string, entry_id string, d string, entry_cents bigint, reference string").withColumn("date", F.to_date("d"))
+    got = {r.group_key: r.entry_id for r in journals.by_nearest(g, e).collect()}
+    free, want = {x[0]: x[2] for x in entries}, {}
+    for _, key, entry in sorted((abs(c - a), k, n) for k, _, a in groups for n, c in free.items() if abs(c - a) < a):
+        if key not in want and entry in free:
+            want[key] = entry
+            del free[entry]
+    assert got == want and len(got) == 1000
+    few, some = chain(12)
+    short = {x[0] for x in few}
+    g, e = g.filter(F.col("group_key").isin(*short)), e.filter(F.col("entry_id").isin(*[x[0] for x in some]))
+    folded = {(r.group_key, r.entry_id) for r in journals.by_nearest(g, e).collect()}
+    assert folded == {(r.group_key, r.entry_id) for r in journals.by_nearest(g, e, 5).collect()} and len(folded) == 12
+
+
+def test_alternating_days_are_one_fold():
+    """Eight days of groups and entries, each group able to take the entry that the next one needs."""
+    edges = [{"when": d, "entry_date": d + n, "g_size": 1, "e_size": 1} for d in range(8) for n in (1, 2, 3)]
+    assert [(r[0], r[1]) for r in folds.earliest_days(edges)] == [(d, d + 1) for d in range(8)]
+    uneven = [{"when": 0, "entry_date": 1, "g_size": 3, "e_size": 1}, {"when": 0, "entry_date": 2, "g_size": 3, "e_size": 5}, {"when": 1, "entry_date": 2, "g_size": 9, "e_size": 5}]
+    assert list(folds.earliest_days(uneven)) == [(0, 1, 0, 0, 1), (0, 2, 1, 0, 2), (1, 2, 0, 2, 3)]
