@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -487,6 +488,76 @@ def test_odd_pages(page, text):
     assert text_of(page) == text
 
 
+STORY = [ARTICLE, "It was the end of the day and they had not seen it, but she was with him and he with her. " * 3]
+FOREIGN = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, perche la diritta via era smarrita. " * 3,
+    "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏。闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈。" * 4,
+]
+STORY = [" ".join(t.split()) for t in STORY]
+FOREIGN = [" ".join(t.split()) for t in FOREIGN]
+
+
+def paragraphs(lines):
+    return "".join(f"<p>{t}</p>" for t in lines)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout with-sidebar"><article>{}</article></div>',
+        '<div class="sidebar-layout"><article>{}</article><div class="sidebar"><p>' + ARTICLE + "</div></div>",
+        '<div class="no-ads"><article>{}</article></div>',
+        '<main class="post has-comments">{}</main>',
+        '<article class="category-social-policy">{}</article>',
+        '<form id="aspnetForm"><div><article>{}</article></div><div class=footer><p>' + ARTICLE + "</div></form>",
+        '<form id="aspnetForm"><div id=content>{}</div></form>',
+        "<article class=card>Short teaser</article><div id=content>{}</div>",
+        "<nav>" + ARTICLE + "</nav><div class=comment-page>{}</div>",
+        "<div id=content>{}</div><section id=comments><article class=comment><p>" + ARTICLE * 9 + "</article></section>",
+        "<article>{}</article><section id=comments><article class=comment><p>" + ARTICLE * 9 + "</article></section>",
+        "<div class=menu><ul>" + "<li><a href=/x>One of many links to other pages of this site</a>" * 9 + "</ul></div><div>{}</div>",
+        "<div>{}</div><div class=cookie-banner><p>" + ARTICLE * 2 + "</div><div class='newsletter'><form><p>" + ARTICLE + "</form></div>",
+    ],
+)
+def test_a_word_around_the_story_does_not_lose_it(page):
+    for story in (STORY, STORY * 4):
+        assert text_of(page.replace("{}", paragraphs(story))).split("\n") == story
+
+
+@pytest.mark.parametrize("line", FOREIGN)
+def test_pages_in_other_languages(line):
+    story = [line, line[: len(line) // 2] + "."]
+    assert text_of(f"<ul class=nav><li><a>Casa</a></ul><div>{paragraphs(story)}</div><div id=footer>{ARTICLE}</div>").split("\n") == story
+
+
+def test_generated_pages_keep_the_story_alone():
+    """Pages put together from parts whose role is known, nested in wrappers of any name."""
+    rng = random.Random(9)
+    bad = ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='ad'>{}</div>", "<div id=related>{}</div>", "<script>{}</script>",
+           "<div class='social share'>{}</div>", "<div class='cookie-consent'>{}</div>", "<section class=comments>{}</section>"]
+    wrappers = ["<div>{}</div>", "<div class='page has-sidebar'>{}</div>", "<form>{}</form>", "<div class='sidebar-left'>{}</div>", "<section>{}</section>", "{}"]
+    for n in range(300):
+        story, parts = [], []
+        for _ in range(rng.randrange(2, 7)):
+            line = " ".join([ARTICLE, f"Part {len(story)} of {n}."][: rng.choice([2, 2, 1])])
+            story.append(line)
+            parts.append(rng.choice(["<p>{}</p>", "<div>{}</div>", "<blockquote>{}</blockquote>"]).format(line))
+            if rng.random() < 0.3:
+                parts.append(rng.choice(bad).format("<p>" + ARTICLE + "</p>"))
+        body = rng.choice(["<article>{}</article>", "<main>{}</main>", "<article class='post promo'>{}</article>"]).format("".join(parts))
+        for _ in range(rng.randrange(4)):
+            body = rng.choice(wrappers).format(body)
+        page = rng.choice(bad).format("<p>" + ARTICLE + "</p>") + body + rng.choice(bad).format("<p>" + ARTICLE * 2 + "</p>")
+        assert text_of(f"<html><head><title>x</title></head><body>{page}</body></html>").split("\n") == story, page
+
+
+@pytest.mark.parametrize("page", ["</div>" * 100_000, "<div></p></span></section>" * 30_000, "<head><div><body>" * 30_000, "<div>" * 50_000 + "</section>" * 50_000])
+def test_unmatched_tags_take_linear_time(page):
+    started = time.process_time()
+    assert text_of(f"<article>{ARTICLE}</article>" + page) == ARTICLE
+    assert time.process_time() - started < 2
+
+
 def test_unbalanced_quotes_take_linear_time():
     assert text_of("<article>" + "<a b='" * 20_000 + "x")[:1] in ("", "<", "x")
 
