@@ -21,11 +21,11 @@ cte(
     """
 SELECT 'mov_' || substr(sha256('events|evt-' || event_id || '|' || CAST(CAST(ts - INTERVAL 5 HOUR AS DATE) AS VARCHAR) || '|'
          || CAST(CAST(round(value * 100) AS BIGINT) * 1000 AS VARCHAR) || '|CHARGE|evt=' || event_id), 1, 16) AS id,
-       'gw:' || (user_id % 10) AS account_id, 'bank:' || (user_id % 10) AS bank_account_id,
-       CASE (user_id % 10) % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS channel,
+       'gw:' || number AS account_id, 'bank:' || (number - number % 2) AS bank_account_id,
+       CASE number % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS channel,
        event_id, 'evt-' || event_id AS external_id, ts AS occurred_at, CAST(ts - INTERVAL 5 HOUR AS DATE) AS value_date,
        CAST(round(value * 100) AS BIGINT) * 1000 AS amount_cents, hour(ts - INTERVAL 5 HOUR) AS lh
-FROM events WHERE event_type = 'purchase'""",
+FROM (SELECT *, user_id % 10 + 10 * (user_id // 75) AS number FROM events) WHERE event_type = 'purchase'""",
 )
 cte(
     "acc",
@@ -62,13 +62,14 @@ cte(
     "cred0",
     """
 SELECT account_id, bank_account_id, o, kind, due_date AS value_date, net AS cents, upper(channel) || ' PAY' AS counterparty, 'a' AS tag FROM b2 WHERE kind IN (0, 4)
-UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, (net * 6) // 10, upper(channel) || ' PAY', 'a' FROM b2 WHERE kind = 1
-UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net - (net * 6) // 10, upper(channel) || ' PAY', 'b' FROM b2 WHERE kind = 1
+UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, (net * n * (n + 1)) // (m * (m + 1)) - (net * n * (n - 1)) // (m * (m + 1)), upper(channel) || ' PAY', substr('abcdef', n, 1)
+  FROM (SELECT *, 2 + (o // 8) % 5 AS m FROM b2 WHERE kind = 1) s, (VALUES (1), (2), (3), (4), (5), (6)) p(n) WHERE n <= m
 UNION ALL SELECT b.account_id, b.bank_account_id, b.o, b.kind, h.n1, b.net, upper(b.channel) || ' PAY', 'a' FROM b2 b JOIN ahead h ON h.d = b.due_date WHERE b.kind = 3
 UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net, upper(channel) || ' PAY', 'b' FROM b2 WHERE kind = 4
 UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net, 'OTHER PAYER', 'a' FROM b2 WHERE kind = 5
 UNION ALL SELECT account_id, bank_account_id, o, kind, next_due, (gross_cents + next_gross) - ((gross_cents + next_gross) * 445) // 10000, upper(channel) || ' PAY', 'm'
-  FROM b2 WHERE kind = 6 AND next_gross IS NOT NULL""",
+  FROM b2 WHERE kind = 6 AND next_gross IS NOT NULL
+UNION ALL SELECT 'gw:0', 'bank:0', event_id, 9, DATE '2024-01-10', event_id + 1000, 'GAMMA PAY', 'x' FROM events WHERE event_type = 'error'""",
 )
 CREDIT = """
 SELECT 'mov_' || substr(sha256('bank||' || CAST(value_date AS VARCHAR) || '|' || CAST(cents AS VARCHAR) || '|TRANSFER_IN|' || account_id || ';' || o || ';' || kind || ';' || tag), 1, 16) AS deposit_id,
@@ -85,18 +86,19 @@ SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c, (CAST(round(o_totalpri
 cte(
     "omov0",
     """
-SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS value_date, 'CHARGE' AS type, c AS cents FROM ocents
-UNION ALL SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE), 'FEE', -fee FROM ocents
-UNION ALL SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE), 'TAX', -((fee * 19) // 100) FROM ocents
-UNION ALL SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE), 'WITHHOLDING', -((c * 15) // 1000) FROM ocents
-UNION ALL SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE), 'REFUND', -(c // 10) FROM ocents WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0""",
+SELECT o_orderkey, o_orderpriority, o_custkey, CAST(o_orderdate AS DATE) AS value_date, 'CHARGE' AS type, c AS cents FROM ocents
+UNION ALL SELECT o_orderkey, o_orderpriority, o_custkey, CAST(o_orderdate AS DATE), 'FEE', -fee FROM ocents
+UNION ALL SELECT o_orderkey, o_orderpriority, o_custkey, CAST(o_orderdate AS DATE), 'TAX', -((fee * 19) // 100) FROM ocents
+UNION ALL SELECT o_orderkey, o_orderpriority, o_custkey, CAST(o_orderdate AS DATE), 'WITHHOLDING', -((c * 15) // 1000) FROM ocents
+UNION ALL SELECT o_orderkey, o_orderpriority, o_custkey, CAST(o_orderdate AS DATE), 'REFUND', -(c // 10) FROM ocents WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0""",
 )
 cte(
     "omov",
     """
 SELECT 'mov_' || substr(sha256('orders|ord-' || o_orderkey || '|' || CAST(value_date AS VARCHAR) || '|' || cents || '|' || type || '|ord=' || o_orderkey || ';' || type), 1, 16) AS id,
-       'ord:' || left(o_orderpriority, 1) AS account_id, 'bank:ord:' || left(o_orderpriority, 1) AS bank_account_id, 'delta' AS channel,
-       'ord-' || o_orderkey AS external_id, value_date, type, CAST(cents AS BIGINT) AS amount_cents FROM omov0""",
+       'ord:' || number AS account_id, 'bank:ord:' || number AS bank_account_id, 'delta' AS channel,
+       'ord-' || o_orderkey AS external_id, value_date, type, CAST(cents AS BIGINT) AS amount_cents
+FROM (SELECT *, CAST(left(o_orderpriority, 1) AS BIGINT) + 10 * (o_custkey // 1500) AS number FROM omov0)""",
 )
 cte("odue", "SELECT m.*, m.value_date AS close_date, h.n1 AS due_date FROM omov m JOIN oahead h ON h.d = m.value_date")
 cte(
@@ -122,8 +124,8 @@ cte(
     "ocred0",
     """
 SELECT account_id, bank_account_id, o, kind, due_date AS value_date, net AS cents, 'DELTA PAY' AS counterparty, 'a' AS tag FROM ob2 WHERE kind IN (0, 4, 7)
-UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, (net * 6) // 10, 'DELTA PAY', 'a' FROM ob2 WHERE kind = 1
-UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net - (net * 6) // 10, 'DELTA PAY', 'b' FROM ob2 WHERE kind = 1
+UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, (net * n * (n + 1)) // (m * (m + 1)) - (net * n * (n - 1)) // (m * (m + 1)), 'DELTA PAY', substr('abcdef', n, 1)
+  FROM (SELECT *, 2 + (o // 8) % 5 AS m FROM ob2 WHERE kind = 1) s, (VALUES (1), (2), (3), (4), (5), (6)) p(n) WHERE n <= m
 UNION ALL SELECT b.account_id, b.bank_account_id, b.o, b.kind, h.n1, b.net, 'DELTA PAY', 'a' FROM ob2 b JOIN oahead h ON h.d = b.due_date WHERE b.kind = 3
 UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net, 'DELTA PAY', 'b' FROM ob2 WHERE kind = 4
 UNION ALL SELECT account_id, bank_account_id, o, kind, due_date, net, 'OTHER PAYER', 'a' FROM ob2 WHERE kind = 5

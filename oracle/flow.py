@@ -262,9 +262,10 @@ cte("claimed", "SELECT account_id, unnest(deposit_ids) AS deposit_id FROM res WH
 cte(
     "unattr",
     """
-SELECT c.account_id, c.deposit_id AS movement_id, c.value_date, c.cents AS amount_cents, c.owner, b.channel,
+SELECT b.account_id, c.deposit_id AS movement_id, c.value_date, c.cents AS amount_cents, c.owner, b.channel,
        CASE WHEN c.owner = b.channel THEN 'AMOUNT_MISMATCH' ELSE 'DESCRIPTOR_FOREIGN' END AS reason
-FROM cred c JOIN (SELECT DISTINCT account_id, channel FROM bat) b USING (account_id) WHERE NOT EXISTS (SELECT 1 FROM claimed k WHERE k.account_id = c.account_id AND k.deposit_id = c.deposit_id)""",
+FROM cred c JOIN (SELECT DISTINCT account_id, bank_account_id, channel FROM bat) b USING (bank_account_id)
+WHERE NOT EXISTS (SELECT 1 FROM claimed k WHERE k.account_id = b.account_id AND k.deposit_id = c.deposit_id)""",
 )
 TOTALS = """
 SELECT {keys}, count(*) AS batches, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'PROBABLE') AS probable, count(*) FILTER (status = 'AMBIGUOUS') AS ambiguous,
@@ -488,7 +489,8 @@ ORACLE = {
         FROM (SELECT p.*, is_matched AND list_contains(deposit_ids, credit_id) AS inside FROM (
           SELECT DISTINCT s.movement_id AS charge_id, unnest(list_distinct(list_append(CASE WHEN s.is_matched THEN s.deposit_ids ELSE [] END, f.credit_id))) AS credit_id,
             s.is_matched, s.deposit_ids, s.attributed_cents, s.amount_cents, s.gross_cents
-          FROM shared s JOIN (SELECT account_id, min(deposit_id) AS credit_id FROM cred GROUP BY 1) f USING (account_id)) p)
+          FROM shared s JOIN (SELECT DISTINCT account_id, bank_account_id FROM bat) USING (account_id)
+          JOIN (SELECT bank_account_id, min(deposit_id) AS credit_id FROM cred GROUP BY 1) f USING (bank_account_id)) p)
         UNION ALL SELECT id, 'none', 'UNRELATED', 0, -1 FROM omov WHERE type = 'CHARGE'""",
     "lin_attribute_orders": "SELECT movement_id, batch_id, t AS settled_cents, attributed_cents FROM oshares",
     "lin_correlate_orders": """SELECT charge_id, credit_id, CASE WHEN credit_id <> 'none' THEN 'SETTLED_IN' WHEN is_matched THEN 'SETTLED_ELSEWHERE' ELSE 'UNSETTLED' END AS verdict,

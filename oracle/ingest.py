@@ -23,7 +23,7 @@ FROM gtx WHERE whole AND status = 'APPROVED'""",
 cte(
     "stm0",
     """
-SELECT 'stm:' || left(o_orderpriority, 1) || ':' || strftime(o_orderdate, '%Y-%m') AS raw_id, CAST(o_orderdate AS DATE) AS day, o_orderkey AS k, o_custkey,
+SELECT 'stm:' || left(o_orderpriority, 1) || ':' || strftime(o_orderdate, '%Y-%m') || ':' || (o_custkey // 1500) AS raw_id, CAST(o_orderdate AS DATE) AS day, o_orderkey AS k, o_custkey,
        CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END * CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents,
        CASE o_orderkey % 3 WHEN 0 THEN 'PAGO DE PROV CLIENTE ' || o_custkey WHEN 1 THEN 'CUOTA DE MANEJO' ELSE 'pago de terc DELTA PAY' END AS description
 FROM orders""",

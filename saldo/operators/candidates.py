@@ -45,6 +45,10 @@ def credits(bank: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
+#: The payee of a credit that names no channel.
+ANYONE = ""
+
+
 def with_windows(batches: DataFrame, channels: DataFrame, calendar: DataFrame) -> DataFrame:
     rates = ("window_from", "window_to", "band_lo", "band_hi", "vat_num", "vat_den", "wh_num", "wh_den", "slack")
     return cal.with_window(batches.join(channels.select("channel", *rates), "channel"), calendar, "batch_date")
@@ -53,18 +57,18 @@ def with_windows(batches: DataFrame, channels: DataFrame, calendar: DataFrame) -
 def eligible(windowed: DataFrame, money_in: DataFrame, calendar: DataFrame) -> DataFrame:
     """Batch and credit pairs inside the window that do not name another channel.
 
-    The window is spelled out as days, which turns the band join into an equi-join on
-    (bank account, day). A credit meets only the few batches whose window holds its day.
+    The window is spelled out as days and a credit by the channels it names, or by none, which turns
+    the band join into an equi-join on (bank account, day, payee): pairs with another channel's money
+    are never built. Credits are joined as rows, so AQE can split a day with very many of them.
     """
     days = windowed.withColumn("value_date", F.explode(F.sequence("window_start", "window_end")))
     days = days.join(
         calendar.select(F.col("d").alias("value_date"), F.col("ord").alias("deposit_ord")), "value_date"
     )
-    return (
-        days.join(money_in, ["bank_account_id", "value_date"])
-        .filter(~parties.is_foreign(F.col("owners"), F.col("channel")))
-        .withColumn("names_channel", parties.is_channels(F.col("owners"), F.col("channel")))
-    )
+    days = days.withColumn("payee", F.explode(F.array("channel", F.lit(ANYONE))))
+    paid = money_in.withColumn("payee", F.explode(F.when(F.size("owners") > 0, F.col("owners")).otherwise(F.array(F.lit(ANYONE)))))
+    pairs = days.join(paid, ["bank_account_id", "value_date", "payee"])
+    return pairs.withColumn("names_channel", F.col("payee") != ANYONE).drop("payee")
 
 
 def target(rules: RuleSet) -> tuple[Column, Column]:

@@ -111,7 +111,7 @@ def _own(w: Workspace) -> DataFrame:
     mine = F.substring("external_id", 5, 20).cast("bigint") % 7 == 0
     return w.movements.select(
         F.concat(F.lit("o"), F.substring("id", 5, 32)).alias("entry_id"), F.col("account_id").alias("journal_key"),
-        (F.substring("account_id", 4, 5).cast("int") + 48).alias("journal_id"), F.lit("J").alias("name"),
+        (F.substring("account_id", 4, 10).cast("int") + 48).alias("journal_id"), F.lit("J").alias("name"),
         F.when(mine, F.concat(F.lit("mov:"), "id")).otherwise(F.upper("external_id")).alias("ref"),
         F.col("value_date").alias("date"), F.when(F.col("amount_cents") % 4000 == 0, "draft").otherwise("posted").alias("state"),
     )

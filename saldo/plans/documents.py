@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.functions.money import from_major
-from saldo.plans.fixtures import Workspace
+from saldo.plans.fixtures import CUSTOMERS, Workspace
 from saldo.sources import gateway, statement
 from saldo.session import materialise
 
@@ -74,12 +74,12 @@ class Documents:
 
     @cached_property
     def statement_lines(self) -> DataFrame:
-        """One statement per order priority and month; the balance runs over its rows."""
+        """One statement per order priority, month and group of customers; the balance runs over its rows."""
         cents = from_major(F.col("o_totalprice"))
         priority = F.substring("o_orderpriority", 1, 1)
         month = F.date_format("o_orderdate", "yyyy-MM")
         rows = self.w.table("orders").select(
-            F.concat(F.lit("stm:"), priority, F.lit(":"), month).alias("raw_id"),
+            F.concat_ws(":", F.lit("stm"), priority, month, F.floor(F.col("o_custkey") / CUSTOMERS).cast("string")).alias("raw_id"),
             F.col("o_orderdate").cast("date").alias("day"),
             F.col("o_orderkey").alias("k"),
             F.when(F.col("o_orderstatus") == "P", -cents).otherwise(cents).alias("cents"),

@@ -1,9 +1,11 @@
 """Ledgers, bank credits and journals derived from the given tables.
 
-Purchases become charges of ten gateway accounts on three channels that state no deductions;
-orders become charges of five accounts whose channel states its own. The bank credits are cut from
-the batches so that every way of settling occurs, and journal entries from the movements so that
-every way of booking does.
+Purchases become charges of gateway accounts on three channels that state no deductions, two accounts
+to a bank account; orders become charges of accounts whose channel states its own. Accounts grow in
+number with users and customers, and so do batches and credits. The bank credits are cut from the
+batches so that every way of settling occurs, one day of one bank account has a credit of another
+channel for each error event, and journal entries are cut from the movements so that every way of
+booking occurs.
 """
 
 from __future__ import annotations
@@ -78,6 +80,24 @@ def _movements(rows: DataFrame, source: str) -> DataFrame:
 SCOPE_COLUMNS = "account_id string, channel string, bank_account_id string"
 
 
+#: Users to a group of ten gateway accounts, and customers to a group of five order accounts.
+USERS, CUSTOMERS = 75, 1500
+#: The day and the bank account with very many credits.
+CROWDED = ("2024-01-10", "bank:0")
+
+
+def gateway_number() -> Column:
+    return (F.col("user_id") % 10 + F.floor(F.col("user_id") / USERS) * 10).cast("int")
+
+
+def bank_of(number: Column) -> Column:
+    return F.concat(F.lit("bank:"), (number - number % 2).cast("string"))
+
+
+def order_number() -> Column:
+    return (F.substring("o_orderpriority", 1, 1).cast("int") + F.floor(F.col("o_custkey") / CUSTOMERS) * 10).cast("int")
+
+
 class Workspace:
     """Everything derived from one directory of tables; stages are built once per workspace."""
 
@@ -106,7 +126,7 @@ class Workspace:
     @cached_property
     def movements(self) -> DataFrame:
         local = F.from_utc_timestamp("ts", ZONE)
-        account = F.col("user_id") % 10
+        account = gateway_number()
         rows = self.events.filter("event_type = 'purchase'").select(
             F.concat(F.lit("gw:"), account).alias("account_id"),
             F.concat(F.lit("evt-"), "event_id").alias("external_id"),
@@ -123,17 +143,31 @@ class Workspace:
     @cached_property
     def scopes(self) -> DataFrame:
         """Which channel a gateway account is on and which bank account it is paid into."""
-        rows = [(f"gw:{n}", RULES.channel_keys[n % 3], f"bank:{n}") for n in range(10)]
-        return small_table(self.spark, rows, SCOPE_COLUMNS)
+        number = F.substring("account_id", 4, 10).cast("int")
+        accounts = self.movements.select("account_id").distinct()
+        return materialise(accounts.select("account_id", _channel(number).alias("channel"), bank_of(number).alias("bank_account_id")), "scopes")
 
     @cached_property
     def flow(self) -> Flow:
         """The run over the purchases; its credits are cut from its own batches."""
         def cut(run: Flow) -> DataFrame:
-            return materialise(_cut_credits(run.batches, run.calendar, silent=True), "bank")
+            return materialise(_cut_credits(run.batches, run.calendar, silent=True).unionByName(self._crowd), "bank")
 
         return Flow(self.movements, cut, self.scopes, RULES, HOLIDAYS)
 
+    @cached_property
+    def _crowd(self) -> DataFrame:
+        """A credit of a third channel for each error event, all on one day of one bank account."""
+        day, account = CROWDED
+        rows = self.events.filter("event_type = 'error'").select(
+            F.lit(account).alias("account_id"), F.lit(None).cast("string").alias("external_id"),
+            F.to_date(F.lit(day)).cast("timestamp").alias("occurred_at"), F.to_date(F.lit(day)).alias("value_date"),
+            F.lit("TRANSFER_IN").alias("type"), (F.col("event_id") + 1000).cast("bigint").alias("amount_cents"),
+            F.lit("GAMMA PAY").alias("counterparty"), F.lit("PAGO DE PROV GAMMA PAY").alias("description"),
+            F.concat(F.lit("gw:0;"), "event_id", F.lit(";9;x")).alias("locator"),
+        )
+        return _movements(rows, "bank")
+
     @property
     def bank(self) -> DataFrame:
         return self.flow.bank
@@ -161,7 +195,7 @@ class Workspace:
             self.table("orders")
             .withColumn("part", F.explode(F.array_compact(parts)))
             .select(
-                F.concat(F.lit("ord:"), F.substring("o_orderpriority", 1, 1)).alias("account_id"),
+                F.concat(F.lit("ord:"), order_number()).alias("account_id"),
                 F.concat(F.lit("ord-"), "o_orderkey").alias("external_id"),
                 F.col("o_orderdate").cast("timestamp").alias("occurred_at"),
                 day.alias("value_date"),
@@ -176,9 +210,10 @@ class Workspace:
 
     @cached_property
     def order_scopes(self) -> DataFrame:
+        accounts = self.order_movements.select("account_id").distinct()
+        theirs = accounts.select("account_id", F.lit("delta").alias("channel"), F.concat(F.lit("bank:"), "account_id").alias("bank_account_id"))
         # the second channel has an account without movements
-        rows = [(f"ord:{n}", "delta", f"bank:ord:{n}") for n in range(1, 6)] + [("ord:9", "omega", "bank:ord:9")]
-        return small_table(self.spark, rows, SCOPE_COLUMNS)
+        return materialise(theirs.unionByName(small_table(self.spark, [("ord:9", "omega", "bank:ord:9")], SCOPE_COLUMNS)), "order-scopes")
 
     @cached_property
     def order_flow(self) -> Flow:
@@ -190,16 +225,19 @@ class Workspace:
 
     # ---- journals
 
-    def _journals(self, chart: Chart) -> DataFrame:
-        """The journals of a chart; here a journal's key is the account it books."""
-        rows = [(j.key, j.id, j.name, j.main_account, j.key) for j in chart.journals]
-        return small_table(
-            self.spark, rows, "journal_key string, journal_id int, journal_name string, main_account string, account_id string"
-        )
+    def _journals(self, accounts: DataFrame, prefix: str, first: int, name: str, main: str = "2000010") -> DataFrame:
+        """A journal for each account of a kind, numbered from a base; here a journal's key is the account it books."""
+        number = F.substring("account_id", len(prefix) + 1, 10).cast("int")
+        return accounts.filter(F.col("account_id").startswith(prefix)).select(
+            F.col("account_id").alias("journal_key"), (number + first).alias("journal_id"),
+            F.concat(F.lit(f"{name} "), number.cast("string")).alias("journal_name"), F.lit(main).alias("main_account"), "account_id",
+        )
 
     @cached_property
     def journal_table(self) -> DataFrame:
-        return self._journals(CHART)
+        theirs = self._journals(self.scopes, "gw:", 48, "Gateway")
+        own = self._journals(self.order_scopes.filter("account_id <> 'ord:9'"), "ord:", 60, "Orders")
+        return materialise(theirs.unionByName(own), "journal-table")
 
     @cached_property
     def _booked(self) -> DataFrame:
@@ -227,7 +265,7 @@ class Workspace:
 
     @cached_property
     def heads(self) -> DataFrame:
-        number = F.substring("account_id", 4, 5).cast("int")
+        number = F.substring("account_id", 4, 10).cast("int")
         return self._booked.select(
             "entry_id", F.col("account_id").alias("journal_key"), (number + 48).alias("journal_id"),
             F.concat(F.lit("J/"), "entry_id").alias("name"), "ref", "date", "state",
@@ -278,7 +316,7 @@ class Workspace:
         day = self._order_totals.select(
             "entry_id", "account_id", F.lit(" ").alias("ref"), F.lit("Ventas del dia").alias("name"), F.col("value_date").alias("date")
         )
-        number = F.substring("account_id", 5, 5).cast("int")
+        number = F.substring("account_id", 5, 10).cast("int")
         return own.unionByName(day).select(
             "entry_id", F.col("account_id").alias("journal_key"), (number + 60).alias("journal_id"), "name", "ref", "date",
             F.lit("posted").alias("state"),
@@ -326,7 +364,7 @@ class Workspace:
         """Half of the credits are booked, as an entry of the same day and amount."""
         return self.bank.filter("amount_cents % 2 = 0").select(
             F.concat(F.lit("b"), F.substring("id", 5, 32)).alias("entry_id"), F.col("account_id").alias("journal_key"),
-            (F.substring("account_id", 6, 5).cast("int") + 70).alias("journal_id"), F.lit("BNK").alias("name"),
+            (F.substring("account_id", 6, 10).cast("int") + 70).alias("journal_id"), F.lit("BNK").alias("name"),
             F.lit(None).cast("string").alias("ref"), F.col("value_date").alias("date"), F.lit("posted").alias("state"),
         )
 
@@ -336,13 +374,24 @@ class Workspace:
             F.concat(F.lit("b"), F.substring("id", 5, 32)).alias("entry_id"), F.lit("100500").alias("account_code"), "amount_cents"
         )
 
+    @cached_property
+    def bank_journals(self) -> DataFrame:
+        rows = [(j.key, j.id, j.name, j.main_account, j.key) for j in BANK_CHART.journals[: len(RULES.channel_keys)]]
+        channels = small_table(self.spark, rows, "journal_key string, journal_id int, journal_name string, main_account string, account_id string")
+        accounts = self.scopes.select(F.col("bank_account_id").alias("account_id")).distinct()
+        return materialise(channels.unionByName(self._journals(accounts, "bank:", 70, "Bank", "100500")), "bank-journals")
+
     @cached_property
     def bank_books(self) -> Books:
         return Books(
-            self.bank, self.bank_heads, self.bank_lines, self._journals(BANK_CHART), self.flow.calendar, BANK_CHART, RULES
+            self.bank, self.bank_heads, self.bank_lines, self.bank_journals, self.flow.calendar, BANK_CHART, RULES
         )
 
 
+#: Ways to split a settlement: into two credits and more.
+SPLITS = 5
+
+
 def _channel(number: Column) -> Column:
     return F.when(number % 3 == 0, "alpha").when(number % 3 == 1, "beta").otherwise("gamma")
 
@@ -350,7 +399,7 @@ def _channel(number: Column) -> Column:
 def _cut_credits(built: DataFrame, calendar: DataFrame, silent: bool) -> DataFrame:
     """Bank credits by batch ordinal mod 8.
 
-    Silent channels: 0 one credit, 1 split 60/40, 2 missing, 3 a day late, 4 two identical,
+    Silent channels: 0 one credit, 1 split in two to six, 2 missing, 3 a day late, 4 two identical,
     5 a foreign payer, 6 merged with the next batch, 7 paid inside it. Channels that state their
     deductions: the same, but 6 is short by 5000 cents and 7 is one credit.
     """
@@ -370,7 +419,13 @@ def _cut_credits(built: DataFrame, calendar: DataFrame, silent: bool) -> DataFra
     )
     rows = cal.with_business_day_after(rows, calendar, "due_date", F.lit(1), "late_date")
     payer = F.concat(F.upper("channel"), F.lit(" PAY"))
-    six = F.floor(F.col("net") * 6 / 10).cast("bigint")
+    split = (2 + F.floor(F.col("o") / 8) % SPLITS).cast("bigint")
+
+    def part(n: int) -> Column:
+        """The n-th credit of a split: the larger, the later."""
+        upto = [F.floor(F.col("net") * k * (k + 1) / (split * (split + 1))).cast("bigint") for k in (n, n - 1)]
+        return upto[0] - upto[1]
+
 
     def credit(when: Column, day: str, cents: Column, tag: str, party: Column = payer) -> Column:
         body = F.struct(
@@ -382,8 +437,7 @@ def _cut_credits(built: DataFrame, calendar: DataFrame, silent: bool) -> DataFra
     both = gross + F.col("next_gross")
     cuts = [
         credit(kind.isin(0, 4) if silent else kind.isin(0, 4, 7), "due_date", F.col("net"), "a"),
-        credit(kind == 1, "due_date", six, "a"),
-        credit(kind == 1, "due_date", F.col("net") - six, "b"),
+        *[credit((kind == 1) & (split >= n), "due_date", part(n), "abcdef"[n - 1]) for n in range(1, SPLITS + 2)],
         credit(kind == 3, "late_date", F.col("net"), "a"),
         credit(kind == 4, "due_date", F.col("net"), "b"),
         credit(kind == 5, "due_date", F.col("net"), "a", F.lit("OTHER PAYER")),
