@@ -12,7 +12,7 @@ from saldo.operators import corrections, lineage, results
 from saldo.plans.books import Books
 from saldo.plans.flow import Flow
 
-HOLIDAYS = ["2025-12-25", "2026-01-01", "2026-01-12", "2026-04-02", "2026-04-03"]
+HOLIDAYS = ["2026-12-31", "2027-01-11", "2027-04-19"]
 RULES = RuleSet(
     channels=(
         Channel("acme", ("ACME",), rates=Rates()),
@@ -24,6 +24,7 @@ SCHEMA = (
     "id string, account_id string, external_id string, occurred_at timestamp, value_date date, type string, amount_cents bigint, "
     "currency string, counterparty string, description string, run_id string"
 )
+# Published figures of one sale: fixed values.
 SALE = [("CHARGE", 31754900), ("FEE", -786240), ("TAX", -149385), ("WITHHOLDING", -476323)]
 NET = 30342952
 
@@ -41,7 +42,7 @@ class Ledger:
     def scope(self, name, channel="acme"):
         self.scopes.append((name, channel, f"bank:{name}"))
 
-    def sale(self, name, day="2025-12-31", parts=SALE, tag="s"):
+    def sale(self, name, day="2026-12-30", parts=SALE, tag="s"):
         for kind, cents in parts:
             self.movements.append(row(f"{name}-{tag}-{kind}", name, day, kind, cents, "ACME S.A.S.", f"{name}-{tag}"))
 
@@ -57,34 +58,34 @@ def flow(spark):
     x.scope("week", "weekly")
     for name in ("exact", "short", "twice", "foreign", "none", "split", "whole", "subsets"):
         x.sale(name)
-    x.credit("exact", "2026-01-02", NET)
-    x.credit("short", "2026-01-02", NET - 5000)
-    x.credit("twice", "2026-01-02", NET, tag="c1")
-    x.credit("twice", "2026-01-02", NET, tag="c2")
-    x.credit("foreign", "2026-01-02", NET, "NOVA LTDA")
-    x.credit("split", "2026-01-02", 20000000, tag="c1")
-    x.credit("split", "2026-01-05", NET - 20000000, tag="c2")
-    x.credit("whole", "2026-01-02", NET, tag="c0")
-    x.credit("whole", "2026-01-02", 20000000, tag="c1")
-    x.credit("whole", "2026-01-02", NET - 20000000, tag="c2")
+    x.credit("exact", "2027-01-01", NET)
+    x.credit("short", "2027-01-01", NET - 5000)
+    x.credit("twice", "2027-01-01", NET, tag="c1")
+    x.credit("twice", "2027-01-01", NET, tag="c2")
+    x.credit("foreign", "2027-01-01", NET, "NOVA LTDA")
+    x.credit("split", "2027-01-01", 20000000, tag="c1")
+    x.credit("split", "2027-01-04", NET - 20000000, tag="c2")
+    x.credit("whole", "2027-01-01", NET, tag="c0")
+    x.credit("whole", "2027-01-01", 20000000, tag="c1")
+    x.credit("whole", "2027-01-01", NET - 20000000, tag="c2")
     for n, part in enumerate((20000000, NET - 20000000, 19000000, NET - 19000000)):
-        x.credit("subsets", "2026-01-02", part, tag=f"c{n}")
-    x.sale("merged", "2026-02-02", [("CHARGE", 100000000)], "a")
-    x.sale("merged", "2026-02-03", [("CHARGE", 200000000)], "b")
-    x.credit("merged", "2026-02-04", 287070000)
-    for n, day in enumerate(("2026-02-07", "2026-02-08", "2026-02-06")):
+        x.credit("subsets", "2027-01-01", part, tag=f"c{n}")
+    x.sale("merged", "2027-02-01", [("CHARGE", 100000000)], "a")
+    x.sale("merged", "2027-02-02", [("CHARGE", 200000000)], "b")
+    x.credit("merged", "2027-02-03", 287070000)
+    for n, day in enumerate(("2027-02-06", "2027-02-07", "2027-02-05")):
         x.sale("weekend", day, [("CHARGE", 100000 * (n + 1))], f"w{n}")
-    x.sale("holiday", "2026-01-11", [("CHARGE", 500)], "a")
-    x.sale("holiday", "2026-01-12", [("CHARGE", 700)], "b")
+    x.sale("holiday", "2027-01-10", [("CHARGE", 500)], "a")
+    x.sale("holiday", "2027-01-11", [("CHARGE", 700)], "b")
     for n in range(4):
-        day = (date(2026, 2, 2) + timedelta(days=7 * n)).isoformat()
+        day = (date(2027, 2, 1) + timedelta(days=7 * n)).isoformat()
         x.sale("silent", day, [("CHARGE", 31754900)], f"v{n}")
-        next_day = (date(2026, 2, 3) + timedelta(days=7 * n)).isoformat()
+        next_day = (date(2027, 2, 2) + timedelta(days=7 * n)).isoformat()
         x.credit("silent", next_day, NET - 20000 * n, tag=f"v{n}")
-    x.sale("refund", "2026-02-02", [("CHARGE", 1000), ("REFUND", -1500)], "r")
-    x.sale("refund", "2026-02-02", [("REFUND", -100)], "q")
+    x.sale("refund", "2027-02-01", [("CHARGE", 1000), ("REFUND", -1500)], "r")
+    x.sale("refund", "2027-02-01", [("REFUND", -100)], "q")
     for n in range(14):
-        x.sale("week", (date(2026, 2, 2) + timedelta(days=n)).isoformat(), [("CHARGE", 1000)], f"d{n}")
+        x.sale("week", (date(2027, 2, 1) + timedelta(days=n)).isoformat(), [("CHARGE", 1000)], f"d{n}")
     movements = spark.createDataFrame(x.movements, SCHEMA)
     bank = spark.createDataFrame(x.bank, SCHEMA)
     scopes = spark.createDataFrame(x.scopes, "account_id string, channel string, bank_account_id string")
@@ -105,7 +106,7 @@ def codes(r):
 
 def test_textbook_match(by_account):
     (r,) = by_account["exact"]
-    assert (r.status, r.score, r.delta_cents, r.rule_id, str(r.window_start)) == ("CONFIRMED", 100, 0, "SCHEDULED_SETTLEMENT", "2026-01-02")
+    assert (r.status, r.score, r.delta_cents, r.rule_id, str(r.window_start)) == ("CONFIRMED", 100, 0, "SCHEDULED_SETTLEMENT", "2027-01-01")
     assert codes(r) == ["AMOUNT_EXACT", "DATE_T1_EXACT", "DESCRIPTOR_MATCH", "IDENTITY_HOLDS", "SETTLEMENT_SINGLE_CREDIT", "UNIQUE_CANDIDATE"]
     assert sum(e.weight for e in r.evidence) == 135 and r.derived_total is None
 
@@ -139,15 +140,15 @@ def test_merged_is_explained_not_matched(by_account):
         assert (r.status, r.shape_code, r.merged_deposit, r.matched) == ("UNMATCHED", "SETTLEMENT_MERGED", "merged-c", False)
         assert codes(r)[0] == "SETTLEMENT_MERGED" and codes(r).count("SETTLEMENT_MERGED") == 1
         assert "4,31%" in r.evidence[0].detail
-    assert (str(first.merged_with), str(second.merged_with)) == ("2026-02-03", "2026-02-02")
+    assert (str(first.merged_with), str(second.merged_with)) == ("2027-02-02", "2027-02-01")
 
 
 def test_batches_follow_the_due_date(by_account):
     (weekend,) = by_account["weekend"]
-    assert (str(weekend.batch_date), weekend.n_charges, str(weekend.due_date)) == ("2026-02-08", 3, "2026-02-09")
+    assert (str(weekend.batch_date), weekend.n_charges, str(weekend.due_date)) == ("2027-02-07", 3, "2027-02-08")
     (holiday,) = by_account["holiday"]
-    assert (holiday.n_charges, str(holiday.due_date)) == (2, "2026-01-13")
-    assert [(str(r.batch_date), r.n_charges) for r in by_account["week"]] == [("2026-02-08", 7), ("2026-02-15", 7)]
+    assert (holiday.n_charges, str(holiday.due_date)) == (2, "2027-01-12")
+    assert [(str(r.batch_date), r.n_charges) for r in by_account["week"]] == [("2027-02-07", 7), ("2027-02-14", 7)]
     (refund,) = by_account["refund"]
     assert (refund.gross_cents, refund.n_charges, refund.status) == (-600, 1, "UNMATCHED")
 
@@ -204,14 +205,14 @@ CHART = Chart(
 
 @pytest.fixture(scope="module")
 def books(spark, flow):
-    moves = [row(f"m{n}", "gw", "2026-02-02", "CHARGE", cents, "ACME S.A.S.", f"ref-{n}") for n, cents in enumerate((500, 700, 900, 1100))]
-    moves += [row("i1", "gw", "2026-02-03", "INTEREST", 77, None)]
-    moves += [row("full-" + k, "gw", "2026-02-04", k, c, "ACME S.A.S.", "full") for k, c in SALE]
-    moves += [row("gross-" + k, "gw", "2026-02-05", k, c, "ACME S.A.S.", "gross") for k, c in SALE]
-    moves += [row("lost-" + k, "gw", "2026-02-06", k, c, "ACME S.A.S.", "lost") for k, c in SALE]
-    moves += [row("t1", "bk", "2026-02-02", "TRANSFER_IN", 4000, "ACME PAY"), row("t2", "bk", "2026-02-02", "TRANSFER_IN", 5000, "SOMEBODY"), row("t3", "bk", "2026-02-02", "TRANSFER_OUT", -300, "acme")]
-    heads = [("e0", "acme", 48, "W (ref-0)", None, "2026-02-02", "posted"), ("e1", "acme", 48, "W/1", "REF-1", "2026-02-02", "draft"), ("e1b", "acme", 48, "W/1b", "ref-1 ", "2026-02-02", "posted"),
-             ("e4", "acme", 48, "W/4", "full", "2026-02-04", "posted"), ("e5", "acme", 48, "W/5", "gross", "2026-02-05", "posted")]
+    moves = [row(f"m{n}", "gw", "2027-02-01", "CHARGE", cents, "ACME S.A.S.", f"ref-{n}") for n, cents in enumerate((500, 700, 900, 1100))]
+    moves += [row("i1", "gw", "2027-02-02", "INTEREST", 77, None)]
+    moves += [row("full-" + k, "gw", "2027-02-03", k, c, "ACME S.A.S.", "full") for k, c in SALE]
+    moves += [row("gross-" + k, "gw", "2027-02-04", k, c, "ACME S.A.S.", "gross") for k, c in SALE]
+    moves += [row("lost-" + k, "gw", "2027-02-05", k, c, "ACME S.A.S.", "lost") for k, c in SALE]
+    moves += [row("t1", "bk", "2027-02-01", "TRANSFER_IN", 4000, "ACME PAY"), row("t2", "bk", "2027-02-01", "TRANSFER_IN", 5000, "SOMEBODY"), row("t3", "bk", "2027-02-01", "TRANSFER_OUT", -300, "acme")]
+    heads = [("e0", "acme", 48, "W (ref-0)", None, "2027-02-01", "posted"), ("e1", "acme", 48, "W/1", "REF-1", "2027-02-01", "draft"), ("e1b", "acme", 48, "W/1b", "ref-1 ", "2027-02-01", "posted"),
+             ("e4", "acme", 48, "W/4", "full", "2027-02-03", "posted"), ("e5", "acme", 48, "W/5", "gross", "2027-02-04", "posted")]
     lines = []
     for entry, cents in (("e0", 500), ("e1", 700), ("e1b", 700), ("e5", 31754900)):
         lines += [(entry, "2000010", cents), (entry, "700100", -cents)]
