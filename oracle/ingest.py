@@ -99,7 +99,7 @@ SELECT * FROM (
   UNION ALL SELECT 'movements', 'inserted', count(*) FILTER (amount_cents % 2000 <> 0) FROM gcharge
   UNION ALL SELECT 'movements', 'updated', count(*) FILTER (amount_cents % 2000 = 0) FROM gcharge
   UNION ALL SELECT 'type', 'CHARGE', count(*) FROM gcharge
-  UNION ALL SELECT 'rejected', 'PARSE_INTEGRITY', count(DISTINCT page) FROM gtx WHERE NOT whole) WHERE n > 0 OR figure IN ('read', 'movements')""",
+  UNION ALL SELECT 'rejected', CASE page % 10 WHEN 4 THEN 'UNKNOWN_LAYOUT' ELSE 'PARSE_INTEGRITY' END, count(DISTINCT page) FROM gtx WHERE NOT whole GROUP BY 2) WHERE n > 0 OR figure IN ('read', 'movements')""",
 )
 
 
@@ -156,15 +156,15 @@ ORACLE = {
         UNION ALL SELECT DISTINCT 'run_20240105000000', 'known' FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'""",
     "ing_gateway_charge": "SELECT id, external_id, occurred_us, value_date, type, amount_cents, counterparty, description, method, locator FROM gcharge",
     "ing_excluded": "SELECT 'page=' || page AS origin, status, count(*) AS transactions FROM gtx WHERE whole AND status IS DISTINCT FROM 'APPROVED' GROUP BY page, status",
-    "ing_shape_check": "SELECT DISTINCT 'page=' || page AS origin, 'PARSE_INTEGRITY' AS code FROM gtx WHERE NOT whole",
+    "ing_shape_check": "SELECT DISTINCT 'page=' || page AS origin, 'PARSE_INTEGRITY' AS code FROM gtx WHERE page % 10 = 9",
     "ing_parse_amount": PARSE,
     "ing_major_units": "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY ALL",
     "ing_classify": f"SELECT doc_id, CASE WHEN {RULE} = 'fallback' THEN 'OTHER' ELSE 'TRANSFER_IN' END AS type, {RULE} AS rule, {RULE} <> 'fallback' AS recognised FROM described",
     "ing_counterparty": f"SELECT doc_id, CASE WHEN {RULE} = 'fallback' THEN '' ELSE trim(substr(trim(t), 14)) END AS counterparty FROM described",
     "ing_ids": "SELECT id, account_id, external_id, CAST(value_date AS VARCHAR) AS value_date, amount_cents FROM mov",
     "ing_pipeline": """
-        SELECT 'page=' || page AS origin, CASE WHEN any_value(whole) THEN 'gateway-transactions' ELSE 'none' END AS parser,
-               CASE WHEN any_value(whole) THEN 'ACCEPTED' ELSE 'UNKNOWN_LAYOUT' END AS outcome, count(*) FILTER (whole AND status = 'APPROVED') AS movements FROM gtx GROUP BY page
+        SELECT 'page=' || page AS origin, CASE page % 10 WHEN 4 THEN 'none' ELSE 'gateway-transactions' END AS parser,
+               CASE page % 10 WHEN 4 THEN 'UNKNOWN_LAYOUT' WHEN 9 THEN 'PARSE_INTEGRITY' ELSE 'ACCEPTED' END AS outcome, count(*) FILTER (whole AND status = 'APPROVED') AS movements FROM gtx GROUP BY page
         UNION ALL SELECT raw_id, 'bank-statement', CASE WHEN accepted THEN 'ACCEPTED' ELSE reason END, CASE WHEN accepted THEN entries ELSE 0 END FROM stmverdict""",
     "ing_report": "SELECT figure, name, n FROM figures",
     "fn_scale": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {scaled('truncate')}, {scaled('half_up')}, {scaled('half_even')} FROM

@@ -252,23 +252,33 @@ def ing_ids(w: Workspace) -> DataFrame:
     return w.movements.select("id", "account_id", "external_id", "value_date", "amount_cents")
 
 
+def _page_codes(w: Workspace) -> DataFrame:
+    """The code of every page that is not taken, one for each: pages are routed before they are decoded."""
+    d = docs(w)
+    lost = inbox.unroutable(d.raw_pages).select("raw_id", "origin", "code")
+    return lost.unionByName(gateway.rejected(d.decoded).select("raw_id", "origin", "code"))
+
+
 def ing_report(w: Workspace) -> DataFrame:
+    """One load of pages into a store that knows half of their charges."""
     d = docs(w)
     incoming = d.charges.withColumn("run_id", F.lit("run_2"))
-    stored = incoming.filter("amount_cents % 2000 = 0").withColumn("run_id", F.lit("run_1"))
-    _, counts = store.upsert_movements(stored, incoming)
-    rejected = gateway.rejected(d.decoded)
-    return store.ingestion_report(d.raw_pages, incoming, counts, rejected)
+    table = versions.movement_table(w.spark, own_path(w.spark, "store"), incoming.schema)
+    table.upsert(incoming.filter("amount_cents % 2000 = 0").withColumn("run_id", F.lit("run_1")), F.xxhash64("id"))
+    counts = table.upsert(incoming, F.xxhash64("id"))
+    return store.ingestion_report(d.raw_pages, incoming, counts, _page_codes(w))
 
 
 def ing_pipeline(w: Workspace) -> DataFrame:
-    """Pages, statements and unknown layouts in one load: what each document came to."""
+    """Pages, statements and unknown layouts in one load: what each document came to, read back from the store."""
     d = docs(w)
+    accepted = d.charges.withColumn("run_id", F.lit("run_1"))
+    table = versions.movement_table(w.spark, own_path(w.spark, "store"), accepted.schema)
+    table.upsert(accepted, F.xxhash64("id"))
+    held = table.read().groupBy(F.col("source.raw_record_id").alias("raw_id")).agg(F.count(F.lit(1)).alias("movements"))
     pages = d.raw_pages.withColumn("parser", inbox.route(F.encode("payload", "UTF-8")))
-    good = d.charges.groupBy(F.col("source.raw_record_id").alias("raw_id")).agg(F.count(F.lit(1)).alias("movements"))
-    page_docs = pages.join(good, "raw_id", "left").select(
-        "origin", F.coalesce("parser", F.lit("none")).alias("parser"),
-        F.when(F.col("parser").isNull(), "UNKNOWN_LAYOUT").otherwise("ACCEPTED").alias("outcome"),
+    page_docs = pages.join(held, "raw_id", "left").join(_page_codes(w).select("raw_id", "code"), "raw_id", "left").select(
+        "origin", F.coalesce("parser", F.lit("none")).alias("parser"), F.coalesce("code", F.lit("ACCEPTED")).alias("outcome"),
         F.coalesce("movements", F.lit(0)).alias("movements"),
     )
     stm = d.statement_verdicts.select(
