@@ -212,6 +212,10 @@ ORACLE = {
     "led_page": """SELECT id, CAST(value_date AS VARCHAR) AS value_date, (SELECT count(*) FROM mov) AS total,
         CASE WHEN (SELECT count(*) FROM mov) > 75 THEN last_value(id) OVER (ORDER BY value_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_cursor
         FROM (SELECT * FROM mov ORDER BY value_date, id LIMIT 25 OFFSET 50)""",
+    "led_balance_stored": "SELECT account_id, CAST(sum(amount_cents) AS BIGINT) AS balance_cents FROM omov WHERE value_date <= '1998-06-30' GROUP BY 1",
+    "led_page_stored": """SELECT id, CAST(value_date AS VARCHAR) AS value_date, (SELECT count(*) FROM mov) AS total,
+        CASE WHEN (SELECT count(*) FROM mov) > 75 THEN last_value(id) OVER (ORDER BY value_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_cursor
+        FROM (SELECT * FROM mov ORDER BY value_date, id LIMIT 25 OFFSET 50)""",
     "led_accounts": "SELECT DISTINCT account_id FROM mov UNION SELECT DISTINCT account_id FROM omov",
     "cal_dim": "SELECT CAST(value_date AS VARCHAR) AS d, count(*) AS movements, any_value(is_bd) AS is_business FROM mov JOIN cal ON cal.d = value_date GROUP BY value_date",
     "cal_next": """SELECT CAST(d AS VARCHAR) AS d, n, CAST(CASE n WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE n3 END AS VARCHAR) AS next

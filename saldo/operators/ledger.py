@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.config import MOVEMENT_TYPES
+from saldo.sources.versions import VersionedTable
 
 ORDER = ("value_date", "id")
 
@@ -101,3 +102,61 @@ def page(movements: DataFrame, limit: int, cursor: str | None = None, offset: in
 
 def accounts(movements: DataFrame) -> DataFrame:
     return movements.select("account_id").distinct()
+
+
+# ---- the same questions of the versioned store, which knows what each of its folders adds up to
+
+
+def stored_balance_at(table: VersionedTable, day: str) -> DataFrame:
+    """Balances at the end of a day: the sums of earlier months' folders, and the movements of its own month alone.
+
+    A late movement rewrites its own folder and that folder's sums, so every later balance has it.
+    """
+    month = day[:7]
+    earlier = table.folder_sums().filter(F.col("_month") < month).select("account_id", "amount_cents")
+    own = table.rows_in(F.col("_month") == month).filter(F.col("value_date") <= F.to_date(F.lit(day)))
+    both = earlier.unionByName(own.select("account_id", F.col("amount_cents").cast("decimal(38,0)").alias("amount_cents")))
+    return total(both, "account_id").withColumnRenamed("total_cents", "balance_cents")
+
+
+def stored_page(table: VersionedTable, limit: int, cursor: str | None = None, offset: int = 0, account: str | None = None) -> DataFrame:
+    """A page in (value_date, id) order, with the total and the next cursor, read from the months it lies in.
+
+    The folders' row counts say which months these are. A cursor is the last id seen and wins over an
+    offset; its bucket follows from the id. An unknown cursor starts at the beginning.
+    """
+    mine = F.lit(True) if account is None else F.col("account_id") == account
+    counted = table.folder_sums().filter(mine).groupBy("_month").agg(F.sum("rows").alias("rows"))
+    months = sorted(counted.collect(), key=lambda m: (m["_month"] != "none", m["_month"]))  # a row for each month
+    whole = sum(m["rows"] for m in months)
+    seen = None
+    if cursor is not None:
+        offset = 0
+        asked = table.spark.range(1).select(F.lit(cursor).alias("id"))
+        bucket = asked.select(table.partitions["_bucket"].cast("string").alias("b")).first()["b"]
+        seen = table.rows_in(F.col("_bucket") == bucket).filter(mine & (F.col("id") == cursor)).select("_month", "value_date").first()
+    first, skipped = 0, 0
+    if seen is not None:
+        first = next(n for n, m in enumerate(months) if m["_month"] == seen["_month"])
+        enough = months[first]["rows"] + limit + 1
+    else:
+        while first < len(months) and skipped + months[first]["rows"] <= offset:
+            skipped += months[first]["rows"]
+            first += 1
+        enough = offset - skipped + limit + 1
+    held, read = 0, []
+    for m in months[first:]:
+        if held >= enough:
+            break
+        read.append(m["_month"])
+        held += m["rows"]
+    rows = table.rows_in(F.col("_month").isin(read)).filter(mine)
+    if seen is not None:
+        day = F.lit(seen["value_date"])
+        rows = rows.filter((F.col("value_date") > day) | (F.col("value_date").eqNullSafe(day) & (F.col("id") > cursor)))
+    ordered = rows.orderBy(*ORDER).drop("_month", "_bucket")
+    ordered = ordered.offset(offset - skipped) if offset > skipped else ordered
+    shown = ordered.limit(limit)
+    found = ordered.limit(limit + 1).agg(F.count(F.lit(1))).scalar()
+    last = shown.agg(F.max_by("id", F.struct(*ORDER))).scalar()
+    return shown.withColumn("total", F.lit(whole).cast("bigint")).withColumn("next_cursor", F.when(found > limit, last))
