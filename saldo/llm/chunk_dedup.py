@@ -3,8 +3,9 @@
 Chunks are cut at word starts where the gear hash of the sixteen bytes before is the least among the neighbouring
 ``NEAR`` word starts on either side. Cuts depend on near-by bytes alone, so an insertion moves only the cuts beside it
 and a passage is cut alike wherever it stands, but for its ends. Chunks are compared by 128-bit digest. A chunk stays in
-the document with the smallest id that has it; elsewhere it is a copy. Neighbouring copies make a run, and a run of at
-least ``LEAST_WORDS`` words is removed: a passage of over fifty words keeps such a run between its ends.
+the document with the smallest id that has it; elsewhere it is a copy. Neighbouring copies make a run where the two stand
+side by side in an earlier document too, and a run of at least ``LEAST_WORDS`` words is removed: a passage of over fifty
+words keeps such a run between its ends, and chunks of unrelated documents make none.
 
 Only digests with their smallest and largest id are aggregated, partially before the shuffle, so a passage that many
 documents share is a few rows per task; the join back may be split by AQE.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saldo.llm.common import table
+from saldo.llm.common import stored, table
 
 NEAR = 3
 LEAST_WORDS = 20
@@ -35,8 +36,11 @@ SLICE = 1 << 20
 LOOK_BACK = 16
 #: Spreads the gear hash over all bits before it is compared.
 MIX = np.uint32(0x9E3779B1)
+PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-CHUNKS = "doc bigint, copy int, start int, stop int, words int, hi bigint, lo bigint"
+CHUNKS = "doc bigint, copy bigint, start int, stop int, words int, hi bigint, lo bigint, pair bigint"
+#: In place of a digest's first half, for the hash of a chunk and the one before it.
+PAIRED = -1
 
 
 def gear_table() -> np.ndarray:
@@ -112,6 +116,16 @@ def chunked(text: str | None, gear: np.ndarray, least_words: int = LEAST_WORDS):
     return first, last, words, np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
+def pairs(digests: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """A hash of each chunk with the one before it in its text; the first chunk of a text has its own."""
+    parts = digests.astype("<i8").view("<u8")
+    mixed = parts[:, 1].copy()
+    goes_on = owners[1:] == owners[:-1]
+    mixed[1:] ^= np.where(goes_on, (parts[:-1, 0] + parts[:-1, 1]) * PAIR_MIX, np.uint64(0))
+    mixed *= PAIR_MIX
+    return (mixed ^ (mixed >> np.uint64(32))).view("<i8")
+
+
 def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each chunk of a document's text."""
     frame = docs.select(F.col(doc).cast("bigint").alias("doc"), text_key(F.col(text)).alias("copy"), F.col(text).alias("text"))
@@ -128,11 +142,13 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words
                     owner.append((n, len(made[0])))
             if not found:
                 continue
-            rows = pa.array(np.repeat([n for n, _ in owner], [k for _, k in owner]))
+            owners = np.repeat([n for n, _ in owner], [k for _, k in owner])
+            rows = pa.array(owners)
             ends = [np.concatenate([f[i] for f in found]).astype(np.int32) for i in range(3)]
             digests = np.concatenate([f[3] for f in found])
             columns = [batch.column("doc").take(rows), batch.column("copy").take(rows)]
             columns += [pa.array(e) for e in ends] + [pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)]
+            columns.append(pa.array(pairs(digests, owners), pa.int64()))
             made = pa.RecordBatch.from_arrays(columns, names=names)
             for at in range(0, made.num_rows, 65536):
                 yield made.slice(at, 65536)
@@ -142,21 +158,24 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words
 
 def text_key(text: Column) -> Column:
     """Tells rows of equal id but different text apart."""
-    return F.hash(text)
+    return F.xxhash64(text)
 
 
 def duplicate_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, copy, start, stop, words, first_docs): the runs of each document whose chunks stand in earlier documents."""
     rows = chunks(docs, doc, text, least_words)  # cut twice rather than written: once to count, once to compare
-    ids = rows.groupBy("hi", "lo").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max(F.col("doc").isNull()).alias("unknown"))
+    counted = rows.select("doc", F.inline(F.array(F.struct("hi", "lo"), F.struct(F.lit(PAIRED).cast("bigint").alias("hi"), F.col("pair").alias("lo")))))
+    ids = counted.groupBy("hi", "lo").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max(F.col("doc").isNull()).alias("unknown"))
     shared = ids.filter((F.col("least") < F.col("most")) | (F.col("unknown") & F.col("least").isNotNull()))
-    shared = shared.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("least").alias("first"))
+    shared = stored(shared.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("least").alias("first")), "shared-chunks")
     on = (F.col("hi") == F.col("s_hi")) & (F.col("lo") == F.col("s_lo")) & ~F.col("doc").eqNullSafe(F.col("first"))
-    copies = rows.join(shared, on).select("doc", "copy", "start", "stop", "words", "first")
-    copies = copies.distinct()  # rows that repeat id and text
-    # the copies of one document, at most its own chunks; a run goes on where the chunk before stops
+    copies = rows.join(shared, on).select("doc", "copy", "start", "stop", "words", "first", "pair")
+    beside = shared.filter(F.col("s_hi") == PAIRED).select(F.col("s_lo").alias("pair"), F.col("first").alias("pair_first"))
+    copies = copies.join(beside, "pair", "left").withColumn("goes_on", F.coalesce(~F.col("doc").eqNullSafe(F.col("pair_first")) & F.col("pair_first").isNotNull(), F.lit(False)))
+    copies = copies.select("doc", "copy", "start", "stop", "words", "first", "goes_on").distinct()  # rows that repeat id and text
+    # the copies of one document, at most its own chunks; a run goes on where the chunk before stops, if an earlier document has both
     order = Window.partitionBy("doc", "copy").orderBy("start")
-    runs = copies.withColumn("opens", ~F.lag("stop").over(order).eqNullSafe(F.col("start")))
+    runs = copies.withColumn("opens", ~(F.lag("stop").over(order).eqNullSafe(F.col("start")) & F.col("goes_on")))
     runs = runs.withColumn("run", F.count(F.when(F.col("opens"), 1)).over(order))
     runs = runs.groupBy("doc", "copy", "run").agg(
         F.min("start").alias("start"),
