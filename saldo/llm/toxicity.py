@@ -8,7 +8,9 @@ labelled texts the dictionaries have not seen.
 Toxic text is found inside labelled toxic texts as the words whose beginnings stand in many more different contexts
 (neighbouring words) there than in ordinary texts; copies add no contexts. Dictionaries are fitted on at most
 ``TOXIC_SAMPLE`` and ``ORDINARY_SAMPLE`` labelled texts, weights on at most ``CALIBRATION_SAMPLE``, picked by a hash of the id
-among those not held out and not over ``SAMPLE_CHARS`` characters. Every text is scored whole.
+among those not held out and not over ``SAMPLE_CHARS`` characters. Of the ordinary texts' windows at most ``PLAIN_WINDOWS``, in
+a drawn order, train their dictionary, and a word stands at most ``MOST_REPEATS`` times in what trains the toxic one. These
+bounds hold for training alone. Every text is scored whole.
 
 Defined cases: null and empty texts save nothing and score as such. Null labels teach nothing. Without toxic or without
 ordinary examples every score is the smoothed share of toxic labels. Rows that repeat an id are scored each by its own
@@ -41,6 +43,9 @@ SAMPLE_CHARS = 50_000
 #: A word's beginning is toxic if it has so many contexts in toxic texts, and so many times the ordinary share.
 LEAST_CONTEXTS = 6
 TIMES = 8
+#: Windows that train the ordinary dictionary, and times a word may stand in what trains the toxic one.
+PLAIN_WINDOWS = 60_000
+MOST_REPEATS = 50
 CUT = 0.3
 SAVINGS = (1, 2, 3, 4, 5, 6, 8)
 SLICE = 1 << 20
@@ -160,7 +165,7 @@ def features(text: str | None, plain, toxic) -> list[float]:
 def toxic_content(toxic: list[str], ordinary: list[str], order: random.Random) -> bytes:
     """What a dictionary of toxic text adds to one of ordinary text."""
     words = toxic_words(toxic, ordinary)
-    often = [w for n, w in words for _ in range(min(n, 50))]
+    often = [w for n, w in words for _ in range(min(n, MOST_REPEATS))]
     order.shuffle(often)
     lines = [f" {' '.join(often[n : n + 8])} ".encode() for n in range(0, len(often), 8)]
     # the trainer may leave rare words out; they go before what it picks
@@ -177,7 +182,7 @@ def fitted(toxic: list[str], ordinary: list[str], calibration: list[tuple[str, i
     order = random.Random(1)
     plain = [w for text in ordinary for w in windows(text)]
     order.shuffle(plain)
-    model = Model(trained(plain[:60_000], ORDINARY_BYTES), toxic_content(toxic, ordinary, order), (), (), ())
+    model = Model(trained(plain[:PLAIN_WINDOWS], ORDINARY_BYTES), toxic_content(toxic, ordinary, order), (), (), ())
     compress = model.compressors()
     rows = np.array([features(text, *compress) for text, _ in calibration])
     labels = np.array([label for _, label in calibration], float)

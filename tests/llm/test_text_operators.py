@@ -168,6 +168,38 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.learned(docs, turned) == model
 
 
+def slow_score(model, text):
+    """One text's score, word by word from the model's bytes."""
+    import math
+
+    import zstandard
+
+    plain, toxic = model.compressors()
+    words = (text or "").lower().split()
+    cut = [f" {' '.join(words[n : n + toxicity.WINDOW])} ".encode() for n in range(0, len(words), toxicity.WINDOW)]
+    saved = [len(plain(w)) - len(toxic(w)) for w in cut] or [0]
+    for w in cut[:3]:  # lengths are those of frames that give the window back
+        data = zstandard.ZstdCompressionDict(model.toxic + model.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        reader = zstandard.ZstdDecompressor(dict_data=data, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        assert reader.decompress(toxic(w), max_output_size=1 << 20) == w
+    found = [max(saved), sum(s for s in saved if s > 0) / math.sqrt(len(saved)), math.log(len(saved))]
+    found += [math.log1p(sum(s >= k for s in saved)) for k in toxicity.SAVINGS]
+    found += [sum(s >= k for s in saved) / len(saved) for k in toxicity.SAVINGS[1:]]
+    z = model.weights[0] + sum(w * (f - m) / d for w, f, m, d in zip(model.weights[1:], found, model.mean, model.spread, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_scores_are_those_of_the_models_bytes(spark):
+    rows, marks = toxic_corpus()
+    rows = rows + [(None, "a snorf"), (9000, None), (9001, ""), (9002, prose(5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learned(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = toxicity.scored(docs.withColumn("body", F.col("text")), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["score"] - slow_score(model, r["body"])) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -379,18 +411,20 @@ def slow_chunks(text):
 def slow_runs(rows):
     owner = {}
     for doc, text in rows:
-        for *_, digest in slow_chunks(text):
-            owner[digest] = min(owner.get(digest, (True, 0)), (doc is None, doc or 0))
+        cut = [c[3] for c in slow_chunks(text)]
+        for found in [*cut, *zip(cut, cut[1:])]:  # chunks, and chunks side by side
+            owner[found] = min(owner.get(found, (True, 0)), (doc is None, doc or 0))
     runs = set()
     for doc, text in rows:
-        run = []
+        run, me = [], (doc is None, doc or 0)
         for chunk in [*slow_chunks(text), None]:
-            if chunk and owner[chunk[3]] != (doc is None, doc or 0):
+            copied = chunk and owner[chunk[3]] != me
+            if copied and (not run or owner[run[-1][3], chunk[3]] != me):
                 run.append(chunk)
                 continue
             if sum(c[2] for c in run) >= chunk_dedup.LEAST_WORDS:
                 runs.add((doc, text, run[0][0], run[-1][1], sum(c[2] for c in run), tuple(sorted({owner[c[3]][1] for c in run}))))
-            run = []
+            run = [chunk] if copied else []
     return runs
 
 
@@ -434,6 +468,17 @@ def test_chunks_and_runs(spark):
     assert chunk_dedup.duplicate_runs(docs.limit(0)).count() == 0
 
 
+def test_chunks_of_unrelated_documents_make_no_run(spark):
+    """A text whose chunks all stand in earlier documents, each in another."""
+    source = prose(150)
+    cut = slow_chunks(source)
+    rows = [(n + 10, prose(40) + " " + source[c[0] : c[1]] + " " + prose(40)) for n, c in enumerate(cut[1:-1])]
+    rows.append((999, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc"], r["start"], r["stop"]) for r in chunk_dedup.duplicate_runs(docs).collect()}
+    assert got == {(d, a, b) for d, _, a, b, *_ in slow_runs(rows)} and not any(d == 999 for d, *_ in got)
+
+
 def test_chunks_of_long_and_even_texts():
     gear = chunk_dedup.gear_table()
     rolls = random.Random(1)
