@@ -78,8 +78,7 @@ def allocate(
     Each row gets the floor of its proportion; the units left go to the largest remainders, ties in
     ``order``. The sign of the total is kept. A group whose weights are all zero gets null shares.
     """
-    rows = materialise(df, "allocate")
-    group = rows.groupBy(*keys).agg(
+    group = df.groupBy(*keys).agg(
         F.sum(F.col(weight).cast(WIDE)).alias("__weights"),
         F.min(weight).alias("__lowest"),
         F.count(F.lit(1)).alias("count"),
@@ -87,15 +86,12 @@ def allocate(
     group = materialise(group, "allocate-groups")
     if not group.filter("__lowest < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    divisor = F.when(F.col("__weights") > 0, F.col("__weights"))
+    if group.filter(F.col("count") > hot_rows).isEmpty():
+        return _allocated_in_groups(df, keys, weight, order, totals)
+    rows = materialise(df, "allocate")
     parts = rows.join(group.select(*keys, "__weights"), list(keys))
     for n, total in enumerate(totals):
-        product = (F.abs(F.col(total)).cast(WIDE) * F.col(weight).cast("decimal(19,0)")).cast(WIDE)
-        parts = parts.withColumn("__product", product)
-        parts = parts.withColumn(f"__rest{n}", (F.col("__product") % divisor).cast(WIDE)).withColumn(
-            f"__units{n}", ((F.col("__product") - F.col(f"__rest{n}")) / divisor).cast("bigint")
-        )
-    parts = parts.drop("__product")
+        parts = _products(parts, total, weight, n)
     # the floors fall short of the total by the remainders, summed and divided once
     left = parts.groupBy(*keys).agg(
         *[(F.max(F.abs(F.col(t))) - F.sum(f"__units{n}")).alias(f"__left{n}") for n, t in enumerate(totals)]
@@ -104,7 +100,35 @@ def allocate(
     for n, (total, share) in enumerate(totals.items()):
         by = [F.col(f"__rest{n}").desc(), *order]
         result = ranked(result, keys, by, "__rank", hot_rows=hot_rows, sizes=group)
-        units = F.col(f"__units{n}") + F.when(F.col("__rank") <= F.col(f"__left{n}"), 1).otherwise(0)
-        result = result.withColumn(share, F.when(F.col(total) < 0, -units).otherwise(units).cast("bigint"))
-        result = result.drop(f"__rest{n}", f"__units{n}", f"__left{n}", "__rank")
+        result = _shared(result, total, share, n)
+    return result.drop("__weights")
+
+
+def _products(parts: DataFrame, total: str, weight: str, n: int) -> DataFrame:
+    """Add each row's whole units of a total and the remainder, from ``__weights``, the sum of its group."""
+    divisor = F.when(F.col("__weights") > 0, F.col("__weights"))
+    product = (F.abs(F.col(total)).cast(WIDE) * F.col(weight).cast("decimal(19,0)")).cast(WIDE)
+    parts = parts.withColumn("__product", product)
+    parts = parts.withColumn(f"__rest{n}", (F.col("__product") % divisor).cast(WIDE)).withColumn(
+        f"__units{n}", ((F.col("__product") - F.col(f"__rest{n}")) / divisor).cast("bigint")
+    )
+    return parts.drop("__product")
+
+
+def _shared(result: DataFrame, total: str, share: str, n: int) -> DataFrame:
+    units = F.col(f"__units{n}") + F.when(F.col("__rank") <= F.col(f"__left{n}"), 1).otherwise(0)
+    result = result.withColumn(share, F.when(F.col(total) < 0, -units).otherwise(units).cast("bigint"))
+    return result.drop(f"__rest{n}", f"__units{n}", f"__left{n}", "__rank")
+
+
+def _allocated_in_groups(df: DataFrame, keys: Sequence[str], weight: str, order: Sequence[Column], totals: dict[str, str]) -> DataFrame:
+    """Groups that fit a task: every sum and rank is a window over one exchange, and nothing is written."""
+    group = Window.partitionBy(*keys)
+    result = df.withColumn("__weights", F.sum(F.col(weight).cast(WIDE)).over(group))
+    for n, (total, share) in enumerate(totals.items()):
+        result = _products(result, total, weight, n)
+        # the floors fall short of the total by the remainders
+        result = result.withColumn(f"__left{n}", F.max(F.abs(F.col(total))).over(group) - F.sum(f"__units{n}").over(group))
+        by = group.orderBy(F.col(f"__rest{n}").desc(), *order)
+        result = _shared(result.withColumn("__rank", F.row_number().over(by)), total, share, n)
     return result.drop("__weights")
