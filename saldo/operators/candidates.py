@@ -260,13 +260,20 @@ def merged(windowed: DataFrame, money_in: DataFrame) -> DataFrame:
     neighbours = near.join(other, ["account_id", "other_date"]).filter("batch_id <> other_id")
     # at most ten neighbours by the day span; their windows say which credits are reachable
     reach = neighbours.groupBy("batch_id").agg(F.collect_set("other_window").alias("windows"))
+    reach = here.join(reach, "batch_id").withColumn(
+        "windows", F.array_append("windows", F.struct("window_start", "window_end"))
+    )
+    first = F.array_min(F.transform("windows", lambda w: w["window_start"]))
+    last = F.array_max(F.transform("windows", lambda w: w["window_end"]))
+    known = reach.select(
+        "batch_id", "bank_account_id", "gross_cents", "band_lo", "band_hi", _week(first).alias("first_week"), _week(last).alias("last_week")
+    )
     grouped = (
-        neighbours.select("batch_id", "other_id", "other_date", "other_gross")
-        .join(here, "batch_id")
-        .join(reach, "batch_id")
-        .withColumn("windows", F.array_append("windows", F.struct("window_start", "window_end")))
+        neighbours.select("batch_id", "other_date", "other_gross")
+        .join(known, "batch_id")
         .withColumn("combined", F.col("gross_cents") + F.col("other_gross"))
         .filter("combined > 0")
+        .drop("gross_cents", "other_gross")
     )
     combined = F.col("combined").cast("double")
     # a cent of slack on both ends keeps the buckets a superset; the exact test follows
@@ -275,11 +282,10 @@ def merged(windowed: DataFrame, money_in: DataFrame) -> DataFrame:
     buckets = F.sequence(
         F.floor(F.log(low_cents) / BUCKET).cast("int"), F.floor(F.log(high_cents) / BUCKET).cast("int")
     )
-    first = F.array_min(F.transform("windows", lambda w: w["window_start"]))
-    last = F.array_max(F.transform("windows", lambda w: w["window_end"]))
     looked = (
         grouped.withColumn("bucket", F.explode(buckets))
-        .withColumn("week", F.explode(F.sequence(_week(first), _week(last))))
+        .withColumn("week", F.explode(F.sequence("first_week", "last_week")))
+        .drop("first_week", "last_week")
     )
     sized = money_in.withColumn(
         "bucket", F.floor(F.log(F.col("cents").cast("double")) / BUCKET).cast("int")
@@ -289,10 +295,12 @@ def merged(windowed: DataFrame, money_in: DataFrame) -> DataFrame:
         F.min("deposit_id").alias("deposit_id")
     )
     rate = 1 - F.col("cents").cast("double") / combined
+    # slim rows up to here; the few hits learn their batch's channel and windows again
     fits = (
         looked.join(sized, ["bank_account_id", "week", "bucket"])
         .withColumn("rate", rate)
         .filter(F.col("rate").between(F.col("band_lo"), F.col("band_hi")))
+        .join(reach.select("batch_id", "account_id", "channel", "windows"), "batch_id")
         .filter(~parties.is_foreign(F.col("owners"), F.col("channel")))
         .filter(F.expr("exists(windows, w -> value_date between w.window_start and w.window_end)"))
     )
