@@ -42,12 +42,13 @@ TOP = 2000
 BITS = 21
 MASK = (1 << BITS) - 1
 BURST = 1 << 14
-HELD = 1_500_000
-VOCABULARY = 1 << 20
+#: Phrases and words of a task's trie, about 140 bytes each, and phrases of a merge: three tasks share what an executor leaves beside its heap.
+HELD = 750_000
+VOCABULARY = 1 << 19
 TOKENS = 1 << 18
 SLICE = 1 << 20
 BLOCK = 1 << 14
-MERGED = 1 << 20
+MERGED = 1 << 19
 SALTS = 64
 
 RUNS = "part int, lang string, first binary, entries int, run binary"

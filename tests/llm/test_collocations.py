@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,13 @@ def test_a_trie_bursts_and_spills_whole_subtrees():
 
 def test_no_documents(spark):
     assert coll.collocations(coll.phrase_counts(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_a_full_trie_leaves_room_for_the_other_tasks_of_an_executor():
+    codes = np.arange(coll.HELD, dtype=np.int64) << (coll.BITS // 2)
+    tracemalloc.start()
+    trie = coll.HatTrie()
+    trie.add("en", codes, np.full(len(codes), 1000))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert trie.size == coll.HELD and held < 128 << 20
