@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ import pytest
 from saldo.config import Channel, RuleSet
 from saldo.functions.calendar import calendar_table
 from saldo.operators import assignment, candidates
+from saldo.plans.fixtures import Workspace
 
 RULES = RuleSet(channels=(Channel("acme", ("ACME",)), Channel("nova", ("NOVA",))))
 BATCH = (
@@ -76,3 +78,20 @@ def test_pairs_bring_what_candidates_need_and_nothing_is_joined_again(spark, tab
     assert scored.count() > 0 and scored.exceptAll(again.select(*scored.columns)).isEmpty()
     alone = candidates.single(pairs.limit(0), RULES)
     assert "Join" not in assignment.scored(spark.createDataFrame([], alone.schema), dated, RULES)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan(df, stage="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), stage)().toString()
+
+
+def test_arrays_of_parts_are_computed_before_they_are_unrolled(spark, tmp_path):
+    orders = [(5, 1, "1-URGENT", "P", date(2024, 1, 3), 100.0), (6, 1, "1-URGENT", "O", date(2024, 1, 4), 50.0), (7, 1, "2-HIGH", None, date(2024, 1, 4), 10.0)]
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string, o_orderdate date, o_totalprice double"
+    spark.createDataFrame(orders, schema).write.parquet(str(tmp_path / "orders.parquet"))
+    w = Workspace(spark, str(tmp_path))
+    parts = sorted((r.external_id, r.type, r.amount_cents) for r in w.order_movements.collect())
+    assert [p for p in parts if p[0] == "ord-5"] == [("ord-5", "CHARGE", 10_000), ("ord-5", "FEE", -300), ("ord-5", "REFUND", -1000), ("ord-5", "TAX", -57), ("ord-5", "WITHHOLDING", -150)]
+    assert len(parts) == 13
+    for made in (w.order_movements, w.order_lines):
+        generators = re.findall(r"Generate (?:explode|inline)\(([^\n]*?)\), ", plan(made))
+        assert generators and all(re.fullmatch(r"\w+#\d+", g) for g in generators)
