@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from saldo.functions.money import from_major
 from saldo.plans.fixtures import CUSTOMERS, Workspace
 from saldo.sources import gateway, inbox, statement
-from saldo.session import materialise
+from saldo.session import materialise, unrolled
 
 PAGE_SIZE = 200
 
@@ -76,12 +76,12 @@ class Documents:
     # ---- statements
 
     @cached_property
-    def statement_lines(self) -> DataFrame:
-        """One statement per order priority, month and group of customers; the balance runs over its rows."""
+    def _statement_moves(self) -> DataFrame:
+        """One statement per order priority, month and group of customers."""
         cents = from_major(F.col("o_totalprice"))
         priority = F.substring("o_orderpriority", 1, 1)
         month = F.date_format("o_orderdate", "yyyy-MM")
-        rows = self.w.table("orders").select(
+        return self.w.table("orders").select(
             F.concat_ws(":", F.lit("stm"), priority, month, F.floor(F.col("o_custkey") / CUSTOMERS).cast("string")).alias("raw_id"),
             F.col("o_orderdate").cast("date").alias("day"),
             F.col("o_orderkey").alias("k"),
@@ -90,6 +90,11 @@ class Documents:
             .when(F.col("o_orderkey") % 3 == 1, F.lit("CUOTA DE MANEJO"))
             .otherwise(F.lit("pago de terc DELTA PAY")).alias("description"),
         )
+
+    @cached_property
+    def statement_lines(self) -> DataFrame:
+        """The balance runs over a statement's rows."""
+        rows = self._statement_moves
         w = Window.partitionBy("raw_id").orderBy("day", "k")
         n = F.row_number().over(w)
         sums = Window.partitionBy("raw_id").orderBy("day", "k").rowsBetween(Window.unboundedPreceding, 0)
@@ -104,8 +109,9 @@ class Documents:
         """
         lines = self.statement_lines
         month = F.substring("raw_id", 12, 2)
-        totals = lines.groupBy("raw_id").agg(
-            F.max_by("balance", "n").alias("closing"),
+        # the last balance is the sum of all rows, whatever their order
+        totals = self._statement_moves.groupBy("raw_id").agg(
+            (F.sum("cents") + OPENING).alias("closing"),
             F.sum(F.when(F.col("cents") > 0, F.col("cents")).otherwise(0)).alias("credits"),
             F.sum(F.when(F.col("cents") < 0, -F.col("cents")).otherwise(0)).alias("debits"),
         )
@@ -130,7 +136,7 @@ class Documents:
             run(10, 700.0, 40, F.lit("TOTAL CARGOS")), run(11, 700.0, 200, _text(F.col("debits"))),
             run(12, 680.0, 40, F.lit("   ")),
         )
-        head = totals.select("raw_id", F.explode(F.array_compact(header)).alias("r")).select("raw_id", "r.*")
+        head = unrolled(totals, header, "r").select("raw_id", "r.*")
         page = (F.floor((F.col("n") - 1) / 20) + 1).cast("int")
         slot = ((F.col("n") - 1) % 20).cast("int")
         y = F.lit(700.0) - slot * 12
@@ -147,7 +153,7 @@ class Documents:
             cell(3, 420, -0.4, F.when(F.col("cents") < 0, F.concat(_text(-F.col("cents")), F.lit("-"))).otherwise(_text(F.col("cents")))),
             cell(4, 540, 0.0, _signed_text(F.col("balance") + broken)),
         )
-        body = lines.select("raw_id", F.explode(cells).alias("r")).select("raw_id", "r.*")
+        body = unrolled(lines, cells, "r").select("raw_id", "r.*")
         return head.unionByName(body)
 
     @cached_property
@@ -179,8 +185,10 @@ OPENING = 1_000_000_000
 def _text(cents: Column) -> Column:
     """``1,234.56`` for a non-negative amount, from its digits."""
     digits = F.lpad(cents.cast("string"), 20, "0")
+    plain = F.format_number(F.substring(digits, 1, 18).try_cast("bigint"), 0)
     major = F.regexp_replace(F.substring(digits, 1, 18), "^0+(?=.)", "")
-    return F.concat(F.regexp_replace(major, r"\B(?=(\d{3})+(?!\d))", ","), F.lit("."), F.substring(digits, 19, 2))
+    grouped = F.when(cents >= 0, plain).otherwise(F.regexp_replace(major, r"\B(?=(\d{3})+(?!\d))", ","))
+    return F.concat(grouped, F.lit("."), F.substring(digits, 19, 2))
 
 
 def _signed_text(cents: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from saldo.config import Descriptor
 from saldo.functions import descriptors
 from saldo.functions.money import parse_amount
+from saldo.session import unrolled
 from saldo.sources.gateway import BUSINESS_ZONE, with_ids
 
 # Fixed layout: columns by x, the summary labels, the header patterns, the baseline tolerance.
@@ -21,6 +22,8 @@ COLUMNS = {"date": (0, 90), "description": (90, 300), "value": (380, 500), "bala
 LABELS = {"opening": "SALDO ANTERIOR", "closing": "SALDO ACTUAL", "credits": "TOTAL ABONOS", "debits": "TOTAL CARGOS"}
 PERIOD = r"DESDE:\s*(\d{4})/(\d{2})/(\d{2})\s*HASTA:\s*(\d{4})/(\d{2})/(\d{2})"
 ACCOUNT = r"N[ÚU]MERO\s+(\d+)"
+#: Words with which a period and an account number begin.
+BEGINNINGS = ("DESDE:", "NÚMERO", "NUMERO")
 AMOUNT_SHAPE = r"^[$\s-]*[\d,]+\.\d{2}$"
 BASELINE = 2
 
@@ -29,25 +32,32 @@ def rows(runs: DataFrame) -> DataFrame:
     """Runs near the height of the first run met there are one visual row; rows read down, cells read right.
 
     A page is physically small, so its few heights are folded together in the order they are met;
-    documents of any number of pages spread over tasks.
+    documents of any number of pages spread over tasks. Runs travel once, by page, and a height is placed
+    once for all its runs.
     """
-    kept = runs.filter(F.trim("text") != "").select(
+    kept = runs.filter((F.trim("text") != "") & F.col("raw_id").isNotNull() & F.col("page").isNotNull()).select(
         "raw_id", "page", "seq", F.floor(F.col("x") + 0.5).cast("int").alias("x"),
         F.floor(F.col("y") + 0.5).cast("int").alias("y"), F.trim("text").alias("text"),
     )
     def near(height: Column):
         return lambda line: F.abs(line - height) <= BASELINE
 
-    met = kept.groupBy("raw_id", "page", "y").agg(F.min("seq").alias("met"))
-    heights = F.transform(F.sort_array(F.collect_list(F.struct("met", "y"))), lambda h: h["y"])
-    pages = met.groupBy("raw_id", "page").agg(heights.alias("heights"))
+    level = kept.repartition("raw_id", "page").groupBy("raw_id", "page", "y").agg(
+        F.min("seq").alias("met"), F.collect_list(F.struct("x", "seq", "text")).alias("cells")
+    )
+    pages = level.groupBy("raw_id", "page").agg(F.collect_list(F.struct("met", "y", "cells")).alias("heights"))
+    met = F.transform(F.sort_array(F.transform("heights", lambda h: F.struct(h["met"], h["y"]))), lambda h: h["y"])
     lines = F.aggregate(
-        "heights", F.array().cast("array<int>"), lambda found, y: F.when(F.exists(found, near(y)), found).otherwise(F.array_append(found, y))
+        met, F.array().cast("array<int>"), lambda found, y: F.when(F.exists(found, near(y)), found).otherwise(F.array_append(found, y))
     )
-    pages = pages.select("raw_id", "page", lines.alias("lines"))
-    anchored = kept.join(pages, ["raw_id", "page"]).withColumn("y", F.get(F.filter("lines", near(F.col("y"))), F.lit(0)))
-    place = F.array_position(F.sort_array("lines", asc=False), F.col("y")) - 1
-    cells = F.sort_array(F.collect_list(F.struct("x", "seq", "text")))
+    pages = pages.select("raw_id", "page", "heights", lines.alias("lines"))
+    pages = pages.select("raw_id", "page", "heights", "lines", F.sort_array("lines", asc=False).alias("places"))
+    anchored = pages.select(
+        "raw_id", "page", "places",
+        F.inline(F.transform("heights", lambda h: F.struct(F.get(F.filter("lines", near(h["y"])), F.lit(0)).alias("y"), h["cells"].alias("cells")))),
+    )
+    place = F.array_position("places", F.col("y")) - 1
+    cells = F.sort_array(F.flatten(F.collect_list("cells")))
     return anchored.withColumn("row", place).groupBy("raw_id", "page", "row").agg(
         F.first("y").alias("y"), cells.alias("cells")
     ).withColumn("line", F.array_join(F.transform("cells", lambda c: c["text"]), " "))
@@ -60,6 +70,11 @@ def cell(column: str) -> Column:
     return F.get(inside, F.lit(0))["text"]
 
 
+def once(df: DataFrame, kept: Sequence[str], **columns: Column) -> DataFrame:
+    """Columns that later filters and expressions read instead of computing them again."""
+    return unrolled(df, F.array(F.struct(*[c.alias(name) for name, c in columns.items()])), "__once").select(*kept, "__once.*")
+
+
 def _starts_with(label: str):
     return lambda c: F.startswith(F.upper(c["text"]), F.lit(label))
 
@@ -68,16 +83,23 @@ def headers(all_rows: DataFrame) -> DataFrame:
     """Period, account number and the four control figures of each document.
 
     A label's figure is the cell to its right, or else an amount in the next row (rows continue
-    across pages). Of several the first in reading order counts.
+    across pages). Of several the first in reading order counts. Only rows that hold the beginning of
+    something asked for are looked at, and only their pages for the rows that follow.
     """
     place = F.struct("page", "row")
+    upper = F.upper("line")
+    holds = F.lit(False)
+    for label in LABELS.values():
+        holds = holds | F.contains(upper, F.lit(label))
+    for word in BEGINNINGS:
+        holds = holds | F.contains("line", F.lit(word))
     page_ends = all_rows.groupBy("raw_id", "page").agg(F.min_by("cells", "row").alias("first_cells"))
     per_doc = Window.partitionBy("raw_id").orderBy("page")  # one row per page
     page_ends = page_ends.withColumn("next_first", F.lead("first_cells").over(per_doc)).drop("first_cells")
     on_page = Window.partitionBy("raw_id", "page").orderBy("row")
-    known = all_rows.join(page_ends, ["raw_id", "page"]).withColumn(
-        "next_cells", F.coalesce(F.lead("cells").over(on_page), F.col("next_first"))
-    )
+    asked = all_rows.filter(holds).select("raw_id", "page").distinct()
+    near = all_rows.join(asked, ["raw_id", "page"], "left_semi").withColumn("next_here", F.lead("cells").over(on_page))
+    known = near.filter(holds).join(page_ends, ["raw_id", "page"]).withColumn("next_cells", F.coalesce("next_here", "next_first"))
     aggregates = []
     for name, label in LABELS.items():
         starts = F.transform("cells", _starts_with(label))
@@ -101,6 +123,8 @@ def headers(all_rows: DataFrame) -> DataFrame:
         parts = [F.regexp_extract("period.line", PERIOD, first + i).cast("int") for i in range(3)]
         return F.when(F.col("period").isNotNull(), _day(*parts, clamp=False))
 
+    # a document without anything asked for has its row all the same
+    found = page_ends.filter("raw_id is not null and page is not null").select("raw_id").distinct().join(found, "raw_id", "left")
     result = found.select(
         "raw_id", F.coalesce("account.v", F.lit("")).alias("account_number"), day(1).alias("from_date"), day(4).alias("to_date"),
         *[parse_amount(F.col(name)["v"]).alias(name) for name in LABELS],
@@ -130,13 +154,12 @@ def _day(year: Column, month: Column, day: Column, clamp: bool) -> Column:
 
 def entries(all_rows: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Rows with all four columns and a day/month; the year comes from the period."""
-    shaped = all_rows.select(
-        "raw_id", "page", "row", "y", *[cell(c).alias(c) for c in COLUMNS]
-    ).filter(" and ".join(f"{c} is not null" for c in COLUMNS)).filter(F.col("date").rlike(r"^\d{1,2}/\d{2}$"))
+    shaped = once(all_rows, ["raw_id", "page", "row", "y"], **{c: cell(c) for c in COLUMNS}).filter(" and ".join(f"{c} is not null" for c in COLUMNS)).filter(F.col("date").rlike(r"^\d{1,2}/\d{2}$"))
     dated = shaped.join(header_rows.select("raw_id", "from_date", "to_date"), "raw_id")
     day, month = F.split("date", "/")[0].cast("int"), F.split("date", "/")[1].cast("int")
     year = F.when(month < F.month("from_date"), F.year("to_date")).otherwise(F.year("from_date"))
-    value, balance = parse_amount(F.col("value")), parse_amount(F.col("balance"))
+    dated = once(dated, dated.columns, paid=parse_amount(F.col("value")), left=parse_amount(F.col("balance")))
+    value, balance = F.col("paid"), F.col("left")
     return dated.select(
         "raw_id", "page", "row",
         F.concat(F.lit("page="), "page", F.lit(";y="), "y").alias("locator"),

@@ -7,11 +7,14 @@ import re
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from saldo.config import Channel, RuleSet
 from saldo.functions.calendar import calendar_table
+from saldo.functions.money import parse_amount
 from saldo.operators import assignment, candidates
 from saldo.plans.fixtures import Workspace
+from saldo.sources import statement
 
 RULES = RuleSet(channels=(Channel("acme", ("ACME",)), Channel("nova", ("NOVA",))))
 BATCH = (
@@ -84,6 +87,42 @@ def plan(df, stage="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), stage)().toString()
 
 
+RUN = "raw_id string, page int, seq int, x double, y double, text string"
+PAGE = [
+    ("a", 1, 1, 40.0, 800.0, "DESDE: 2024/01/01 HASTA: 2024/01/31"), ("a", 1, 2, 40.0, 780.0, "NÚMERO"), ("a", 1, 3, 120.0, 781.6, "99901"),
+    ("a", 1, 4, 40.0, 760.0, "SALDO ANTERIOR"), ("a", 2, 1, 200.0, 700.0, "$1,000.00"), ("a", 2, 2, 40.0, 680.0, "2/01"),
+    ("a", 2, 3, 110.0, 680.4, "PAGO"), ("a", 2, 4, 420.0, 679.6, "12.50-"), ("a", 2, 5, 540.0, 680.0, "987.50"),
+    ("b", 1, 1, 40.0, 700.0, "nothing asked for"), (None, 1, 1, 40.0, 700.0, "lost"), ("b", None, 1, 40.0, 700.0, "lost"),
+]
+
+
+def test_statement_runs_travel_once_and_each_cell_is_read_once(spark):
+    rows = statement.rows(spark.createDataFrame(PAGE, RUN))
+    assert plan(rows, "executedPlan").count("Exchange") == 1
+    got = [(r.raw_id, r.page, r.row, r.y, r.line) for r in rows.orderBy("raw_id", "page", "row").collect()]
+    assert got == [
+        ("a", 1, 0, 800, "DESDE: 2024/01/01 HASTA: 2024/01/31"), ("a", 1, 1, 780, "NÚMERO 99901"), ("a", 1, 2, 760, "SALDO ANTERIOR"),
+        ("a", 2, 0, 700, "$1,000.00"), ("a", 2, 1, 680, "2/01 PAGO 12.50- 987.50"), ("b", 1, 0, 700, "nothing asked for"),
+    ]
+    heads = statement.headers(rows)
+    found = {r.raw_id: (r.account_number, r.opening_cents, r.closing_cents, r.missing) for r in heads.collect()}
+    assert found == {"a": ("99901", 100_000, None, "CLOSING"), "b": ("", None, None, "PERIOD")}
+    entries = statement.entries(rows, heads)
+    assert plan(entries).count("filter(cells") == len(statement.COLUMNS)
+    assert [(r.amount_cents, r.balance_cents, str(r.value_date)) for r in entries.collect()] == [(-1250, 98_750, "2024-01-02")]
+
+
+def test_plain_amounts_are_what_the_careful_reading_gives(spark):
+    texts = ["1,234.56", "-1,234.56", "1,234.56-", "-1.00-", "(12.00)", "$ 5.10", "0.00", "12.3", "1.234", ",1.00", " 7.00 ", "1.00\n", "9" * 20 + ".00", "", None]
+    cents = [123456, -123456, -123456, None, -1200, 510, 0, 1230, None, None, 700, 100, None, None, None]
+    errors = [None, None, None, "NON_NUMERIC", None, None, None, None, "MANY_DECIMALS", None, None, None, "TOO_LARGE", "EMPTY", "EMPTY"]
+    table = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    rows = table.select("n", parse_amount(F.col("t")).alias("p"), parse_amount(F.concat(F.col("t"), F.lit("          "))).alias("slow")).orderBy("n").collect()
+    assert [r.p for r in rows] == [r.slow for r in rows]
+    known = [n for n, t in enumerate(texts) if t != ",1.00"]
+    assert [(rows[n].p.cents, rows[n].p.error) for n in known] == [(cents[n], errors[n]) for n in known]
+
+
 def test_arrays_of_parts_are_computed_before_they_are_unrolled(spark, tmp_path):
     orders = [(5, 1, "1-URGENT", "P", date(2024, 1, 3), 100.0), (6, 1, "1-URGENT", "O", date(2024, 1, 4), 50.0), (7, 1, "2-HIGH", None, date(2024, 1, 4), 10.0)]
     schema = "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string, o_orderdate date, o_totalprice double"
