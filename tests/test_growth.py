@@ -5,16 +5,19 @@ from __future__ import annotations
 import random
 import re
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saldo.config import Channel, RuleSet
 from saldo.functions.calendar import calendar_table
 from saldo.functions.money import parse_amount
 from saldo.operators import assignment, candidates
 from saldo.plans.fixtures import Workspace
-from saldo.sources import statement
+from saldo.session import shared_dir
+from saldo.sources import statement, versions
 
 RULES = RuleSet(channels=(Channel("acme", ("ACME",)), Channel("nova", ("NOVA",))))
 BATCH = (
@@ -123,6 +126,21 @@ def test_plain_amounts_are_what_the_careful_reading_gives(spark):
     assert [(rows[n].p.cents, rows[n].p.error) for n in known] == [(cents[n], errors[n]) for n in known]
 
 
+def test_a_first_load_is_not_written_again_and_known_rows_only_count(spark, tmp_path):
+    def written():
+        return set(Path(shared_dir(spark).removeprefix("file:")).glob("saldo/upsert-judged-*"))
+
+    table = versions.VersionedTable(spark, str(tmp_path / "t"), T.StructType.fromDDL("id string, run_id string, v int"), "id", {"_b": F.lit("0")})
+    load = spark.createDataFrame([("a", "r", 1), ("b", "r", 2)], "id string, run_id string, v int")
+    before = written()
+    assert tuple(table.upsert(load, F.lit(1)).first()) == (2, 0, 1) and written() == before
+    more = load.unionByName(spark.createDataFrame([("b", "r", 3), ("c", "r", 4)], "id string, run_id string, v int"))
+    assert tuple(table.upsert(more, F.col("v")).first()) == (1, 3, 2)
+    (judged,) = written() - before
+    assert sorted(r.v for r in spark.read.parquet(str(judged)).collect() if r.v is not None) == [3, 4]
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [("a", 1), ("b", 3), ("c", 4)]
+
+
 def test_arrays_of_parts_are_computed_before_they_are_unrolled(spark, tmp_path):
     orders = [(5, 1, "1-URGENT", "P", date(2024, 1, 3), 100.0), (6, 1, "1-URGENT", "O", date(2024, 1, 4), 50.0), (7, 1, "2-HIGH", None, date(2024, 1, 4), 10.0)]
     schema = "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string, o_orderdate date, o_totalprice double"
