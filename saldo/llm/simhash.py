@@ -156,7 +156,8 @@ def linked_pairs(prints: DataFrame, wide: bool | None = None) -> DataFrame:
     bit = "cast(floor(shiftright(key, 32) / 5) as int)" if wide else "shiftright(key, 22)"
     first = _first_common(F.col("key"), differ, wide)
     close = F.bit_count(differ) <= LINKED_BITS
-    pairs = index.join(other, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & close)
+    # Spark sizes a table after an explode as before it, 64 rows as one: the join must not be chosen by that size
+    pairs = index.join(other.hint("merge"), (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & close)
     pairs = pairs.withColumn("bit", F.expr(bit))
     return pairs.filter(first).select(F.col("a").alias("u"), F.col("b").alias("v"))
 

@@ -77,6 +77,16 @@ def test_pairs_are_all_pairs(spark, wide):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
 
 
+def test_pairs_are_joined_without_broadcast(spark, tmp_path):
+    """The signatures are 64 times the fingerprints that Spark goes by: a small table of these must not send them to the driver."""
+    path = str(tmp_path / "prints")
+    spark.range(2000).select(F.xxhash64("id").alias("__fp")).write.parquet(path)
+    pairs = simhash.linked_pairs(spark.read.parquet(path), False)
+    pairs.write.format("noop").mode("overwrite").save()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     frame = spark.createDataFrame(edges, "u long, v long")
