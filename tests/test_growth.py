@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saldo.config import Channel, RuleSet
+from saldo.functions import scoring
 from saldo.functions.calendar import calendar_table
 from saldo.functions.money import parse_amount
 from saldo.operators import assignment, candidates
@@ -99,6 +100,49 @@ PAGE = [
 ]
 
 
+def test_days_are_asked_for_after_the_amounts(tables):
+    """In a join, a function over an array is asked for every pair that meets; only pairs inside the band need it."""
+    near = plan(candidates.merged(*tables[2:]))
+    assert "exists(" in near
+    assert not [line for line in near.splitlines() if "Join" in line and "exists(" in line]
+
+
+def test_points_are_compared_and_candidates_are_summed_up_in_one_pass(spark, tmp_path):
+    """Scores look through no table, and the field of all batches is read from the candidates once."""
+    names = "account_id string, batch_id string, key string, rule int, first_date date, n_deposits int, deposit_ids array<string>, deduction_kinds int"
+    merged = "merged_with date, merged_deposit string, merged_rate double"
+    schema = f"{names}, {merged}, " + ", ".join(f"{c} string" for c in scoring.CHECKS)
+    day = START
+
+    def row(batch, key, amount, shape, multiple=None):
+        paid = key != ""
+        codes = (amount, "DATE_T1_EXACT", "DESCRIPTOR_MATCH", "IDENTITY_HOLDS") if paid else (None,) * 4
+        return ("a", batch, key, 1 if paid else 3, day if paid else None, int(paid), [key] if paid else [], 3, day, "d9", 0.05, *codes, shape, multiple)
+
+    rows = [
+        row("b1", "d1", "AMOUNT_EXACT", "SETTLEMENT_SINGLE_CREDIT"), row("b1", "d2", "AMOUNT_WITHIN_ROUNDING", "SETTLEMENT_SINGLE_CREDIT"),
+        row("b1", "", None, "SETTLEMENT_MERGED"), row("b2", "d3", "AMOUNT_MISMATCH", "SETTLEMENT_SINGLE_CREDIT"),
+        row("b2", "", None, "SETTLEMENT_MERGED"), row("b3", "d4", "AMOUNT_EXACT", "SETTLEMENT_SINGLE_CREDIT", "SUBSET_SUM_MULTIPLE"),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "c"))
+    given = assignment.scored(spark.read.parquet(str(tmp_path / "c")), None, RULES)
+    assert "map(" not in plan(given)
+    points = {(r.batch_id, r.key): r.earned for r in given.collect()}
+    scores = {(r.batch_id, r.key): r.score for r in given.collect()}
+    w = RULES.weights
+    common = sum(w[c] for c in ("DATE_T1_EXACT", "DESCRIPTOR_MATCH", "IDENTITY_HOLDS"))
+    assert points[("b2", "d3")] == common + w.get("SETTLEMENT_SINGLE_CREDIT", 0)
+    assert points[("b1", "d1")] - points[("b2", "d3")] == w["AMOUNT_EXACT"] and points[("b1", "")] == 0
+    batches = spark.createDataFrame([("a", b, 3) for b in ("b1", "b2", "b3", "b4")], "account_id string, batch_id string, deduction_kinds int")
+    won = spark.createDataFrame([("a", "b1", "d1"), ("a", "b3", "d4")], "account_id string, batch_id string, key string")
+    settled = assignment.settle(batches, given, won, RULES)
+    assert len(re.findall(r"Relation \[account_id[^\n]*shape_code", plan(settled))) == 1
+    got = {r.batch_id: r for r in settled.collect()}
+    assert (got["b1"].others, got["b1"].runner_up, got["b1"].candidates) == (2, scores[("b1", "d2")], 3)
+    assert (got["b2"].candidates, got["b2"].shape_code, got["b2"].merged_deposit, got["b2"].amount_code) == (2, "SETTLEMENT_MERGED", "d9", "AMOUNT_MISMATCH")
+    assert (got["b3"].others, got["b3"].runner_up, got["b4"].candidates, got["b4"].date_code) == (0, 0, 0, "DATE_OUT_OF_WINDOW")
+
+
 def test_statement_runs_travel_once_and_each_cell_is_read_once(spark):
     rows = statement.rows(spark.createDataFrame(PAGE, RUN))
     assert plan(rows, "executedPlan").count("Exchange") == 1
