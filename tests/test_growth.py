@@ -15,7 +15,7 @@ from saldo.config import Channel, RuleSet
 from saldo.functions import scoring
 from saldo.functions.calendar import calendar_table
 from saldo.functions.money import parse_amount
-from saldo.operators import assignment, candidates
+from saldo.operators import assignment, candidates, lineage
 from saldo.plans.fixtures import Workspace
 from saldo.session import shared_dir
 from saldo.sources import statement, versions
@@ -143,6 +143,21 @@ def test_points_are_compared_and_candidates_are_summed_up_in_one_pass(spark, tmp
     assert (got["b3"].others, got["b3"].runner_up, got["b4"].candidates, got["b4"].date_code) == (0, 0, 0, "DATE_OUT_OF_WINDOW")
 
 
+def test_pairs_travel_once_to_charges_that_know_their_batch(spark):
+    pairs = spark.createDataFrame([("c1", "d1"), ("c1", "d2"), ("c2", "d3"), ("c3", "d1"), (None, "d1")], "charge_id string, credit_id string")
+    shares = spark.createDataFrame([("c1", "b1", 90, 100), ("c2", "b2", 40, 50)], "movement_id string, batch_id string, attributed_cents bigint, amount_cents bigint")
+    results = spark.createDataFrame([("b1", "m1", True, ["d1"]), ("b2", "m2", False, None)], "batch_id string, match_id string, matched boolean, deposit_ids array<string>")
+    batches = spark.createDataFrame([("b1", 400), ("b2", 0)], "batch_id string, gross_cents bigint")
+    found = lineage.correlate(pairs, shares, results, batches)
+    joins = [line for line in plan(found).splitlines() if "Join " in line]
+    assert len(joins) == 3 and "charge_id" in joins[0] and all("batch_id" in j for j in joins[1:])
+    got = {(r.charge_id, r.credit_id): (r.verdict, r.attributed_cents, r.share_of_batch) for r in found.collect()}
+    assert got == {
+        ("c1", "d1"): ("SETTLED_IN", 90, 0.25), ("c1", "d2"): ("SETTLED_ELSEWHERE", None, None), ("c2", "d3"): ("UNSETTLED", None, None),
+        ("c3", "d1"): ("UNRELATED", None, None), (None, "d1"): ("UNRELATED", None, None),
+    }
+
+
 def test_statement_runs_travel_once_and_each_cell_is_read_once(spark):
     rows = statement.rows(spark.createDataFrame(PAGE, RUN))
     assert plan(rows, "executedPlan").count("Exchange") == 1
