@@ -211,3 +211,14 @@ def test_arrays_of_parts_are_computed_before_they_are_unrolled(spark, tmp_path):
     for made in (w.order_movements, w.order_lines):
         generators = re.findall(r"Generate (?:explode|inline)\(([^\n]*?)\), ", plan(made))
         assert generators and all(re.fullmatch(r"\w+#\d+", g) for g in generators)
+
+
+def test_sums_of_orders_are_worked_out_once(spark, tmp_path):
+    orders = [(n, 1, "1-URGENT", "O", date(2024, 1, 3 + n % 2), 100.0 + n) for n in range(6)]
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string, o_orderdate date, o_totalprice double"
+    spark.createDataFrame(orders, schema).write.parquet(str(tmp_path / "orders.parquet"))
+    w = Workspace(spark, str(tmp_path))
+    for made in (w.order_heads, w.order_lines):
+        assert "o_orderkey" not in plan(made)
+    assert {r.entry_id for r in w.order_heads.collect()} >= {"s-ord-0", "s-ord-1", "s-ord-3", "s-ord-4"}
+    assert w.order_lines.groupBy("entry_id").agg(F.sum("amount_cents").alias("s")).filter("s <> 0").isEmpty()
